@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.operators.columns import col
-from rowloom.operators.joins import lookup
+from rowloom.operators.joins import lookup, small_copy
 from rowloom.operators.ordering import bucket_columns
 
 SMALL_ROWS = 2_000_000
@@ -71,7 +71,8 @@ def _ranks(probs: Sequence[float], n: int) -> list[tuple[int, int, float]]:
 
 def _bracketed(slim, probs, sizes, accuracy):
     """Quantiles of large columns from sketched brackets and one exact counting scan."""
-    slack = 3.0 / accuracy
+    # the sketch's rank error, plus the two ranks that rounding can move
+    slack = 3.0 / accuracy + 2.0 / min(sizes.values())
     while True:
         edges = _bracket_edges(slim, probs, slack, accuracy)
         values = _values_at_ranks(slim, edges, probs, sizes)
@@ -198,7 +199,8 @@ def group_quantiles(
 ) -> DataFrame:
     """One row per group: ``by``, ``n`` and the array ``q`` of exact quantiles.
 
-    Groups over ``small_rows`` rows are counted by brackets like large columns.
+    Groups over ``small_rows`` rows are counted by brackets like large columns; all
+    others fit on a task each.
     """
     probs = list(probs)
     rows = df.select(
@@ -206,14 +208,24 @@ def group_quantiles(
         col(value).cast("double").alias("v"),
         (spread_by if spread_by is not None else F.hash(col(value))).alias("s"),
     ).where("g is not null and v is not null")
-    largest = rows.groupBy("g").agg(F.count("v").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= small_rows:
-        out = rows.groupBy("g").agg(
-            F.count("v").alias("n"), F.percentile("v", probs).alias("q")
-        )
-        return out.select(col("g").alias(by), "n", "q")
+    counts = rows.groupBy("g").agg(F.count("v").alias("n"))
+    large = counts.where(F.col("n") > small_rows)
+    kept = small_copy(large)
+    few = kept is not None
+    large = F.broadcast(kept) if few else large
+    ids = large.select("g")
+    parts = rows.join(ids, "g", "left_anti").groupBy("g").agg(
+        F.count("v").alias("n"), F.percentile("v", probs).alias("q")
+    )
+    if not few or kept.limit(1).count():
+        heavy = rows.join(ids, "g", "left_semi")
+        parts = parts.unionByName(_bracketed_groups(heavy, probs, small_rows, accuracy))
+    return parts.select(col("g").alias(by), "n", "q")
+
 
-    slack = 3.0 / accuracy
+def _bracketed_groups(rows, probs, small_rows, accuracy):
+    """``(g, n, q)`` of groups that all have over ``small_rows`` rows."""
+    slack = 3.0 / accuracy + 2.0 / max(small_rows, 1)
     lows = [max(q - slack, 0.0) for q in probs]
     highs = [min(q + slack, 1.0) for q in probs]
     sketch = rows.groupBy("g").agg(
@@ -260,4 +272,4 @@ def group_quantiles(
         low = F.coalesce(F.col(f"lo{i}"), F.raise_error(F.lit("rank outside bracket")).cast("double"))
         high = F.coalesce(F.col(f"hi{i}"), F.raise_error(F.lit("rank outside bracket")).cast("double"))
         quantiles.append(low + (high - low) * part_way)
-    return picked.select(col("g").alias(by), "n", F.array(*quantiles).alias("q"))
+    return picked.select("g", "n", F.array(*quantiles).alias("q"))
