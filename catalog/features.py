@@ -9,14 +9,16 @@ from rowloom.functions.scalars import yeo_johnson
 from rowloom.operators import categories as cat
 from rowloom.operators import folds
 from rowloom.operators import numeric as num
-from rowloom.operators.columns import col
+from rowloom.operators.columns import q
 
 TEXT = ["status", "segment", "nation", "returned"]
 SENTINELS = {"balance": 0, "n_items": 0, "qty": 0, "ship_gap": -1}
 
 
 def rounded(df, names, digits=6):
-    return df.select(*[F.round(col(c), digits).alias(c) if c in names else col(c) for c in df.columns])
+    return df.selectExpr(
+        *[f"round({q(c)}, {digits}) as {q(c)}" if c in names else q(c) for c in df.columns]
+    )
 
 
 def stratified_kfold(spark, sf):

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog import features as fq
 from catalog import fixtures as fx
-from rowloom.operators.columns import col
+from rowloom.operators.columns import q
 from rowloom.plans import recipes
 
 # the campaign columns in the roles a recipe knows
@@ -27,9 +26,9 @@ POWER = ["balance", "price", "qty"]
 
 
 def rounded(df):
-    return df.select(
+    return df.selectExpr(
         *[
-            F.round(col(f.name), 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else col(f.name)
+            f"round({q(f.name)}, 6) as {q(f.name)}" if isinstance(f.dataType, T.DoubleType) else q(f.name)
             for f in df.schema
         ]
     )

@@ -11,19 +11,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.layout import DEFAULT, TRAIN, Layout
-from rowloom.operators.columns import col
+from rowloom.operators.columns import col, q, sql_number, sql_text
 from rowloom.operators.joins import BROADCAST_ROWS, lookup, small_copy
 from rowloom.session import settle
 
 
 def as_long(df: DataFrame, keep: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """One row per (row, column): the kept columns, ``col`` and the text ``level``."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("col"), col(c).cast("string").alias("level")) for c in cols]
-    )
-    return df.select(*[col(k) for k in keep], F.explode(cells).alias("_cell")).select(
-        *[col(k) for k in keep], "_cell.col", "_cell.level"
+    cells = ", ".join(
+        f"struct({sql_text(c)} as col, cast({q(c)} as string) as level)" for c in cols
     )
+    exploded = df.selectExpr(*[q(k) for k in keep], f"explode(array({cells})) as _cell")
+    return exploded.select(*[q(k) for k in keep], "_cell.col", "_cell.level")
 
 
 def fit_rows(df: DataFrame, scope: str, layout: Layout) -> DataFrame:
@@ -179,15 +178,16 @@ class OneHot:
         return f"{name}_{self.null_name if level is None else level}"
 
     def expressions(self):
-        on, off = F.lit(1).cast(self.kind), F.lit(0).cast(self.kind)
         for name, levels in self.levels.items():
             for level in levels:
-                hit = col(name).isNull() if level is None else col(name).cast("string") == level
-                yield F.when(hit, on).otherwise(off).alias(self._name(name, level))
+                x = f"cast({q(name)} as string)"
+                # <=> is never NULL, so an absent value is 0 in all other columns
+                hit = f"{x} is null" if level is None else f"{x} <=> {sql_text(level)}"
+                yield f"cast({hit} as {self.kind}) as {q(self._name(name, level))}"
 
     def transform(self, df: DataFrame) -> DataFrame:
-        kept = [col(c) for c in df.columns if c not in self.levels]
-        return df.select(*kept, *self.expressions())
+        kept = [q(c) for c in df.columns if c not in self.levels]
+        return df.selectExpr(*kept, *self.expressions())
 
 
 def one_hot_vector(
@@ -253,11 +253,11 @@ class TargetEncoder:
             copy is not None,
         )
 
-    def _value(self, te, name_fill, layout: Layout):
-        """Encoding of one row from its level's array of fold means."""
-        parts = [F.coalesce(F.get(te, F.lit(f)), name_fill[f]) for f in range(self.k)]
-        test = sum(parts[1:], parts[0]) / self.k
-        return F.when(col(layout.split) == TRAIN, F.get(te, col(layout.fold))).otherwise(test)
+    def _value(self, te: str, fill: Sequence[str], layout: Layout) -> str:
+        """Encoding of one row, as SQL, from its level's array of fold means."""
+        parts = " + ".join(f"coalesce(get({te}, {f}), {fill[f]})" for f in range(self.k))
+        train = f"{q(layout.split)} = {sql_text(TRAIN)}"
+        return f"case when {train} then get({te}, {q(layout.fold)}) else ({parts}) / {self.k}D end"
 
     def transform(
         self, df: DataFrame, layout: Layout = DEFAULT, max_rows: int = BROADCAST_ROWS
@@ -269,19 +269,19 @@ class TargetEncoder:
                 budget -= self.sizes[name]
                 narrow.append(name)
         wide = [c for c in self.cols if c not in narrow]
-        out = df
-        for name in (c for c in self.cols if c in narrow):
-            means = self.table.where(F.col("col") == name).select(
-                col("level").alias("_level"), F.col("te").alias("_te")
+        out, values = df, []
+        for i, name in enumerate(narrow):
+            means = self.table.where(F.col("col") == name).selectExpr(
+                f"level as _level{i}", f"te as _te{i}"
             )
-            fill = [F.lit(v).cast("double") for v in self.fill[name]]
-            out = out.withColumn("_level", col(name).cast("string"))
-            out = out.join(F.broadcast(means), "_level", "left")
-            out = out.withColumn(f"{name}_te", self._value(F.col("_te"), fill, layout))
-            out = out.drop("_level", "_te")
+            match = F.expr(f"cast({q(name)} as string) = _level{i}")
+            out = out.join(F.broadcast(means), match, "left")
+            fill = [sql_number(v) for v in self.fill[name]]
+            values.append(f"{self._value(f'_te{i}', fill, layout)} as {q(name + '_te')}")
+        out = out.selectExpr(*[q(c) for c in df.columns], *values)
         if wide:
             out = out.join(self._wide(df, wide, layout), layout.id)
-        return out.select(*[col(c) for c in df.columns], *[col(f"{c}_te") for c in self.cols])
+        return out.select(*[q(c) for c in df.columns], *[q(f"{c}_te") for c in self.cols])
 
     def _wide(self, df: DataFrame, names: list[str], layout: Layout) -> DataFrame:
         """Encodings of columns with many levels: one shuffled join for all of them."""
@@ -291,19 +291,16 @@ class TargetEncoder:
             long, means, ["col", "level"], ["te"], "rows", F.struct(col(layout.id), F.col("col")),
             small=False,
         )
-        fills = F.create_map(
-            *[
-                x
-                for n in names
-                for x in (F.lit(n), F.array(*[F.lit(v).cast("double") for v in self.fill[n]]))
-            ]
-        )
-        fill = F.try_element_at(fills, F.col("col"))
-        value = self._value(F.col("te"), [F.get(fill, F.lit(f)) for f in range(self.k)], layout)
-        found = found.select(layout.id, "col", value.alias("_v"))
-        return found.groupBy(layout.id).agg(
-            *[F.max(F.when(F.col("col") == n, F.col("_v"))).alias(f"{n}_te") for n in names]
+        fills = ", ".join(
+            f"{sql_text(n)}, array({', '.join(sql_number(v) for v in self.fill[n])})" for n in names
         )
+        fill = f"try_element_at(map({fills}), col)"
+        value = self._value("te", [f"get({fill}, {f})" for f in range(self.k)], layout)
+        found = found.selectExpr(q(layout.id), "col", f"{value} as _v")
+        picks = [
+            F.expr(f"max(case when col = {sql_text(n)} then _v end) as {q(n + '_te')}") for n in names
+        ]
+        return found.groupBy(layout.id).agg(*picks)
 
 
 # -------------------------------------------------------------------- crosses
@@ -317,7 +314,7 @@ def cross_columns(cols: Sequence[str]) -> list[tuple[str, str, str]]:
 def cross_categories(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """The kept columns and the joined texts of every pair; NULL if either side is NULL."""
     crosses = [
-        F.concat(col(a).cast("string"), F.lit("_"), col(b).cast("string")).alias(name)
+        f"concat(cast({q(a)} as string), '_', cast({q(b)} as string)) as {q(name)}"
         for a, b, name in cross_columns(cols)
     ]
-    return df.select(*[col(k) for k in keep], *crosses)
+    return df.selectExpr(*[q(k) for k in keep], *crosses)

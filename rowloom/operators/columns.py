@@ -13,9 +13,28 @@ from pyspark.sql import types as T
 from rowloom.layout import DEFAULT, Layout
 
 
+def q(name: str) -> str:
+    """A column name quoted for SQL text.
+
+    Wide projections are written as SQL text: one call each to the JVM, where
+    column objects cost several.
+    """
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_number(value: float | None) -> str:
+    """A number as a SQL double literal."""
+    return "cast(null as double)" if value is None else f"({value!r}D)"
+
+
 def col(name: str) -> Column:
     """Column by exact name, whatever characters the name holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(q(name))
 
 
 def rename_known(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -26,7 +45,7 @@ def rename_known(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 def drop_matching(df: DataFrame, text: str, keep: Iterable[str] = ()) -> DataFrame:
     """Drop every column whose name contains ``text``."""
     kept = set(keep)
-    return df.select(*[col(c) for c in df.columns if text not in c or c in kept])
+    return df.select(*[q(c) for c in df.columns if text not in c or c in kept])
 
 
 def categorical_columns(df: DataFrame, layout: Layout = DEFAULT) -> list[str]:

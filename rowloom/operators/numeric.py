@@ -13,14 +13,23 @@ from pyspark.sql import functions as F
 from rowloom.functions.scalars import clip, yeo_johnson
 from rowloom.layout import DEFAULT, Layout
 from rowloom.operators.categories import fit_rows
-from rowloom.operators.columns import col
+from rowloom.operators.columns import col, q, sql_number
 from rowloom.operators.ordering import bucket_columns
 from rowloom.operators.quantiles import SMALL_ROWS, column_quantiles
 
 
-def replace_columns(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
-    """Swap columns for expressions in one projection, order kept."""
-    return df.select(*[new[c].alias(c) if c in new else col(c) for c in df.columns])
+def replace_columns(df: DataFrame, new: Mapping[str, Column | str]) -> DataFrame:
+    """Swap columns for expressions (or SQL text) in one projection, order kept."""
+    picked: list = []
+    for name in df.columns:
+        value = new.get(name)
+        if value is None:
+            picked.append(q(name))
+        elif isinstance(value, str):
+            picked.append(F.expr(f"{value} as {q(name)}"))
+        else:
+            picked.append(value.alias(name))
+    return df.select(*picked)
 
 
 # ---------------------------------------------------------------- standardise
@@ -38,22 +47,21 @@ class Standardizer:
     ) -> Standardizer:
         if not cols:
             return cls({})
-        x = [col(c).cast("double") for c in cols]
-        row = fit_rows(df, scope, layout).agg(
-            *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)],
-            *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(x)],
+        row = fit_rows(df, scope, layout).selectExpr(
+            *[f"avg(cast({q(c)} as double)) as m{i}" for i, c in enumerate(cols)],
+            *[f"stddev_pop(cast({q(c)} as double)) as s{i}" for i, c in enumerate(cols)],
         ).first()
         return cls({c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)})
 
-    def expressions(self) -> dict[str, Column]:
+    def expressions(self) -> dict[str, str]:
         out = {}
         for name, (mean, deviation) in self.moments.items():
-            if mean is None:
-                out[name] = col(name).cast("double")
-            else:
+            out[name] = f"cast({q(name)} as double)"
+            if mean is not None:
                 # a rounding residue in the deviation of a constant column counts as zero
                 flat = deviation <= 1e-14 * max(abs(mean), 1e-300)
-                out[name] = (col(name).cast("double") - mean) / (1.0 if flat else deviation)
+                scale = sql_number(1.0 if flat else deviation)
+                out[name] = f"({out[name]} - {sql_number(mean)}) / {scale}"
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -262,7 +270,7 @@ class QuantileBins:
                 code = F.when(col(name) == F.lit(self.sentinels[name]), F.lit(-1)).otherwise(code)
             code = F.when(col(name).isNotNull(), code).cast("int")
             new[name] = code.cast("string") if as_text else code
-        return replace_columns(out, new).select(*[col(c) for c in df.columns])
+        return replace_columns(out, new).select(*[q(c) for c in df.columns])
 
 
 # --------------------------------------------------------------- interactions
@@ -274,5 +282,5 @@ def product_columns(cols: Sequence[str]) -> list[tuple[str, str, str]]:
 
 def add_products(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Add the product of every pair of columns, all in one projection."""
-    products = [(col(a) * col(b)).alias(name) for a, b, name in product_columns(cols)]
-    return df.select(*[col(c) for c in df.columns], *products)
+    products = [f"{q(a)} * {q(b)} as {q(name)}" for a, b, name in product_columns(cols)]
+    return df.selectExpr(*[q(c) for c in df.columns], *products)

@@ -19,6 +19,7 @@ from rowloom.operators.columns import (
     map_label,
     numeric_columns,
     positive_flag,
+    q,
     rename_known,
 )
 from rowloom.operators.folds import stratified_folds
@@ -117,7 +118,7 @@ class _Builder:
         return cat.TargetEncoder.fit(df, names, self.k, self.layout).transform(df, self.layout)
 
     def take(self, df: DataFrame, names: list[str]) -> DataFrame:
-        return df.select(*[col(c) for c in self.carried + names])
+        return df.select(*[q(c) for c in self.carried + names])
 
 
 def _codes_raw(b: _Builder) -> DataFrame:
