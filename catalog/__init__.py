@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tables", "profile", "features", "scores", "recipes"]
+MODULES = ["tables", "profile", "features", "scores", "recipes", "models"]
 
 
 def _merged(attribute: str) -> dict:
