@@ -141,7 +141,7 @@ LEARNERS = {
     ),
     "logreg": Learner(
         "logreg", "logloss", _logistic, weighted=False,
-        defaults={"C": 1.0, "max_iter": 1000, "tol": 1e-8},
+        defaults={"C": 1.0, "max_iter": 1000, "tol": 1e-6},
     ),
     "ridge": Learner(
         "ridge", "rmse", _ridge, classifier=False, weighted=False,
