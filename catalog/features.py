@@ -10,6 +10,7 @@ from rowloom.operators import categories as cat
 from rowloom.operators import folds
 from rowloom.operators import numeric as num
 from rowloom.operators.columns import q
+from rowloom.session import settle
 
 TEXT = ["status", "segment", "nation", "returned"]
 SENTINELS = {"balance": 0, "n_items": 0, "qty": 0, "ship_gap": -1}
@@ -82,7 +83,7 @@ def standardize_train_fit(spark, sf):
 
 
 def _encoded(df, cols, **bounds):
-    tagged = folds.stratified_folds(df)
+    tagged = settle(folds.stratified_folds(df), "folds")
     return cat.TargetEncoder.fit(tagged, cols, **bounds).transform(tagged, **bounds)
 
 
@@ -161,8 +162,8 @@ def cardinality_route(spark, sf):
 
 
 def yeo_johnson_fit(spark, sf):
-    found = num.YeoJohnson.search(fx.campaign(spark, sf), ["price", "balance", "qty"], digits=5)
-    return spark.createDataFrame(list(found.items()), "column string, exponent double")
+    fit = num.YeoJohnson.fit(fx.campaign(spark, sf), ["price", "balance", "qty"], digits=5)
+    return spark.createDataFrame(list(fit.exponents.items()), "column string, exponent double")
 
 
 def yeo_johnson_apply(spark, sf):

@@ -16,7 +16,7 @@ from rowloom.operators import categories as cat
 from rowloom.operators import folds
 from rowloom.operators import numeric as num
 from rowloom.plans import cv, ensemble, models, search
-from rowloom.session import fresh_path
+from rowloom.session import fresh_path, settle
 from rowloom.sources import stores
 
 PLANTED = fx.PLANTED
@@ -41,7 +41,7 @@ def tree_table(spark, sf):
 def dense_table(spark, sf):
     """Encoded and scaled columns only, for models that need numbers."""
     df = fx.campaign(spark, sf).drop("target")
-    df = folds.stratified_folds(df, layout=PLANTED)
+    df = settle(folds.stratified_folds(df, layout=PLANTED), "folds")
     text = ["segment", "nation", "status"]
     df = cat.TargetEncoder.fit(df, text, layout=PLANTED).transform(df, PLANTED)
     df = cat.OneHot.fit(df, ["returned"], drop_first=True).transform(df).drop(*text)
@@ -157,7 +157,7 @@ def permutation_importance(spark, sf):
 
 
 def flagship(spark, sf):
-    df = folds.stratified_folds(fx.campaign(spark, sf).drop("target"), layout=PLANTED)
+    df = settle(folds.stratified_folds(fx.campaign(spark, sf).drop("target"), layout=PLANTED), "folds")
     text = ["segment", "nation", "status"]
     df = cat.TargetEncoder.fit(df, text, layout=PLANTED).transform(df, PLANTED).drop(*text, "returned")
     numbers = ["price", "balance", "n_items", "qty", "ship_gap", *[f"{c}_te" for c in text]]

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from rowloom.functions import metrics
 from rowloom.operators import folds
+from rowloom.session import settle
 
 D = 9
 
 
-def scored(spark, sf):
+def scored(spark, sf, with_fold=True):
     """Train rows with a probability, a value, a prediction of it, and a fold."""
-    df = folds.stratified_folds(fx.campaign(spark, sf)).where("split = 'train'")
-    return df.select(
-        "id", "fold", "target", "target_planted", "n_items",
+    df = fx.campaign(spark, sf)
+    if with_fold:
+        df = settle(folds.stratified_folds(df), "folds")
+    return df.where("split = 'train'").select(
+        "id", *(["fold"] if with_fold else []), "target", "target_planted", "n_items",
         ((F.col("balance") + 1000) / 11000).alias("p"),
         F.col("price").alias("y"), (F.col("qty") * 2500).alias("guess"),
     )
@@ -27,14 +30,14 @@ def _one(value, name="value"):
 
 def metric_auc(spark, sf):
     """Without and with heavy ties."""
-    df = scored(spark, sf)
+    df = scored(spark, sf, False)
     fine = metrics.auc(df, "p", "target_planted", out="fine")
     tied = metrics.auc(df, "n_items", "target", out="tied")
     return fine.crossJoin(F.broadcast(tied)).select(_one(F.col("fine"), "fine"), _one(F.col("tied"), "tied"))
 
 
 def metric_logloss(spark, sf):
-    return scored(spark, sf).agg(_one(metrics.log_loss(F.col("p"), F.col("target"))))
+    return scored(spark, sf, False).agg(_one(metrics.log_loss(F.col("p"), F.col("target"))))
 
 
 def metric_mlogloss(spark, sf):
@@ -43,21 +46,21 @@ def metric_mlogloss(spark, sf):
 
 
 def metric_accuracy(spark, sf):
-    return scored(spark, sf).agg(
+    return scored(spark, sf, False).agg(
         _one(metrics.accuracy((F.col("p") >= 0.5).cast("int"), F.col("target")))
     )
 
 
 def metric_rmse(spark, sf):
-    return scored(spark, sf).agg(F.round(metrics.rmse(F.col("guess"), F.col("y")), 4).alias("value"))
+    return scored(spark, sf, False).agg(F.round(metrics.rmse(F.col("guess"), F.col("y")), 4).alias("value"))
 
 
 def metric_r2(spark, sf):
-    return scored(spark, sf).agg(_one(metrics.r2(F.col("guess"), F.col("y"))))
+    return scored(spark, sf, False).agg(_one(metrics.r2(F.col("guess"), F.col("y"))))
 
 
 def metric_rmsle(spark, sf):
-    return scored(spark, sf).agg(_one(metrics.rmsle(F.col("guess"), F.col("y"))))
+    return scored(spark, sf, False).agg(_one(metrics.rmsle(F.col("guess"), F.col("y"))))
 
 
 def metric_by_fold(spark, sf):

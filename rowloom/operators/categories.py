@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rowloom.layout import DEFAULT, TRAIN, Layout
 from rowloom.operators.columns import col, q, sql_number, sql_text
-from rowloom.operators.joins import BROADCAST_ROWS, lookup, small_copy
+from rowloom.operators.joins import BROADCAST_ROWS, lookup, small_copy, small_or_settled
 from rowloom.session import settle
 
 
@@ -84,34 +84,32 @@ class LabelCodes:
         max_rows: int = BROADCAST_ROWS,
     ) -> LabelCodes:
         levels = level_counts(fit_rows(df, scope, layout), cols)
-        small = small_copy(levels, max_rows)
-        if small is not None:
+        levels, small = small_or_settled(levels, "levels", max_rows)
+        known = levels.where("level is not null")
+        if small:
             by_level = Window.partitionBy("col").orderBy("level")
-            known = small.where("level is not null").withColumn(
-                "code", F.row_number().over(by_level) - 1
-            )
-            known = small_copy(known, max_rows)
+            known = small_copy(known.withColumn("code", F.row_number().over(by_level) - 1), max_rows)
         else:
-            known = _ordinals(settle(levels, "levels").where("level is not null"))
+            known = _ordinals(known)
         sizes = {r["col"]: r["count"] for r in known.groupBy("col").count().collect()}
-        return cls(list(cols), known, {c: sizes.get(c, 0) for c in cols}, small is not None)
+        return cls(list(cols), known, {c: sizes.get(c, 0) for c in cols}, small)
 
     def transform(
         self, df: DataFrame, as_text: bool = True, layout: Layout = DEFAULT
     ) -> DataFrame:
-        out = df
-        for name in self.cols:
-            table = self.table.where(F.col("col") == name).select(
-                col("level").alias(name), "rows", "code"
-            )
-            out = lookup(
-                out.withColumn(name, col(name).cast("string")),
-                table, [name], ["code"], "rows", col(layout.id), small=self.small or None,
-            )
-            code = F.when(col(name).isNull(), F.lit(self.null_code[name])).otherwise(F.col("code"))
-            code = code.cast("string") if as_text else code.cast("double")
-            out = out.select(*[code.alias(c) if c == name else col(c) for c in df.columns])
-        return out
+        out, codes = df, {}
+        for i, name in enumerate(self.cols):
+            table = self.table.where(F.col("col") == name)
+            table = table.selectExpr(f"level as _level{i}", f"code as _code{i}", "rows")
+            if self.small:
+                match = F.expr(f"cast({q(name)} as string) = _level{i}")
+                out = out.join(F.broadcast(table.drop("rows")), match, "left")
+            else:
+                out = out.withColumn(f"_level{i}", col(name).cast("string"))
+                out = lookup(out, table, [f"_level{i}"], [f"_code{i}"], "rows", col(layout.id))
+            code = f"case when {q(name)} is null then {self.null_code[name]} else _code{i} end"
+            codes[name] = f"cast({code} as {'string' if as_text else 'double'}) as {q(name)}"
+        return out.selectExpr(*[codes.get(c, q(c)) for c in df.columns])
 
 
 def _ordinals(levels: DataFrame) -> DataFrame:
@@ -240,8 +238,7 @@ class TargetEncoder:
         rest = [F.nullif(F.col("rows") - F.col(f"n{f}"), F.lit(0)) for f in range(k)]
         te = F.array(*[(F.col("s") - F.col(f"s{f}")) / rest[f] for f in range(k)])
         table = stats.select("col", "level", "rows", te.alias("te"))
-        copy = small_copy(table, max_rows)
-        table = copy if copy is not None else settle(table, "levels")
+        table, small = small_or_settled(table, "levels", max_rows)
         fill = table.groupBy("col").agg(
             F.count(F.lit(1)).alias("n"), *[F.avg(F.get("te", F.lit(f))).alias(f"f{f}") for f in range(k)]
         )
@@ -250,7 +247,7 @@ class TargetEncoder:
             cols, k, table,
             {c: [fill[c][f"f{f}"] if c in fill else None for f in range(k)] for c in cols},
             {c: fill[c]["n"] if c in fill else 0 for c in cols},
-            copy is not None,
+            small,
         )
 
     def _value(self, te: str, fill: Sequence[str], layout: Layout) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowloom.layout import DEFAULT, Layout
 from rowloom.operators.columns import col
+from rowloom.session import settle
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
@@ -60,6 +61,21 @@ def small_copy(
     return table.sparkSession.createDataFrame(fetched, schema=table.schema)
 
 
+def small_or_settled(
+    table: DataFrame, name: str, max_rows: int = BROADCAST_ROWS
+) -> tuple[DataFrame, bool]:
+    """A fitted table as driver-held copy if it is small, else written to the shared folder.
+
+    The table is computed once for both the check and the write.
+    """
+    cached = table.persist()
+    try:
+        copy = small_copy(cached, max_rows)
+        return (copy, True) if copy is not None else (settle(cached, name), False)
+    finally:
+        cached.unpersist()
+
+
 def lookup(
     df: DataFrame,
     table: DataFrame,

@@ -115,14 +115,16 @@ def _profile(
         import numpy as np
         import pandas as pd
 
+        def powers(logs, lam):
+            return logs if abs(lam) < 1e-12 else np.expm1(lam * logs) / lam
+
         def transform(x, lam):
-            out = np.empty_like(x)
-            up = x >= 0
-            a, b = np.log1p(x[up]), np.log1p(-x[~up])
-            out[up] = a if abs(lam) < 1e-12 else np.expm1(lam * a) / lam
-            mu = 2 - lam
-            out[~up] = -b if abs(mu) < 1e-12 else -np.expm1(mu * b) / mu
-            return out
+            """Transformed values from the logs of both signs' parts."""
+            up, down = x
+            return np.concatenate([powers(up, lam), -powers(down, 2 - lam)])
+
+        def logs(x):
+            return np.log1p(x[x >= 0]), np.log1p(-x[x < 0])
 
         size = max(len(t) for t in tables)
         sums = np.zeros((len(tables), size, 4))
@@ -132,12 +134,12 @@ def _profile(
                 x = x[~np.isnan(x)]
                 if not len(x):
                     continue
-                pivot = np.array([pivots[i]])
-                logs = float((np.sign(x) * np.log1p(np.abs(x))).sum())
+                parts, pivot = logs(x), logs(np.array([pivots[i]]))
+                signed = float(parts[0].sum() - parts[1].sum())
                 for j, lam in enumerate(lams):
                     # sums around a fixed point keep their digits when merged
-                    t = transform(x, lam) - transform(pivot, lam)[0]
-                    sums[i, j] += (len(x), t.sum(), (t * t).sum(), logs)
+                    t = transform(parts, lam) - transform(pivot, lam)[0]
+                    sums[i, j] += (len(x), t.sum(), (t * t).sum(), signed)
         rows = [
             (i, j, *sums[i, j]) for i, lams in enumerate(tables) for j in range(len(lams))
         ]
@@ -191,10 +193,15 @@ class YeoJohnson:
         cls, df: DataFrame, cols: Sequence[str], scope: str = "all", layout: Layout = DEFAULT,
         digits: int = 6,
     ) -> YeoJohnson:
-        rows = fit_rows(df, scope, layout).select(*[col(c) for c in cols])
-        exponents = cls.search(rows, cols, digits)
-        powered = replace_columns(rows, {c: yeo_johnson(col(c), v) for c, v in exponents.items()})
-        return cls(exponents, Standardizer.fit(powered, cols))
+        rows = fit_rows(df, scope, layout).select(*[q(c) for c in cols])
+        # several passes read just these columns; lost blocks are recomputed
+        rows = rows.persist()
+        try:
+            exponents = cls.search(rows, cols, digits)
+            powered = {c: yeo_johnson(col(c), v) for c, v in exponents.items()}
+            return cls(exponents, Standardizer.fit(replace_columns(rows, powered), cols))
+        finally:
+            rows.unpersist()
 
     @staticmethod
     def search(rows: DataFrame, cols: Sequence[str], digits: int = 6) -> dict[str, float]:

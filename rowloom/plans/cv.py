@@ -112,7 +112,7 @@ class CvResult:
 
 def cross_validate(
     df: DataFrame, model: str | Learner, params: Mapping | None = None, layout: Layout = DEFAULT,
-    seed: int = 42, patience: int | None = None, parallelism: int = 2,
+    seed: int = 42, patience: int | None = None, parallelism: int = 5,
 ) -> CvResult:
     """Fit one model per fold; predict the left-out rows, and test rows by all models.
 

@@ -13,6 +13,7 @@ from rowloom.functions.scalars import hash_uniform, ratio
 from rowloom.layout import DEFAULT, Layout
 from rowloom.operators.columns import col, sql_text
 from rowloom.operators.numeric import Standardizer
+from rowloom.session import settle
 
 
 def meta_features(
@@ -114,6 +115,8 @@ def search_weights(
         .select(col(layout.label).cast("int").alias("y"), *[f"p{i}" for i in range(len(ids))])
         .where("y is not null")
     )
+    # read three times: for its range, coarsely and exactly
+    wide = settle(wide, "blend")
     spans = wide.agg(
         F.min(F.least(*[f"p{i}" for i in range(len(ids))]) if len(ids) > 1 else F.col("p0")),
         F.max(F.greatest(*[f"p{i}" for i in range(len(ids))]) if len(ids) > 1 else F.col("p0")),

@@ -24,6 +24,7 @@ from rowloom.operators.columns import (
 )
 from rowloom.operators.folds import stratified_folds
 from rowloom.operators.sets import tag_union, union_lenient
+from rowloom.session import settle
 from rowloom.sources.tables import write_features
 
 
@@ -98,7 +99,9 @@ class _Builder:
 
     def with_folds(self) -> DataFrame:
         if self.layout.fold not in self.df.columns:
-            self.df = stratified_folds(self.df, self.k, self.seed, self.layout)
+            # written once: fitting and applying the encoders both read the fold
+            folded = stratified_folds(self.df, self.k, self.seed, self.layout)
+            self.df = settle(folded, "folds")
             self.carried.append(self.layout.fold)
         return self.df
 
