@@ -267,7 +267,7 @@ def search_model(model, spark, sf):
     run = partial(
         search.search_model, df, model, store=store, layout=layout, fixed=SEARCH_FIXED.get(model)
     )
-    run(n_trials=2, initial=QUICK[model] or {"C": 1.0, "alpha": 1.0})
+    run(n_trials=2, initial=QUICK[model] or {"C" if model == "logreg" else "alpha": 1.0})
     return run(n_trials=1).select("study", "trial", "params", "value", "state")
 
 

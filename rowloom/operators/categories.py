@@ -283,16 +283,26 @@ class TargetEncoder:
     def _wide(self, df: DataFrame, names: list[str], layout: Layout) -> DataFrame:
         """Encodings of columns with many levels: one shuffled join for all of them."""
         long = as_long(df, [layout.id, layout.split, layout.fold], names)
-        means = self.table.where(F.col("col").isin(names))
+        fills = {
+            n: f"array({', '.join(sql_number(v) for v in self.fill[n])})" for n in names
+        }
+        fill = "case " + " ".join(f"when col = {sql_text(n)} then {v}" for n, v in fills.items()) + " end"
+        means = self.table.where(F.col("col").isin(names)).selectExpr("*", f"{fill} as _fill")
+        test = " + ".join(f"coalesce(get(te, {f}), get(_fill, {f}))" for f in range(self.k))
+        means = means.selectExpr("col", "level", "rows", "te", f"({test}) / {self.k}D as _test")
         found = lookup(
-            long, means, ["col", "level"], ["te"], "rows", F.struct(col(layout.id), F.col("col")),
-            small=False,
+            long, means, ["col", "level"], ["te", "_test"], "rows",
+            F.struct(col(layout.id), F.col("col")), small=False,
         )
-        fills = ", ".join(
-            f"{sql_text(n)}, array({', '.join(sql_number(v) for v in self.fill[n])})" for n in names
+        # a level without train rows gets the average of the fills
+        missed = {
+            n: "(" + " + ".join(sql_number(v) for v in self.fill[n]) + f") / {self.k}D" for n in names
+        }
+        miss = "case " + " ".join(f"when col = {sql_text(n)} then {v}" for n, v in missed.items()) + " end"
+        value = (
+            f"case when {q(layout.split)} = {sql_text(TRAIN)} then get(te, {q(layout.fold)})"
+            f" else coalesce(_test, {miss}) end"
         )
-        fill = f"try_element_at(map({fills}), col)"
-        value = self._value("te", [f"get({fill}, {f})" for f in range(self.k)], layout)
         found = found.selectExpr(q(layout.id), "col", f"{value} as _v")
         picks = [
             F.expr(f"max(case when col = {sql_text(n)} then _v end) as {q(n + '_te')}") for n in names

@@ -71,7 +71,10 @@ def small_or_settled(
     cached = table.persist()
     try:
         copy = small_copy(cached, max_rows)
-        return (copy, True) if copy is not None else (settle(cached, name), False)
+        if copy is not None:
+            return copy, True
+        # sorted files let a later filter on the first column skip most pages
+        return settle(cached.sortWithinPartitions(cached.columns[0]), name), False
     finally:
         cached.unpersist()
 

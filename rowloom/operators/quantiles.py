@@ -45,8 +45,10 @@ def column_quantiles(
     )
     counts = slim.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(names))]).first()
     found: dict[str, list[float] | None] = {n: None for n in names}
-    small = [i for i in range(len(names)) if 0 < counts[f"v{i}"] <= small_rows]
-    large = [i for i in range(len(names)) if counts[f"v{i}"] > small_rows]
+    # the values of all small columns meet on one task, so they share the bound
+    limit = max(small_rows // len(names), min(small_rows, 50_000))
+    small = [i for i in range(len(names)) if 0 < counts[f"v{i}"] <= limit]
+    large = [i for i in range(len(names)) if counts[f"v{i}"] > limit]
     if small:
         row = slim.agg(
             *[F.percentile(f"v{i}", list(wanted[names[i]])).alias(f"v{i}") for i in small]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,13 +86,14 @@ def _fit_stopped(learner, params, stats, train, valid, layout, seed, patience):
     model = _fit(learner, params, stats, train, layout, seed)
     if not learner.boosted:
         return model, None
-    rounds = int({**learner.defaults, **(params or {})}["rounds"])
+    rounds = int(learner.resolve(params)["rounds"])
     if patience is None:
         return model, rounds
     best = first_best(model.evaluateEachIteration(valid), patience) + 1
     if best < rounds:
         # the same seed grows the same trees, so this is the model cut after its best round
-        model = _fit(learner, {**(params or {}), "rounds": best}, stats, train, layout, seed)
+        cut = {**learner.resolve(params), "rounds": best}
+        model = _fit(learner, cut, stats, train, layout, seed)
     return model, best
 
 
@@ -106,6 +108,10 @@ class CvResult:
     models: dict[int, object]
     prepared: Prepared
 
+    def pipeline(self, fold: int) -> PipelineModel:
+        """A fold's model together with the step that builds its feature vector."""
+        return PipelineModel(stages=[self.prepared.assembler, self.models[fold]])
+
     def summary(self) -> DataFrame:
         return cv_summary(self.scores, self.oof, self.learner.metric)
 
@@ -202,7 +208,7 @@ def full_train(
     of the folds, since they see more rows.
     """
     learner = _learner(model)
-    params = dict(params or {})
+    params = learner.resolve(params)
     if learner.boosted and iterations is not None:
         params["rounds"] = int(iterations * 1.25)
     p = prepare(df, learner, layout)

@@ -90,6 +90,7 @@ def weight_candidates(trials: DataFrame, model_ids: Sequence[str], seed: int = 4
 
 
 MAX_CANDIDATES = 100_000
+BLOCK_CELLS = 2_000_000
 
 
 def search_weights(
@@ -129,11 +130,11 @@ def search_weights(
     columns = [f"p{i}" for i in range(len(ids))]
     width = (high - low) or 1.0
 
-    def partial(batches: Iterator) -> Iterator:
+    def partial(batches: Iterator, block: tuple[int, int]) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        w = np.array(matrix)
+        w = np.array(matrix)[:, block[0]:block[1]]
         trials = w.shape[1]
         counts = np.zeros((2, trials, bins), dtype="int64")
         base = np.arange(trials) * bins
@@ -147,15 +148,38 @@ def search_weights(
                     hit = at[y[start:start + 4096] == label]
                     counts[label] += np.bincount(hit.ravel(), minlength=trials * bins).reshape(trials, bins)
         t, b = np.nonzero(counts.sum(axis=0))
-        yield pd.DataFrame({"c": t, "bin": b, "pos": counts[1, t, b], "neg": counts[0, t, b]})
+        yield pd.DataFrame({"c": t + block[0], "bin": b, "pos": counts[1, t, b], "neg": counts[0, t, b]})
+
+    bounds = []
+    # the counts of one block of candidates fit in a task's memory
+    size = max(1, BLOCK_CELLS // bins)
+    for start in range(0, len(drawn), size):
+        block = (start, min(start + size, len(drawn)))
+        cells = wide.mapInPandas(
+            lambda batches, block=block: partial(batches, block), "c int, bin int, pos long, neg long"
+        )
+        bounds += _auc_bounds(cells).collect()
+    if not bounds:
+        return spark.createDataFrame([], "trial long, auc double")
+    bar = sorted((r["low"] for r in bounds), reverse=True)[:top_k][-1]
+    # float sums may differ in the last digits, hence the margin
+    kept = [r["c"] for r in bounds if r["high"] >= bar - 1e-9]
+    exact = None
+    for start in range(0, len(kept), 200):
+        part = _exact_scores(wide, matrix, drawn, kept[start:start + 200])
+        exact = part if exact is None else exact.unionByName(part)
+    return exact.orderBy(F.desc("auc"), "trial").limit(top_k)
 
-    cells = wide.mapInPandas(partial, "c int, bin int, pos long, neg long").groupBy("c", "bin").agg(
+
+def _auc_bounds(cells: DataFrame) -> DataFrame:
+    """Lowest and highest possible AUC per candidate from its counts per score bin."""
+    cells = cells.groupBy("c", "bin").agg(
         F.sum("pos").cast("double").alias("pos"), F.sum("neg").cast("double").alias("neg")
     )
     lower = Window.partitionBy("c").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(lower), F.lit(0.0))
     pairs = F.sum("pos") * F.sum("neg")
-    bounds = (
+    return (
         cells.withColumn("won", F.col("pos") * below)
         .groupBy("c")
         .agg(
@@ -163,25 +187,15 @@ def search_weights(
             ratio(F.sum(F.col("won") + F.col("pos") * F.col("neg")), pairs).alias("high"),
         )
         .where("low is not null")
-        .collect()
     )
-    if not bounds:
-        return spark.createDataFrame([], "trial long, auc double")
-    bar = sorted((r["low"] for r in bounds), reverse=True)[:top_k][-1]
-    # float sums may differ in the last digits, hence the margin
-    kept = [r["c"] for r in bounds if r["high"] >= bar - 1e-9]
-    scores = F.array(
-        *[
-            F.expr(
-                f"struct({drawn[c]['trial']}L as trial, "
-                + " + ".join(f"{matrix[i][c]!r}D * p{i}" for i in range(len(ids)))
-                + " as score)"
-            )
-            for c in kept
-        ]
-    )
-    exact = metrics.auc(
-        wide.select("y", F.explode(scores).alias("s")).select("y", "s.trial", "s.score"),
-        "score", "y", ["trial"],
+
+
+def _exact_scores(wide: DataFrame, matrix, drawn, kept: Sequence[int]) -> DataFrame:
+    blends = ", ".join(
+        f"struct({drawn[c]['trial']}L as trial, "
+        + " + ".join(f"{w[c]!r}D * p{i}" for i, w in enumerate(matrix))
+        + " as score)"
+        for c in kept
     )
-    return exact.orderBy(F.desc("auc"), "trial").limit(top_k)
+    rows = wide.selectExpr("y", f"explode(array({blends})) as s").select("y", "s.trial", "s.score")
+    return metrics.auc(rows, "score", "y", ["trial"])

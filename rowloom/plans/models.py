@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -50,9 +51,23 @@ class Learner:
     trees: bool = False
     boosted: bool = False
     weighted: bool = True
+    aliases: Mapping[str, str] = field(default_factory=dict)
+
+    def resolve(self, params: Mapping | None) -> dict:
+        """Parameters under their own names, over the defaults; unknown names are an error."""
+        out = dict(self.defaults)
+        for name, value in (params or {}).items():
+            known = self.aliases.get(name, name)
+            if known in self.defaults:
+                out[known] = value
+            elif name in WITHOUT_EFFECT:
+                warnings.warn(f"{self.name}: {name} has no effect here", stacklevel=2)
+            else:
+                raise ValueError(f"{self.name} has no parameter {name!r}")
+        return out
 
     def estimator(self, params: Mapping | None, stats: TrainStats, seed: int) -> Estimator:
-        return self.build({**self.defaults, **(params or {})}, stats, seed)
+        return self.build(self.resolve(params), stats, seed)
 
     def score_column(self, model, classes: int = 2) -> Column:
         """Class-1 probability, an array of probabilities, or the predicted value."""
@@ -115,25 +130,49 @@ def _perceptron(p, stats, seed):
     )
 
 
+# Names of the same parameters in other boosting tools, and names that are
+# accepted although Spark's trees have nothing like them.
+ALIASES = {
+    "gbt": {
+        "min_child_weight": "min_rows", "gamma": "min_gain", "colsample_bytree": "column_share",
+        "subsample": "row_share", "num_boost_round": "rounds",
+    },
+    "gbt_leafwise": {
+        "min_child_samples": "min_rows", "min_split_gain": "min_gain",
+        "feature_fraction": "column_share", "bagging_fraction": "row_share", "num_iterations": "rounds",
+    },
+    "gbt_categorical": {
+        "depth": "max_depth", "min_data_in_leaf": "min_rows", "border_count": "max_bin",
+        "rsm": "column_share", "subsample": "row_share", "iterations": "rounds",
+    },
+}
+WITHOUT_EFFECT = frozenset(
+    (
+        "reg_alpha", "reg_lambda", "lambda_l1", "lambda_l2", "l2_leaf_reg", "bagging_freq",
+        "bagging_temperature", "random_strength", "depth_floor", "n_jobs", "tree_method",
+        "grow_policy", "task_type", "early_stopping_rounds", "verbosity", "verbose",
+    )
+)
+
 # Default parameters of the three boosting presets and the other models.
 # "rounds" stands in for open-ended boosting, which stops early; raise it for real runs.
 LEARNERS = {
     "gbt": Learner(
-        "gbt", "auc", _boosted, trees=True, boosted=True,
+        "gbt", "auc", _boosted, trees=True, boosted=True, aliases=ALIASES["gbt"],
         defaults={
             "learning_rate": 0.1, "max_depth": 7, "min_rows": 10.0, "min_gain": 0.0,
             "column_share": 0.8, "row_share": 0.8, "max_bin": 512, "rounds": 20,
         },
     ),
     "gbt_leafwise": Learner(
-        "gbt_leafwise", "auc", _boosted, trees=True, boosted=True,
+        "gbt_leafwise", "auc", _boosted, trees=True, boosted=True, aliases=ALIASES["gbt_leafwise"],
         defaults={
             "learning_rate": 0.1, "num_leaves": 500, "max_depth": -1, "min_rows": 100,
             "min_gain": 0.0, "column_share": 0.8, "row_share": 0.8, "max_bin": 255, "rounds": 20,
         },
     ),
     "gbt_categorical": Learner(
-        "gbt_categorical", "auc", _boosted, trees=True, boosted=True,
+        "gbt_categorical", "auc", _boosted, trees=True, boosted=True, aliases=ALIASES["gbt_categorical"],
         defaults={
             "learning_rate": 0.1, "max_depth": 6, "min_rows": 1, "min_gain": 0.0,
             "column_share": 1.0, "row_share": 1.0, "max_bin": 128, "rounds": 20,

@@ -113,6 +113,29 @@ def test_weights_count(spark, table):
     assert metrics.auc(odd, "pred", "target").first()["auc"] > 0.7
 
 
+def test_parameter_names():
+    gbt = models.LEARNERS["gbt"]
+    assert gbt.resolve({"subsample": 0.5})["row_share"] == 0.5
+    with pytest.warns(UserWarning):
+        gbt.resolve({"reg_lambda": 1.0})
+    with pytest.raises(ValueError):
+        gbt.resolve({"no_such": 1})
+    leaves = models.LEARNERS["gbt_leafwise"].estimator({"num_leaves": 9}, models.TrainStats(10, 1.0, 2), 1)
+    assert leaves.getMaxDepth() == 4
+
+
+def test_pipeline_of_a_fold_saves_and_loads(spark, table):
+    from rowloom.sources.stores import load_model, save_model
+
+    result = cv.cross_validate(numbers_only(table), "ridge")
+    path = fresh_path(spark, "m")
+    save_model(result.pipeline(1), path)
+    rows = numbers_only(table)
+    a = result.pipeline(1).transform(rows).select("id", "prediction").toPandas().sort_values("id")
+    b = load_model(path).transform(rows).select("id", "prediction").toPandas().sort_values("id")
+    assert np.allclose(a["prediction"], b["prediction"])
+
+
 def test_linear_learner_refuses_text(table):
     with pytest.raises(ValueError):
         models.prepare(table, models.LEARNERS["logreg"])
@@ -189,10 +212,11 @@ def long_preds(spark, seed=0, n=700):
     return spark.createDataFrame(long), labels, preds, y
 
 
-def test_weight_search_finds_the_exact_best(spark):
+def test_weight_search_finds_the_exact_best(spark, monkeypatch):
     long, labels, preds, y = long_preds(spark)
     ids = ["m0", "m1", "m2"]
     drawn = ensemble.weight_candidates(spark.range(60).withColumnRenamed("id", "trial"), ids)
+    monkeypatch.setattr(ensemble, "BLOCK_CELLS", 32 * 25)  # three blocks of candidates
     got = ensemble.search_weights(long, labels, ids, drawn, top_k=7, bins=32).collect()
     weights = drawn.toPandas().set_index("trial")[["w0", "w1", "w2"]]
     assert np.allclose(weights.sum(axis=1), 1)
