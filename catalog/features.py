@@ -242,14 +242,6 @@ def _te(source, view, cols, where="true"):
         select te.id, {cells} from te join {view} v on v.id=te.id where {where}"""
 
 
-def code_sql(view, c, text=True):
-    """Label code of a column: rank of its level, NULL last."""
-    code = f"(select count(distinct x.{c}) from {view} x where x.{c} < b.{c})"
-    last = f"(select count(distinct x.{c}) from {view} x)"
-    expr = f"case when b.{c} is null then {last} else {code} end"
-    return f"cast({expr} as varchar)" if text else expr
-
-
 def rank_ctes(view, cols):
     parts = [
         f"rk_{c} as (select {c} v, dense_rank() over (order by {c})-1 code from (select distinct {c} from {view} where {c} is not null))"

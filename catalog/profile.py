@@ -9,7 +9,6 @@ from rowloom.operators import categories, profile, quantiles
 
 SHARES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 NUMERIC = ["balance", "n_items", "price", "qty", "ship_gap"]
-TEXT = ["segment", "status", "nation", "returned"]
 
 
 def _rounded(df, digits, *names):

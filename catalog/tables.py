@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
+from rowloom.functions import scalars
 from rowloom.operators import columns, joins, sets
 from rowloom.session import fresh_path
 from rowloom.sources import stores, tables
@@ -185,10 +186,27 @@ def lookup_join(spark, sf):
     )
 
 
+def scalar_functions(spark, sf):
+    """The scalar helpers on whole columns; a missing balance is filled with the average."""
+    df = fx.campaign_null(spark, sf).join(fx.campaign(spark, sf).select("id", "price", "n_items"), "id")
+    mean = fx.campaign_null(spark, sf).agg(F.avg("balance").alias("mean"))
+    x = F.col("balance")
+    return df.crossJoin(F.broadcast(mean)).select(  # the mean is one row
+        "id",
+        F.round(F.sqrt("price"), 6).alias("root"),
+        F.round(F.log2(F.col("n_items") + 1), 9).alias("log2"),
+        F.round(scalars.sigmoid(x / 1000), 9).alias("sigmoid"),
+        scalars.clip(x, 0.0, 5000.0).alias("clipped"),
+        scalars.percent_text(scalars.ratio(F.col("n_items"), F.lit(16))).alias("percent"),
+        F.round(F.coalesce(x, F.col("mean")), 5).alias("filled"),
+        x.isNull().cast("int").alias("missing"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        src_csv, src_csv_inferred, src_parquet, sink_parquet, pred_store, submission, trial_store,
+        scalar_functions, src_csv, src_csv_inferred, src_parquet, sink_parquet, pred_store, submission, trial_store,
         proj_rename, proj_drop_pattern, proj_by_dtype, label_map, indicator_flags, cast_all,
         weight_default, class1_prob, placeholder_column, prefix_limit, union_by_name, union_strict,
         split_restore, hconcat_join, attach_label, lookup_join,
@@ -238,6 +256,12 @@ SQL = {
     "hconcat_join": f"with {C} select id, price, balance, segment, status, qty from campaign",
     "attach_label": f"""with {C} select id, price, case when split='train' then target end as target
         from campaign""",
+    "scalar_functions": f"""with {fx.CAMPAIGN_NULL} select n.id, round(sqrt(price),6) as root,
+        round(log2(n_items+1),9) as log2, round(1/(1+exp(-n.balance/1000)),9) as sigmoid,
+        case when n.balance is not null then least(greatest(n.balance,0.0),5000.0) end as clipped,
+        printf('%.2f%%', n_items*100.0/16) as percent,
+        round(coalesce(n.balance, (select avg(balance) from campaign_null)),5) as filled,
+        cast(n.balance is null as int) as missing from campaign_null n join campaign c on c.id=n.id""",
     "lookup_join": f"""with {fx.CAMPAIGN_NULL}, st as (select segment, round(avg(balance),6) m from campaign
         where segment <> 'BUILDING' group by segment)
         select id, n.segment, m as near, m as far from campaign_null n left join st on st.segment=n.segment""",
