@@ -33,7 +33,8 @@ def metric_auc(spark, sf):
     df = scored(spark, sf, False)
     fine = metrics.auc(df, "p", "target_planted", out="fine")
     tied = metrics.auc(df, "n_items", "target", out="tied")
-    return fine.crossJoin(F.broadcast(tied)).select(_one(F.col("fine"), "fine"), _one(F.col("tied"), "tied"))
+    tied = tied.first()["tied"]
+    return fine.select(_one(F.col("fine"), "fine"), _one(F.lit(tied), "tied"))
 
 
 def metric_logloss(spark, sf):

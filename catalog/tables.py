@@ -189,16 +189,16 @@ def lookup_join(spark, sf):
 def scalar_functions(spark, sf):
     """The scalar helpers on whole columns; a missing balance is filled with the average."""
     df = fx.campaign_null(spark, sf).join(fx.campaign(spark, sf).select("id", "price", "n_items"), "id")
-    mean = fx.campaign_null(spark, sf).agg(F.avg("balance").alias("mean"))
+    mean = fx.campaign_null(spark, sf).agg(F.avg("balance").alias("mean")).first()["mean"]
     x = F.col("balance")
-    return df.crossJoin(F.broadcast(mean)).select(  # the mean is one row
+    return df.select(
         "id",
         F.round(F.sqrt("price"), 6).alias("root"),
         F.round(F.log2(F.col("n_items") + 1), 9).alias("log2"),
         F.round(scalars.sigmoid(x / 1000), 9).alias("sigmoid"),
         scalars.clip(x, 0.0, 5000.0).alias("clipped"),
         scalars.percent_text(scalars.ratio(F.col("n_items"), F.lit(16))).alias("percent"),
-        F.round(F.coalesce(x, F.col("mean")), 5).alias("filled"),
+        F.round(F.coalesce(x, F.lit(mean)), 5).alias("filled"),
         x.isNull().cast("int").alias("missing"),
     )
 

@@ -228,8 +228,8 @@ def cv_summary(
         F.stddev_pop("value").alias("std"),
         *([F.avg("best_iteration").alias("avg_best_iteration")] if "best_iteration" in scores.columns else []),
     )
-    whole = metrics.score_table(oof, metric, value, layout.label, out="oof_score")
-    return folds.crossJoin(F.broadcast(whole))  # one row each
+    whole = metrics.score_table(oof, metric, value, layout.label).first()
+    return folds.withColumn("oof_score", F.lit(whole["value"] if whole else None).cast("double"))
 
 
 def best_fold(scores: DataFrame, metric: str, layout: Layout = DEFAULT) -> DataFrame:
@@ -302,11 +302,12 @@ def permutation_importance(
         wide.select(layout.label, "_feature", array_to_vector(swapped).alias("features"))
     ).select("_feature", layout.label, learner.score_column(model).alias("pred"))
     values = metrics.score_table(scored, learner.metric, "pred", layout.label, ["_feature"])
-    whole = values.where("_feature = -1").select(F.col("value").alias("_base"))
+    # as many numbers as features, and one more
+    found = {r["_feature"]: r["value"] for r in values.collect()}
     sign = 1 if metrics.HIGHER_IS_BETTER[learner.metric] else -1
-    names = F.array(*[F.lit(c) for c in prepared.names])
-    # one row per feature, so the cross join is with a single score
-    return values.where("_feature >= 0").crossJoin(F.broadcast(whole)).select(
-        F.get(names, F.col("_feature")).alias("feature"),
-        ((F.col("_base") - F.col("value")) * sign).alias("drop"),
-    )
+    drops = [
+        (name, (found[-1] - found[i]) * sign)
+        for i, name in enumerate(prepared.names)
+        if found.get(-1) is not None and found.get(i) is not None
+    ]
+    return rows.sparkSession.createDataFrame(drops, "feature string, drop double")
