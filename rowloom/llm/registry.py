@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_mixing", "q_quality", "q_decontaminate"]
+MODULES = ["q_mixing", "q_quality", "q_decontaminate", "q_minhash"]
 
 
 def _merged(attribute: str) -> dict:
