@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_mixing", "q_quality", "q_decontaminate", "q_minhash"]
+MODULES = ["q_mixing", "q_quality", "q_decontaminate", "q_minhash", "q_repeats"]
 
 
 def _merged(attribute: str) -> dict:
