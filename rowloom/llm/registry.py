@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_mixing", "q_quality", "q_decontaminate", "q_minhash", "q_repeats"]
+MODULES = ["q_mixing", "q_quality", "q_decontaminate", "q_minhash", "q_repeats", "q_toxicity"]
 
 
 def _merged(attribute: str) -> dict:
