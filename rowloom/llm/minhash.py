@@ -248,8 +248,9 @@ def near_duplicates(
         "cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
         (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "signature",
     )
+    # the members grow with the documents, so they are never broadcast: one plan at every size
     with_text = texts.withColumnRenamed("doc_id", "node").where("node is not null").join(
-        members.select("node"), "node", "left_semi"
+        members.select("node").hint("merge"), "node", "left_semi"
     ).dropDuplicates(["node"])
     shipped = blocks.join(with_text, "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     links = shipped.mapInArrow(_linker(size, percent), "a bigint, b bigint")
