@@ -83,7 +83,7 @@ def oof_logreg_multiclass(spark, sf):
     """Ten classes; a probability per class."""
     df = fx.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("label").alias("target"),
-        *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)],
+        *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(64)],
         F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train").alias("split"),
     )
     result = cv.cross_validate(folds.stratified_folds(df), "logreg", {"C": 0.1})
@@ -250,25 +250,46 @@ def param_influence(spark, sf):
     return out.select("param", F.round("influence", 8).alias("influence"))
 
 
+# what is not searched
 SEARCH_FIXED = {
-    "gbt": {"rounds": 2, "max_bin": 32, "max_depth": 3},
-    "gbt_leafwise": {"rounds": 2, "max_bin": 32, "max_depth": 3},
-    "gbt_categorical": {"rounds": 2, "max_depth": 3},
-    "rf_clf": {"n_estimators": 4, "max_depth": 4},
-    "rf_reg": {"n_estimators": 4, "max_depth": 4},
-    "mlp": {"hidden_dims": [6], "epochs": 10},
+    "gbt": {"rounds": 2, "max_bin": 32}, "gbt_leafwise": {"rounds": 2, "max_bin": 32},
+    "gbt_categorical": {"rounds": 2}, "mlp": {"epochs": 10},
+}
+# a user's own ranges, in which a trial is fitted in seconds
+SEARCH_SPACES = {
+    "gbt": (
+        search.Dim("learning_rate", low=0.01, high=0.3), search.Dim("max_depth", "int", 2, 5),
+        search.Dim("min_rows", low=1, high=100), search.Dim("column_share", low=0.3, high=0.6),
+        search.Dim("row_share", low=0.5, high=0.9),
+    ),
+    "gbt_leafwise": (
+        search.Dim("num_leaves", "int", 4, 32), search.Dim("min_rows", "int", 1, 200),
+        search.Dim("min_gain", low=1e-5, high=1e-2, log=True), search.Dim("column_share", low=0.3, high=1.0),
+    ),
+    "gbt_categorical": (search.Dim("max_depth", "int", 2, 5), search.Dim("min_rows", low=10, high=100), search.Dim("max_bin", "int", 128, 255)),
+    "logreg": search.SPACES["logreg"],
+    "ridge": search.SPACES["ridge"],
+    "rf_clf": (search.Dim("n_estimators", "int", 3, 9), search.Dim("max_depth", "int", 2, 6)),
+    "rf_reg": (search.Dim("n_estimators", "int", 3, 9), search.Dim("max_depth", "int", 2, 6)),
+    "mlp": (search.Dim("block_size", "int", 64, 512, step=32), search.Dim("lr", low=1e-3, high=1e-1, log=True)),
 }
 
 
 def search_model(model, spark, sf):
-    """Three candidates on one fold, the search resumed once for the third."""
+    """Three candidates on one fold, the search resumed once for the third: what each fit used.
+
+    A row per trial and searched parameter.
+    """
     df, layout = input_table(model, spark, sf)
     store = stores.TrialStore(spark, fresh_path(spark, "trials"))
     run = partial(
-        search.search_model, df, model, store=store, layout=layout, fixed=SEARCH_FIXED.get(model)
+        search.search_model, df, model, store=store, layout=layout, fixed=SEARCH_FIXED.get(model), space=SEARCH_SPACES[model]
+    )
+    run(n_trials=2)
+    names = F.array(*[F.lit(d.name) for d in SEARCH_SPACES[model]])
+    return run(n_trials=1).select("trial", "state", "params", F.explode(names).alias("param")).select(
+        "trial", "state", "param", F.round(F.col("params")[F.col("param")].cast("double"), 9).alias("value")
     )
-    run(n_trials=2, initial=QUICK[model] or {"C" if model == "logreg" else "alpha": 1.0})
-    return run(n_trials=1).select("study", "trial", "params", "value", "state")
 
 
 # ------------------------------------------------------- stacking, ensembling
@@ -308,7 +329,7 @@ def weighted_blend(spark, sf):
     return store.load("ens", ["e1"], "ens").select("id", F.round("pred", 9).alias("pred"))
 
 
-TRIALS = 200
+TRIALS = 500
 
 
 def ensemble_weight_search(spark, sf):
@@ -344,12 +365,31 @@ def _u(name):
     return uniform_sql(42, "trial", name)
 
 
+def _drawn_sql(dim):
+    """The draw of a parameter in SQL, from its range."""
+    u = _u(dim.name)
+    if dim.kind == "int":
+        step = dim.step or 1
+        return f"cast({dim.low} + floor({u} * {(dim.high - dim.low) // step + 1}) * {step} as double)"
+    if dim.log:
+        return f"exp(ln({dim.low}) + {u} * (ln({dim.high}) - ln({dim.low})))"
+    return f"{dim.low} + {u} * ({dim.high} - {dim.low})"
+
+
+def _search_sql(model):
+    parts = [
+        f"select trial, 'complete' as state, '{d.name}' as param, round({_drawn_sql(d)}, 9) as value from t" for d in SEARCH_SPACES[model]
+    ]
+    return "with t as (select cast(unnest(range(0, 3)) as bigint) as trial) " + " union all ".join(parts)
+
+
 _SUMS = """n, sx, sy, (sxy - sx*sy/n) / (sxx - sx*sx/n + 500.0) as w"""
 _RIDGE = f"""{C}, d as (select id, balance/1000 as x, price/100000 as y,
       cast((row_number() over (order by md5('42_'||cast(id as varchar)), id)-1) % 5 as int) as fold
     from campaign where split='train')"""
 
-SQL = {
+SQL = {f"search_{m}": _search_sql(m) for m in SEARCH_SPACES}
+SQL |= {
     "oof_ridge_univariate": f"""with {_RIDGE}, k as (select distinct fold f from d),
         s as (select f, count(*) n, sum(x) sx, sum(y) sy, sum(x*y) sxy, sum(x*x) sxx from k join d on d.fold<>k.f group by f),
         m as (select f, {_SUMS} from s)

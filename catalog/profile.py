@@ -89,6 +89,15 @@ def corr_matrix(spark, sf):
     return _rounded(profile.correlations(fx.campaign(spark, sf), NUMERIC), 9, "corr")
 
 
+def corr_matrix_gaps(spark, sf):
+    """NaN is missing, and a constant column has no correlation."""
+    df = fx.campaign(spark, sf).select(
+        "id", F.when(F.col("id") % 13 == 0, float("nan")).otherwise(F.col("balance")).alias("balance"), "price",
+        F.when(F.col("id") % 17 != 0, F.col("qty")).alias("qty"), F.lit(0.1).alias("same"),
+    )
+    return _rounded(profile.correlations(df, ["balance", "price", "qty", "same"]), 9, "corr")
+
+
 def corr_matrix_wide(spark, sf):
     """All numeric columns of lineitem and some products: the many-columns way."""
     df = fx.table(spark, sf, "lineitem")
@@ -112,7 +121,7 @@ QUERIES = {
     for f in (
         group_mean, nunique_all, category_freq, category_freq_docs, missing_info, num_summary,
         num_summary_bracketed, histogram, kde_by_category, box_stats, box_stats_bracketed,
-        corr_matrix, corr_matrix_wide, oof_corr,
+        corr_matrix, corr_matrix_gaps, corr_matrix_wide, oof_corr,
     )
 }
 QUERIES["quantiles"] = quantiles_exact
@@ -208,6 +217,10 @@ SQL = {
     "box_stats": _box(N, "campaign_null", "segment", "balance"),
     "box_stats_bracketed": _box(C, "campaign", "nation", "price"),
     "corr_matrix": _corr(C, "campaign", {c: c for c in NUMERIC}, 9),
+    "corr_matrix_gaps": _corr(
+        f"{C}, gaps as (select case when id % 13 <> 0 then balance end as balance, price, case when id % 17 <> 0 then qty end as qty, 0.1 as same from campaign)",
+        "gaps", {"balance": "balance", "price": "price", "qty": "qty", "same": "cast(null as double)"}, 9,
+    ),
     "corr_matrix_wide": _corr("", "lineitem", _WIDE, 7),
     "oof_corr": _corr(
         fx.PREDS

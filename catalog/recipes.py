@@ -43,23 +43,25 @@ def preprocessed(version, spark, sf):
 
 def featured(recipe, spark, sf):
     df = fx.campaign(spark, sf).drop("target_planted")
-    if recipe == 5:
-        # products of 25 nation columns would only make the comparison wide
-        df = df.drop("nation")
     return rounded(recipes.features(df, recipe, ROLES)).drop("fold", "target")
 
 
-def feature_set_4(spark, sf):
-    """A numbered feature set end to end: power transform, one-hot, scaling."""
+def feature_set(version, spark, sf):
+    """A numbered feature set end to end, from raw tables."""
     df = fx.campaign(spark, sf).drop("target_planted").withColumnRenamed("target", "y")
     train = df.where("split = 'train'").drop("split")
     test = df.where("split = 'test'").drop("split", "y")
-    return rounded(recipes.feature_set(train, test, 4, None, ROLES))
+    return rounded(recipes.feature_set(train, test, version, fx.original(spark, sf), ROLES))
+
+
+def feature_set_features(version, spark, sf):
+    return feature_set(version, spark, sf).drop("fold", "target")
 
 
 QUERIES = {f"recipe_pr{v}": partial(preprocessed, v) for v in recipes.PREPROCESSING}
 QUERIES |= {f"recipe_fe{r}": partial(featured, r) for r in recipes.FEATURES}
-QUERIES["feature_set"] = feature_set_4
+QUERIES["feature_set"] = partial(feature_set, 4)
+QUERIES |= {f"feature_set_{v}": partial(feature_set_features, v) for v in recipes.FEATURE_SETS}
 
 C = fx.CAMPAIGN
 LABEL = "case when split='train' then target end as target"
@@ -109,8 +111,18 @@ def _hot_names(levels):
     return [f"{c}_{v}" for c, vs in levels.items() for v in vs]
 
 
-def _fe5():
-    hot = {c: vs for c, vs in HOT.items() if c != "nation"}
+def _fe2(view="campaign", ctes=""):
+    return f"""with {C}, {ctes}{_scaled_view(view, NUM)} select id, split, {_r(NUM)}, {fq.hot_picks(HOT, 'double')} from s"""
+
+
+def _fe4(view="campaign", ctes=""):
+    return f"with {C}, {ctes}{_scaled_view(view, NUM)}, {fq.rank_ctes('campaign', TEXT)} " + _codes(
+        "s", ", ".join(f"round({c},6) as {c}" for c in NUM)
+    )
+
+
+def _fe5(view="campaign", ctes=""):
+    hot = HOT
     factors = _hot_names(hot) + NUM
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1:]]
 
@@ -119,17 +131,17 @@ def _fe5():
             return f'round("{a}"*"{b}",6) as "{a}_{b}"'
         return f'"{a}"*"{b}" as "{a}_{b}"'
 
-    return f"""with {C}, {_scaled_view('campaign', NUM)}, h as (select id, split, {', '.join(NUM)},
+    return f"""with {C}, {ctes}{_scaled_view(view, NUM)}, h as (select id, split, {', '.join(NUM)},
         {fq.hot_picks(hot, 'int')} from s) select id, split, {_r(NUM)},
         {', '.join(f'"{n}"' for n in _hot_names(hot))}, {', '.join(cell(a, b) for a, b in pairs)} from h"""
 
 
-def _fe3():
+def _fe3(view="campaign", ctes=""):
     te = ["segment", "status"]
     cells = ", ".join(f"{c}_te" for c in te)
-    return f"""with {C}, {fq.te_ctes('campaign', {c: c for c in te})},
+    return f"""with {C}, {ctes}{fq.te_ctes('campaign', {c: c for c in te})},
         m as (select b.id, split, {', '.join(NUM)}, {cells}, {fq.hot_picks({'returned': ['yes']}, 'double')}
-          from campaign b join te on te.id=b.id)
+          from {view} b join te on te.id=b.id)
         select id, split, {', '.join(f'round({fq.scaled(c, "m")},6) as {c}' for c in [*NUM, 'segment_te', 'status_te'])},
         returned_yes from m"""
 
@@ -171,11 +183,9 @@ SQL = {
     "recipe_pr5": _power(0.05),
     "recipe_fe1": f"with {C}, {fq.rank_ctes('campaign', TEXT)} "
     + _codes("campaign", "round(price,6) as price, round(balance,6) as balance, n_items, round(qty,6) as qty, ship_gap"),
-    "recipe_fe2": f"""with {C}, {_scaled_view('campaign', NUM)} select id, split, {_r(NUM)},
-        {fq.hot_picks(HOT, 'double')} from s""",
+    "recipe_fe2": _fe2(),
     "recipe_fe3": _fe3(),
-    "recipe_fe4": f"with {C}, {_scaled_view('campaign', NUM)}, {fq.rank_ctes('campaign', TEXT)} "
-    + _codes("s", ", ".join(f"round({c},6) as {c}" for c in NUM)),
+    "recipe_fe4": _fe4(),
     "recipe_fe5": _fe5(),
     "recipe_fe6": _fe6(),
     "recipe_fe7": f"""with {C}, {fq.te_ctes('campaign', {c: c for c in TEXT})} select c.id, c.split,
@@ -185,3 +195,16 @@ SQL = {
     "feature_set": f"""with {C}, {power_ctes(None)}, {_scaled_view('powered', NUM)}
         select id, split, {LABEL}, {_r(NUM)}, {fq.hot_picks(HOT, 'double')} from s""",
 }
+SQL |= {f"feature_set_{v}": SQL[f"recipe_fe{r}"] for v, (p, r) in recipes.FEATURE_SETS.items() if p == 1}
+_TAILS = {3: None, 4: 0.01, 5: 0.05}
+SQL |= {
+    f"feature_set_{v}": {2: _fe2, 3: _fe3, 4: _fe4, 5: _fe5}[r]("powered", power_ctes(_TAILS[p]) + ", ")
+    for v, (p, r) in recipes.FEATURE_SETS.items() if p in _TAILS
+}
+# set 3 codes the levels of the original rows as well
+SQL["feature_set_3"] = f"""with {C}, {fx.ORIGINAL}, wide as (
+      select id, price, balance, n_items, qty, ship_gap, status, segment, nation, returned, split from campaign
+      union all select id, price, balance, n_items, null, null, status, segment, null, null, 'train' from original),
+      {fq.rank_ctes('wide', TEXT)} """ + _codes(
+    "wide", "round(price,6) as price, round(balance,6) as balance, n_items, round(qty,6) as qty, ship_gap"
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.layout import DEFAULT, Layout
@@ -20,11 +20,18 @@ _SPREAD = 1 << 16
 def side_by_side(first: DataFrame, *blocks: DataFrame, on: str = "id") -> DataFrame:
     """Put feature blocks with the same ids next to each other.
 
-    Every id must occur in every block: a missing one fails the job instead of
-    silently losing or padding a row.
+    Every id must occur in every block, and once: a missing or repeated one fails the
+    job instead of silently losing, padding or multiplying a row.
     """
-    out = first
-    for block in blocks:
+    def once(block: DataFrame) -> DataFrame:
+        # the window needs the rows by id, as the join does
+        seen = F.count(F.lit(1)).over(Window.partitionBy(col(on)))
+        repeated = F.raise_error(F.concat(F.lit("id repeats in a block: "), col(on).cast("string")))
+        checked = F.when(F.col("_seen") == 1, col(on)).otherwise(repeated.cast(block.schema[on].dataType))
+        return block.withColumn("_seen", seen).withColumn(on, checked).drop("_seen")
+
+    out = once(first)
+    for block in map(once, blocks):
         shared = (set(out.columns) & set(block.columns)) - {on}
         if shared:
             raise ValueError(f"blocks share columns: {sorted(shared)}")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,22 +212,17 @@ def box_statistics(
 
 # ---------------------------------------------------------------- correlation
 
-NARROW_PAIRS = 60
-
-
 def correlations(
     df: DataFrame, cols: Sequence[str] | None = None, layout: Layout = DEFAULT
 ) -> DataFrame:
     """Pearson correlation of every two numeric columns over the rows that have both.
 
-    Long form ``(col_a, col_b, corr)``, both orders and the diagonal.
+    Long form ``(col_a, col_b, corr)``, both orders and the diagonal. NaN is missing, like
+    NULL; a pair in which one column does not vary has NULL. Tasks reduce their rows to
+    cross-product matrices, and Spark adds these.
     """
     cols = list(cols) if cols is not None else numeric_columns(df, layout)
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    if len(pairs) <= NARROW_PAIRS:
-        upper = _corr_narrow(df, cols, pairs)
-    else:
-        upper = _corr_wide(df, cols)
+    upper = _corr_upper(df, cols)
     names = F.array(*[F.lit(c) for c in cols])
     both = F.when(
         F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")))
@@ -243,24 +237,11 @@ def correlations(
     )
 
 
-def _corr_narrow(df, cols, pairs):
-    """A handful of pairs: built-in aggregates in one pass."""
-    x = [col(c).cast("double") for c in cols]
-    row = df.agg(*[F.corr(x[i], x[j]).alias(f"c{k}") for k, (i, j) in enumerate(pairs)])
-    cells = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{k}").alias("corr"))
-        for k, (i, j) in enumerate(pairs)
-    ]
-    return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-
-
-def _corr_wide(df, cols):
-    """Many pairs: tasks reduce their rows to cross-product matrices, Spark adds these."""
-    means = df.agg(
-        *[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]
-    ).first()
+def _corr_upper(df, cols):
+    x = [F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")) for c in cols]
+    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)]).first()
     centre = [float(means[f"m{i}"] or 0.0) for i in range(len(cols))]
-    slim = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    slim = df.select(*[v.alias(f"x{i}") for i, v in enumerate(x)])
 
     def partial(batches: Iterator) -> Iterator:
         import numpy as np
@@ -290,5 +271,12 @@ def _corr_wide(df, cols):
     schema = "i int, j int, " + ", ".join(f"{f} double" for f in fields)
     total = slim.mapInPandas(partial, schema).groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in fields])
     cov = F.expr("sxy - sx * sy / nullif(n, 0)")
-    spread = F.sqrt(F.expr("(sxx - sx * sx / nullif(n, 0)) * (syy - sy * sy / nullif(n, 0))"))
+    # what a column without spread has left is the rounding of its centre
+    noise = F.array(*[F.lit((1e-12 * abs(c)) ** 2) for c in centre])
+
+    def varies(own, total_, at):
+        value = F.expr(f"{own} - {total_} * {total_} / nullif(n, 0)")
+        return F.when(value > F.col("n") * F.get(noise, F.col(at)), value)
+
+    spread = F.sqrt(varies("sxx", "sx", "i") * varies("syy", "sy", "j"))
     return total.select("i", "j", ratio(cov, spread).alias("corr"))

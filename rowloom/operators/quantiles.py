@@ -22,6 +22,10 @@ SMALL_ROWS = 2_000_000
 ACCURACY = 100_000
 
 
+def _present(x: Column) -> Column:
+    return F.when(~F.isnan(x.cast("double")), x.cast("double"))
+
+
 def column_quantiles(
     df: DataFrame,
     wanted: dict[str, Sequence[float]],
@@ -31,6 +35,7 @@ def column_quantiles(
 ) -> dict[str, list[float] | None]:
     """Quantiles of several columns at once; None for a column without values.
 
+    NaN is missing, like NULL, whatever the number of rows.
     ``where`` restricts single columns to the rows that meet a condition.
     """
     where = where or {}
@@ -39,7 +44,7 @@ def column_quantiles(
         return {}
     slim = df.select(
         *[
-            (F.when(where[n], col(n)) if n in where else col(n)).cast("double").alias(f"v{i}")
+            _present(F.when(where[n], col(n)) if n in where else col(n)).alias(f"v{i}")
             for i, n in enumerate(names)
         ]
     )
@@ -207,7 +212,7 @@ def group_quantiles(
     probs = list(probs)
     rows = df.select(
         col(by).alias("g"),
-        col(value).cast("double").alias("v"),
+        _present(col(value)).alias("v"),
         (spread_by if spread_by is not None else F.hash(col(value))).alias("s"),
     ).where("g is not null and v is not null")
     counts = rows.groupBy("g").agg(F.count("v").alias("n"))

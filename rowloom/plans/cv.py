@@ -63,7 +63,24 @@ def fold_stats(p: Prepared, layout: Layout) -> dict[int | None, TrainStats]:
     return out
 
 
+def scores_by(
+    df: DataFrame, learner: Learner, classes: int, label: str, by: Sequence[str] = (), pred: str = "pred"
+) -> DataFrame:
+    """The learner's metric as ``value``, per group; class probabilities are an array for three classes or more."""
+    if learner.classifier and classes > 2:
+        value = metrics.multi_log_loss([F.get(pred, F.lit(i)) for i in range(classes)], col(label))
+        return df.groupBy(*[col(b) for b in by]).agg(value.alias("value"))
+    return metrics.score_table(df, learner.metric, pred, label, by)
+
+
+def _checkpoints(spark) -> None:
+    """Boosting cuts its lineage in the checkpoint folder every few rounds."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def _fit(learner, params, stats, rows, layout, seed):
+    _checkpoints(rows.sparkSession)
     estimator = learner.estimator(params, stats, seed).setLabelCol(layout.label)
     if learner.weighted and layout.weight in rows.columns:
         estimator = estimator.setWeightCol(layout.weight)
@@ -107,13 +124,18 @@ class CvResult:
     scores: DataFrame  # fold, value, best_iteration
     models: dict[int, object]
     prepared: Prepared
+    classes: int = 2
 
     def pipeline(self, fold: int) -> PipelineModel:
         """A fold's model together with the step that builds its feature vector."""
         return PipelineModel(stages=[self.prepared.assembler, self.models[fold]])
 
     def summary(self) -> DataFrame:
-        return cv_summary(self.scores, self.oof, self.learner.metric)
+        return cv_summary(self.scores, self.oof, self.learner.metric, classes=self.classes)
+
+    def release(self) -> None:
+        """Drop the cached model input; predictions read later are computed anew."""
+        self.prepared.release()
 
 
 def cross_validate(
@@ -127,9 +149,6 @@ def cross_validate(
     """
     learner = _learner(model)
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        # boosting cuts its lineage there every few rounds
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     p = prepare(df, learner, layout)
     stats = fold_stats(p, layout)
     folds = [f for f in stats if f is not None]
@@ -157,16 +176,12 @@ def cross_validate(
         )
     preds = [F.col(f"_pred{f}") for f in folds]
     test = test.select(layout.id, fold_average(preds, classes if learner.classifier else 2).alias("pred"))
-    if classes > 2:
-        value = metrics.multi_log_loss([F.get("pred", F.lit(i)) for i in range(classes)], col(layout.label))
-        scores = oof.groupBy(layout.fold).agg(value.alias("value"))
-    else:
-        scores = metrics.score_table(oof, learner.metric, "pred", layout.label, [layout.fold])
+    scores = scores_by(oof, learner, classes, layout.label, [layout.fold])
     rounds = spark.createDataFrame(
         [(f, best) for f, (_, best) in fitted.items()], f"{layout.fold} int, best_iteration int"
     )
     scores = scores.join(F.broadcast(rounds), layout.fold)
-    return CvResult(learner, oof, test, scores, {f: m for f, (m, _) in fitted.items()}, p)
+    return CvResult(learner, oof, test, scores, {f: m for f, (m, _) in fitted.items()}, p, classes)
 
 
 def fold_average(preds: Sequence, classes: int = 2):
@@ -187,12 +202,13 @@ def fit_one_fold(
     """Model, score and best round of a single fold (for parameter search)."""
     learner = _learner(model)
     p = prepared or prepare(df, learner, layout)
-    stats = fold_stats(p, layout)[fold]
+    found = fold_stats(p, layout)
+    stats, classes = found[fold], found[None].classes if learner.classifier else 2
     rows = _train_rows(p, layout)
     train, valid = rows.where(col(layout.fold) != fold), rows.where(col(layout.fold) == fold)
     fit, best = _fit_stopped(learner, params, stats, train, valid, layout, seed, patience)
-    scored = fit.transform(valid).select(layout.label, learner.score_column(fit).alias("pred"))
-    value = metrics.score_table(scored, learner.metric, "pred", layout.label).first()
+    scored = fit.transform(valid).select(layout.label, learner.score_column(fit, classes).alias("pred"))
+    value = scores_by(scored, learner, classes, layout.label).first()
     if prepared is None:
         p.release()
     return fit, value["value"] if value else None, best
@@ -220,15 +236,22 @@ def full_train(
 
 
 def cv_summary(
-    scores: DataFrame, oof: DataFrame, metric: str, layout: Layout = DEFAULT, value: str = "pred"
+    scores: DataFrame, oof: DataFrame, metric: str, layout: Layout = DEFAULT, value: str = "pred", classes: int = 2
 ) -> DataFrame:
-    """Mean and population deviation of the fold scores, and the score of all rows together."""
+    """Mean and population deviation of the fold scores, and the score of all rows together.
+
+    With three classes or more ``value`` is an array of probabilities and the score the log-loss.
+    """
     folds = scores.agg(
         F.count("value").alias("folds"), F.avg("value").alias("mean"),
         F.stddev_pop("value").alias("std"),
         *([F.avg("best_iteration").alias("avg_best_iteration")] if "best_iteration" in scores.columns else []),
     )
-    whole = metrics.score_table(oof, metric, value, layout.label).first()
+    if classes > 2:
+        loss = metrics.multi_log_loss([F.get(value, F.lit(i)) for i in range(classes)], col(layout.label))
+        whole = oof.agg(loss.alias("value")).first()
+    else:
+        whole = metrics.score_table(oof, metric, value, layout.label).first()
     return folds.withColumn("oof_score", F.lit(whole["value"] if whole else None).cast("double"))
 
 
@@ -275,7 +298,7 @@ def gain_importance(model, names: Sequence[str], spark) -> DataFrame:
 
 def permutation_importance(
     model, prepared: Prepared, learner: Learner, rows: DataFrame, layout: Layout = DEFAULT,
-    seed: int = 42,
+    seed: int = 42, classes: int = 2,
 ) -> DataFrame:
     """How much the metric falls when one feature is shuffled, for every feature.
 
@@ -300,8 +323,8 @@ def permutation_importance(
     )
     scored = model.transform(
         wide.select(layout.label, "_feature", array_to_vector(swapped).alias("features"))
-    ).select("_feature", layout.label, learner.score_column(model).alias("pred"))
-    values = metrics.score_table(scored, learner.metric, "pred", layout.label, ["_feature"])
+    ).select("_feature", layout.label, learner.score_column(model, classes).alias("pred"))
+    values = scores_by(scored, learner, classes, layout.label, ["_feature"])
     # as many numbers as features, and one more
     found = {r["_feature"]: r["value"] for r in values.collect()}
     sign = 1 if metrics.HIGHER_IS_BETTER[learner.metric] else -1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator
@@ -25,6 +25,7 @@ from rowloom.operators.categories import LabelCodes, distinct_counts
 from rowloom.operators.columns import categorical_columns, col, numeric_columns, q
 
 MAX_DEPTH = 30  # the deepest tree Spark ML grows
+MAX_LEVELS = 512  # levels of a nominal feature that a split enumerates
 BELOW_ALL = -1e30  # what trees see in place of a missing number
 
 
@@ -64,6 +65,11 @@ class Learner:
                 warnings.warn(f"{self.name}: {name} has no effect here", stacklevel=2)
             else:
                 raise ValueError(f"{self.name} has no parameter {name!r}")
+        if (out.get("max_depth") or 0) > MAX_DEPTH:
+            raise ValueError(f"{self.name}: trees are at most {MAX_DEPTH} deep, not {out['max_depth']}")
+        if "lr" in (params or {}) and "solver" not in (params or {}) and "solver" in out:
+            # a step size only acts in gradient descent
+            out["solver"] = "gd"
         return out
 
     def estimator(self, params: Mapping | None, stats: TrainStats, seed: int) -> Estimator:
@@ -115,7 +121,7 @@ def _ridge(p, stats, seed):
 def _forest(kind):
     def build(p, stats, seed):
         return kind(
-            numTrees=int(p["n_estimators"]), maxDepth=int(min(p["max_depth"], MAX_DEPTH)),
+            numTrees=int(p["n_estimators"]), maxDepth=int(p["max_depth"]),
             bootstrap=bool(p["bootstrap"]), maxBins=max(32, stats.most_levels + 1), seed=seed,
         )
 
@@ -215,12 +221,14 @@ class Prepared:
 
 
 def prepare(
-    df: DataFrame, learner: Learner, layout: Layout = DEFAULT, persist: bool = True
+    df: DataFrame, learner: Learner, layout: Layout = DEFAULT, persist: bool = True,
+    max_levels: int = MAX_LEVELS, ordered: Sequence[str] = (),
 ) -> Prepared:
     """Turn a feature table into model input.
 
     String columns are coded once for train and test rows together. Trees get them as
-    nominal features as long as a split can enumerate the levels, else as ordered codes.
+    nominal features; a column with over ``max_levels`` levels is an error, unless it is in
+    ``ordered``, whose columns are ordered codes. Encode it by label means otherwise.
     Missing numbers are a value below all others for trees, the mean for other models.
     """
     text, numbers = categorical_columns(df, layout), numeric_columns(df, layout)
@@ -231,9 +239,12 @@ def prepare(
         out = LabelCodes.fit(out, text, layout=layout).transform(out, as_text=False, layout=layout)
         for r in distinct_counts(df, text).collect():
             levels = r["n_distinct"] + 1
-            if levels <= 512:
-                metadata[r["col"]] = {"ml_attr": {"type": "nominal", "num_vals": levels}}
-                most = max(most, levels)
+            if r["col"] in ordered:
+                continue
+            if levels > max_levels:
+                raise ValueError(f"{r['col']} has {levels} levels, over {max_levels}: encode it or name it as ordered")
+            metadata[r["col"]] = {"ml_attr": {"type": "nominal", "num_vals": levels}}
+            most = max(most, levels)
     if learner.trees:
         fill = dict.fromkeys(numbers, BELOW_ALL)
     elif numbers:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from rowloom.operators.columns import col
 from rowloom.operators.ordering import running_extreme
 from rowloom.plans.cv import _in_threads, _learner, fit_one_fold
 from rowloom.plans.models import Learner, prepare
-from rowloom.sources.stores import TrialStore
+from rowloom.sources.stores import TRIAL_SCHEMA, TrialStore
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,7 @@ def candidates(trials: DataFrame, space: Sequence[Dim], seed: int = 42) -> DataF
     return out
 
 
-# The ranges that are searched per model.
+# The ranges that are searched per model; depths end at the deepest tree that Spark grows.
 SPACES: dict[str, tuple[Dim, ...]] = {
     "gbt": (
         Dim("learning_rate", low=0.01, high=0.03),
@@ -95,7 +96,7 @@ SPACES: dict[str, tuple[Dim, ...]] = {
     "logreg": (Dim("C", low=1e-2, high=1e2, log=True),),
     "ridge": (Dim("alpha", low=1e-2, high=1e2, log=True),),
     "rf_reg": (Dim("n_estimators", "int", 50, 100), Dim("max_depth", "int", 4, 20)),
-    "rf_clf": (Dim("n_estimators", "int", 50, 150), Dim("max_depth", "int", 4, 100)),
+    "rf_clf": (Dim("n_estimators", "int", 50, 150), Dim("max_depth", "int", 4, 30)),
     "mlp": (
         Dim("hidden_dim1", "int", 256, 1024, step=32),
         Dim("hidden_dim2", "int", 128, step=32, below="hidden_dim1"),
@@ -114,14 +115,15 @@ def _as_params(row: Mapping) -> dict:
 
 
 def run_search(
-    objective: Callable[[dict], float | None], space: Sequence[Dim], n_trials: int, store: TrialStore,
+    objective: Callable[[dict], float | None | tuple[float | None, Mapping]], space: Sequence[Dim], n_trials: int, store: TrialStore,
     study: str, initial: Mapping | None = None, seed: int = 42, parallelism: int = 1,
 ) -> DataFrame:
     """Score ``n_trials`` more candidates and append them to the study.
 
     A study that exists is continued: numbering goes on after its last trial, so no
     candidate repeats. ``initial`` is tried first. Each trial is itself a distributed
-    fit; a trial that fails is stored without a score.
+    fit, and is appended as soon as it ends; one that fails is stored without a score.
+    An objective that changes parameters returns the score and those it used: these are stored.
     """
     spark = store.spark
     last = store.load(study).agg(F.max("trial").alias("t")).first()["t"]
@@ -135,38 +137,46 @@ def run_search(
         params = _as_params(drawn[number])
         try:
             value = objective(params)
+            if isinstance(value, tuple):
+                value, params = value
+            state = "complete" if value is not None else "fail"
         except Exception as error:  # one bad candidate must not lose the others
-            return number, {**params, "error": str(error)[:200]}, None, "fail"
-        return number, params, value, "complete" if value is not None else "fail"
-
-    done = _in_threads(spark, one, sorted(drawn), parallelism)
-    rows = [
-        (n, {k: str(v) for k, v in p.items()}, float(v) if v is not None else None, s)
-        for n, p, v, s in done
-    ]
-    store.append(
-        study,
-        spark.createDataFrame(rows, "trial long, params map<string,string>, value double, state string"),
-    )
+            value, params, state = None, {**params, "error": str(error)}, "fail"
+        row = (number, {k: str(v) for k, v in params.items()}, None if value is None else float(value), state)
+        with appending:
+            store.append(study, spark.createDataFrame([row], TRIAL_SCHEMA))
+
+    appending = Lock()
+    _in_threads(spark, one, sorted(drawn), parallelism)
     return store.load(study)
 
 
 def search_model(
     df: DataFrame, model: str | Learner, n_trials: int, store: TrialStore, study: str | None = None,
     space: Sequence[Dim] | None = None, fixed: Mapping | None = None, initial: Mapping | None = None,
-    layout: Layout = DEFAULT, seed: int = 42, fold: int = 0, parallelism: int = 1,
+    layout: Layout = DEFAULT, seed: int = 42, fold: int = 0, parallelism: int = 1, patience: int | None = None,
 ) -> DataFrame:
-    """Search a model's parameters, scoring each candidate on one fold."""
+    """Search a model's parameters, scoring each candidate on one fold.
+
+    ``fixed`` holds parameters outside the space; one inside it is an error. Stored are
+    the parameters of the fit, defaults included; with ``patience`` also the round kept.
+    """
     learner = _learner(model)
+    space = space or SPACES[learner.name]
+    searched = {"hidden_dims" if d.name.startswith("hidden_dim") else learner.aliases.get(d.name, d.name) for d in space}
+    clash = searched & {learner.aliases.get(n, n) for n in fixed or {}}
+    if clash:
+        raise ValueError(f"fixed parameters are searched: {sorted(clash)}")
     prepared = prepare(df, learner, layout)
 
     def objective(params):
-        merged = {**params, **(fixed or {})}
-        return fit_one_fold(df, learner, merged, fold, layout, seed, prepared=prepared)[1]
+        used = learner.resolve({**params, **(fixed or {})})
+        _, value, best = fit_one_fold(df, learner, used, fold, layout, seed, patience, prepared)
+        return value, {**used, "best_iteration": best} if patience is not None and best is not None else used
 
     try:
         return run_search(
-            objective, space or SPACES[learner.name], n_trials, store, study or f"{learner.name}_study",
+            objective, space, n_trials, store, study or f"{learner.name}_study",
             initial, seed, parallelism,
         )
     finally:

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.operators.columns import col
 
@@ -52,10 +53,13 @@ class PredictionStore:
 
     def load(self, level: str, model_ids: Sequence[str], kind: str) -> DataFrame:
         """Long table ``(model_id, id, pred)`` of the named models."""
-        table = self.spark.read.option("basePath", self.path).parquet(
-            *[f"{self.path}/level={level}/model_id={m}/kind={kind}" for m in model_ids]
-        )
-        return table.select(F.col("model_id").cast("string"), "id", "pred")
+        whole = self.spark.read.parquet(self.path)
+        kinds = [f for f in whole.schema if f.name not in ("level", "model_id", "kind")]
+        # names of models stay texts ("01" is not "1"); the filter reads the named partitions only
+        schema = T.StructType([*kinds, *[T.StructField(n, T.StringType()) for n in ("level", "model_id", "kind")]])
+        table = self.spark.read.schema(schema).parquet(self.path)
+        wanted = (F.col("level") == level) & (F.col("kind") == kind) & F.col("model_id").isin(list(model_ids))
+        return table.where(wanted).select("model_id", "id", "pred")
 
 
 TRIAL_SCHEMA = "trial long, params map<string,string>, value double, state string"

@@ -7,7 +7,7 @@ from tests.compare import connect, differences
 
 SQL = entry.oracle_sql()
 # fits that tests/test_models.py covers, or that repeat another model's way
-SLOW = ("oof_gbt", "oof_rf", "oof_mlp", "search_", "one_fold_", "permutation", "oof_logreg")
+SLOW = ("oof_gbt", "oof_rf", "oof_mlp", "one_fold_", "permutation", "oof_logreg")
 
 
 @pytest.fixture(scope="module")
