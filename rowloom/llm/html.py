@@ -178,8 +178,8 @@ def judged(found: list[Block]) -> list[bool]:
         elif label == "near":
             out[k] = "good" in (beside(k, -1, False)[0], beside(k, 1, False)[0])
     if not has_main and not any(out):
-        # nothing is long enough to be sure of: what is nearly good is all there is
-        out = [label == "near" for label in labels]
+        # nothing is long enough to be sure of: what is nearly good is all there is, or else what is short
+        out = [label == ("near" if "near" in labels else "short") for label in labels]
     return out
 
 

@@ -66,7 +66,7 @@ def minima(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def packed(mins: np.ndarray) -> np.ndarray:
     """The low bits of all minima, LANES to a 64-bit word."""
-    low = (mins.astype(np.uint64) & np.uint64((1 << LOW_BITS) - 1)).reshape(len(mins), -1, LANES)
+    low = (mins.astype(np.uint64) & np.uint64((1 << LOW_BITS) - 1)).reshape(len(mins), MINIMA // LANES, LANES)
     return np.bitwise_or.reduce(low << (np.arange(LANES, dtype=np.uint64) * np.uint64(LOW_BITS)), axis=2)
 
 
@@ -100,7 +100,7 @@ def _sketch(size: int):
             sizes = np.diff(bounds)
             full = np.flatnonzero(sizes)
             mins = minima(values, np.append(bounds[full], len(values))) if len(full) else np.zeros((0, MINIMA), np.uint32)
-            keys = (mins.reshape(-1, BANDS, BAND_ROWS).astype(np.uint64) * _BAND_FACTORS).sum(2, dtype=np.uint64)
+            keys = (mins.reshape(len(mins), BANDS, BAND_ROWS).astype(np.uint64) * _BAND_FACTORS).sum(2, dtype=np.uint64)
             keys = words.mixed(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
             words_ = packed(mins).view(np.int64)
             at = 0

@@ -215,7 +215,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = fresh_path(spark, "warc")
     write(pages, path)
     captures = assemble(read(spark, path, with_payload=False))
-    page = F.col("metadata.fields")["page-id"].cast(pages.schema["page_id"].dataType)
+    page = F.nullif(F.col("metadata.fields")["page-id"], F.lit("")).cast(pages.schema["page_id"].dataType)
     found = settle(captures.select(page.alias("page_id"), "record_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "captures")
     named = found.where("record_type = 'response'").select(F.col("record_id").alias("_id"), F.col("page_id").alias("_page")).dropDuplicates(["_id"])
     return found.join(named, F.col("refers_to") == F.col("_id"), "left").select(
