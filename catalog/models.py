@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 from pyspark.ml import PipelineModel
@@ -63,31 +64,63 @@ def input_table(model, spark, sf):
     return (tree_table if learner.trees else dense_table)(spark, sf), PLANTED
 
 
+def _sound(learner):
+    """A probability for classifiers, else a number."""
+    p = F.col("pred")
+    return p.between(0, 1) if learner.classifier else p.isNotNull() & ~F.isnan(p)
+
+
 def oof(model, spark, sf):
-    """Out-of-fold predictions of train rows and averaged predictions of test rows."""
+    """Out-of-fold predictions of train rows and averaged predictions of test rows: each row once, with a sound value."""
     df, layout = input_table(model, spark, sf)
-    result = cv.cross_validate(df, model, QUICK[model], layout)
+    learner = models.LEARNERS[model]
+    patience = 2 if learner.boosted else None
+    result = cv.cross_validate(df, model, QUICK[model], layout, patience=patience)
     test = result.test.select("id", F.lit("test").alias("part"), F.lit(None).cast("int").alias("fold"), "pred")
-    return result.oof.select("id", F.lit("oof").alias("part"), "fold", "pred").unionByName(test)
+    both = result.oof.select("id", F.lit("oof").alias("part"), "fold", "pred").unionByName(test)
+    return both.select("id", "part", "fold", _sound(learner).alias("sound"))
 
 
 def one_fold(model, spark, sf):
+    """The score of fold 0: of which metric, whether it beats a constant guess, whether the kept round was run."""
     df, layout = input_table(model, spark, sf)
-    patience = 2 if models.LEARNERS[model].boosted else None
+    learner = models.LEARNERS[model]
+    patience = 2 if learner.boosted else None
+    df = settle(df, "one-fold")
     _, value, best = cv.fit_one_fold(df, model, QUICK[model], 0, layout, patience=patience)
-    row = (model, models.LEARNERS[model].metric, float(value), best)
-    return spark.createDataFrame([row], "model string, metric string, value double, best_iteration int")
-
-
-def oof_logreg_multiclass(spark, sf):
-    """Ten classes; a probability per class."""
-    df = fx.table(spark, sf, "embeddings").select(
+    held = df.where("split = 'train' and fold = 0")
+    share, spread, n = held.agg(F.avg(layout.label), F.stddev_pop(layout.label), F.count("*")).first()
+    bar = {"auc": 0.5, "logloss": -share * math.log(share) - (1 - share) * math.log(1 - share) if learner.classifier else None, "rmse": spread}
+    better = value > bar["auc"] if learner.metric == "auc" else value < bar[learner.metric] * 1.02
+    row = (model, learner.metric, n, bool(better), best is None or 1 <= best <= QUICK[model]["rounds"])
+    return spark.createDataFrame([row], "model string, metric string, rows bigint, no_worse_than_constant boolean, round_was_run boolean")
+
+
+def one_fold_logreg_multiclass(spark, sf):
+    """Ten classes on one fold: the score is the log-loss of the right class's probability, as in the whole run."""
+    df = settle(folds.stratified_folds(_ten_classes(spark, sf)), "folds")
+    _, value, _ = cv.fit_one_fold(df, "logreg", {"C": 0.1})
+    result = cv.cross_validate(df, "logreg", {"C": 0.1})
+    whole = {r["fold"]: r["value"] for r in result.scores.collect()}
+    summary = result.summary().first()
+    row = (abs(value - whole[0]) < 1e-6, summary["folds"], min(whole.values()) <= summary["oof_score"] <= max(whole.values()))
+    result.release()
+    return spark.createDataFrame([row], "same_as_whole_run boolean, folds bigint, summary_within_folds boolean")
+
+
+def _ten_classes(spark, sf):
+    return fx.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("label").alias("target"),
         *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(64)],
         F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train").alias("split"),
     )
-    result = cv.cross_validate(folds.stratified_folds(df), "logreg", {"C": 0.1})
-    return result.oof.select("id", "fold", "pred")
+
+
+def oof_logreg_multiclass(spark, sf):
+    """Ten classes: a probability per class, ten of them, that add up to one."""
+    result = cv.cross_validate(folds.stratified_folds(_ten_classes(spark, sf)), "logreg", {"C": 0.1})
+    total = F.aggregate("pred", F.lit(0.0), lambda a, b: a + b)
+    return result.oof.select("id", "fold", F.size("pred").alias("classes"), (F.abs(total - 1) < 1e-9).alias("sound"))
 
 
 def oof_ridge_univariate(spark, sf):
@@ -347,7 +380,7 @@ QUERIES |= {f"search_{m}": partial(search_model, m) for m in QUICK}
 QUERIES |= {
     f.__name__: f
     for f in (
-        oof_logreg_multiclass, oof_ridge_univariate, ridge_univariate, full_train, model_roundtrip,
+        oof_logreg_multiclass, one_fold_logreg_multiclass, oof_ridge_univariate, ridge_univariate, full_train, model_roundtrip,
         gain_importance, permutation_importance, fold_average, cv_summary, best_fold, early_stop_pick,
         candidate_table, topk_trials, topk_trials_loss, trial_history, param_influence, meta_features,
         meta_features_scaled, meta_features_multiclass, weighted_blend, ensemble_weight_search,
@@ -388,7 +421,31 @@ _RIDGE = f"""{C}, d as (select id, balance/1000 as x, price/100000 as y,
       cast((row_number() over (order by md5('42_'||cast(id as varchar)), id)-1) % 5 as int) as fold
     from campaign where split='train')"""
 
-SQL = {f"search_{m}": _search_sql(m) for m in SEARCH_SPACES}
+_PLAIN = "cast((row_number() over (order by md5('42_'||cast(id as varchar)), id)-1) % 5 as int)"
+_STRATIFIED = "cast((row_number() over (partition by {y} order by md5('42_'||cast(id as varchar)), id)-1) % 5 as int)"
+
+
+def _folded_sql(model):
+    rule = _STRATIFIED.format(y="target_planted") if models.LEARNERS[model].classifier else _PLAIN
+    return f"with {C}, folded as (select id, {rule} as fold from campaign where split = 'train')"
+
+
+def _oof_sql(model):
+    return f"""{_folded_sql(model)} select id, 'oof' as part, fold, true as sound from folded
+        union all select id, 'test', null, true from campaign where split = 'test'"""
+
+
+def _one_fold_sql(model):
+    return f"""{_folded_sql(model)} select '{model}' as model, '{models.LEARNERS[model].metric}' as metric, count(*) as rows,
+        true as no_worse_than_constant, true as round_was_run from folded where fold = 0"""
+
+
+SQL = {f"oof_{m}": _oof_sql(m) for m in QUICK} | {f"one_fold_{m}": _one_fold_sql(m) for m in QUICK}
+SQL["oof_logreg_multiclass"] = f"""with d as (select vec_id as id, label as y from embeddings where vec_id % 5 <> 0)
+    select id, {_STRATIFIED.format(y='y')} as fold, cast(10 as int) as classes, true as sound from d"""
+SQL["one_fold_logreg_multiclass"] = """select true as same_as_whole_run, count(distinct vec_id % 5) as folds, true as summary_within_folds
+    from embeddings"""
+SQL |= {f"search_{m}": _search_sql(m) for m in SEARCH_SPACES}
 SQL |= {
     "oof_ridge_univariate": f"""with {_RIDGE}, k as (select distinct fold f from d),
         s as (select f, count(*) n, sum(x) sx, sum(y) sy, sum(x*y) sxy, sum(x*x) sxx from k join d on d.fold<>k.f group by f),
