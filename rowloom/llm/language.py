@@ -91,8 +91,9 @@ def _evidence(page: Column, table: np.ndarray) -> Column:
 
 
 def _votes(rows: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
-    """Per key, how many pages' texts speak for each language."""
-    return rows.groupBy(*keys).agg(F.array(*[F.sum((F.col("vote") == k).cast("double")) for k in range(n)]).alias(name))
+    """Per key, how many pages' texts speak for each language; written, so that joins with hot keys can be split."""
+    votes = rows.groupBy(*keys).agg(F.array(*[F.sum((F.col("vote") == k).cast("double")) for k in range(n)]).alias(name))
+    return settle(votes, "votes") if keys else votes
 
 
 def identify(

@@ -55,7 +55,8 @@ def write(pages: DataFrame, path: str, *, id_column: str = "page_id", url_column
         F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).alias("n"),
     )
     identity = lambda page, digest: F.concat(F.coalesce(page, F.lit("-")), F.lit("|"), digest)
-    first = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("order").cast("string").alias("first"))
+    # written first, so that the join has plain shuffles on both sides and a hot digest can be split
+    first = settle(rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("order").cast("string").alias("first")), "warc-first")
     held = rows.join(first, "digest", "left").withColumn("me", identity(F.col("id"), F.col("digest")))
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
