@@ -287,3 +287,64 @@ def test_every_feature_set_builds(spark, version):
     assert not [c for c in got.columns if "_target" in c or "target_" in c]
     if recipes.FEATURE_SETS[version][1] == 3:
         assert not [c for c in got.columns if c.startswith("default")]
+
+
+def test_search_stores_what_was_fitted(spark, table):
+    df = folds.plain_folds(table.select("id", "split", "a", "b", F.col("y").alias("target")))
+    store = TrialStore(spark, fresh_path(spark, "t"))
+    with pytest.raises(ValueError, match="are searched"):
+        search.search_model(df, "ridge", 1, store, fixed={"alpha": 3.0})
+    trials = search.search_model(df, "ridge", 2, store, study="r", fixed={"fit_intercept": False}).collect()
+    for r in trials:
+        assert r["params"]["fit_intercept"] == "False"
+        _, value, _ = cv.fit_one_fold(df, "ridge", {"alpha": float(r["params"]["alpha"]), "fit_intercept": False})
+        assert value == pytest.approx(r["value"], abs=1e-9)
+
+
+def test_search_appends_each_trial(spark):
+    store = TrialStore(spark, fresh_path(spark, "t"))
+    stored = []
+
+    def objective(params):
+        stored.append(store.load("s").count())
+        if len(stored) == 3:
+            raise KeyboardInterrupt
+        return 1.0, {"C": 5.0}
+
+    with pytest.raises(KeyboardInterrupt):
+        search.run_search(objective, search.SPACES["logreg"], 5, store, "s")
+    assert stored == [0, 1, 2]
+    assert {r["params"]["C"] for r in store.load("s").collect()} == {"5.0"}
+
+
+def test_model_names_stay_texts(spark):
+    store = PredictionStore(spark, fresh_path(spark, "p"))
+    one = spark.createDataFrame([(1, 0.5)], "id long, pred double")
+    for name in ("01", "1", "it's/a b"):
+        store.save(one, "l1", name, "oof")
+    assert {r["model_id"] for r in store.load("l1", ["01", "1", "it's/a b"], "oof").collect()} == {"01", "1", "it's/a b"}
+    assert store.load("l1", ["01"], "oof").count() == 1
+
+
+def test_several_classes_are_scored_alike(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 4, 400)
+    x = rng.normal(size=(400, 3)) + np.eye(4)[y][:, :3]
+    data = pd.DataFrame({"id": np.arange(400), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "target": y, "split": "train"})
+    df = folds.stratified_folds(spark.createDataFrame(data))
+    result = cv.cross_validate(df, "logreg", {"C": 1.0})
+    oof = result.oof.toPandas()
+    p = np.clip(np.stack(oof["pred"]), 1e-15, 1 - 1e-15)
+    oof["loss"] = -np.log(p[np.arange(len(p)), oof["target"].astype(int)])
+    assert result.summary().first()["oof_score"] == pytest.approx(oof["loss"].mean(), abs=1e-6)
+    _, value, _ = cv.fit_one_fold(df, "logreg", {"C": 1.0}, fold=2)
+    assert value == pytest.approx(oof[oof["fold"] == 2]["loss"].mean(), abs=1e-4)
+    result.release()
+
+
+def test_limits_are_errors(spark, table):
+    with pytest.raises(ValueError, match="at most 30"):
+        models.LEARNERS["rf_clf"].resolve({"max_depth": 31})
+    with pytest.raises(ValueError, match="levels"):
+        models.prepare(table.select("id", "split", "target", "kind"), models.LEARNERS["gbt"], max_levels=2)
+    assert models.LEARNERS["mlp"].resolve({"lr": 0.1})["solver"] == "gd"

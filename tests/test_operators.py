@@ -307,15 +307,15 @@ def test_density_equals_numpy(rows, table):
     assert "once" not in set(got["level"])
 
 
-def test_correlations_of_pairs_with_gaps(spark, monkeypatch):
+def test_correlations_of_pairs_with_gaps(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame(rng.normal(1e6, 1, (500, 3)), columns=list("abc"))
     pdf.loc[::5, "a"] = np.nan
-    df = columns.nan_to_null(spark.createDataFrame(pdf))
-    for limit in (60, 0):
-        monkeypatch.setattr(profile, "NARROW_PAIRS", limit)
-        got = profile.correlations(df, list("abc")).toPandas().pivot(index="col_a", columns="col_b", values="corr")
-        assert np.allclose(got, pdf.corr().to_numpy(), atol=1e-9)
+    pdf["same"] = 0.1
+    got = profile.correlations(spark.createDataFrame(pdf), list("abc") + ["same"]).toPandas()
+    got = got.pivot(index="col_a", columns="col_b", values="corr")
+    assert np.allclose(got.loc[list("abc"), list("abc")].astype(float), pdf[list("abc")].corr().to_numpy(), atol=1e-9)
+    assert got.loc["same"].isna().all()
 
 
 def test_no_missing_gives_no_rows(table):
@@ -326,3 +326,23 @@ def test_histogram_counts_every_row(rows, table):
     got = profile.histogram(table, ["x"], 30).toPandas().sort_values("bin")
     counts, _ = np.histogram(rows["x"], 30)
     assert (got["count"].to_numpy() == counts).all()
+
+
+@pytest.mark.parametrize("small_rows", [10**6, 0])
+def test_nan_is_missing_in_quantiles(spark, small_rows):
+    values = [float(i) for i in range(400)] + [float("nan")] * 50 + [None] * 50
+    df = spark.createDataFrame([(i, v, "g") for i, v in enumerate(values)], "id long, v double, g string")
+    found = quantiles.column_quantiles(df, {"v": [0.0, 0.9, 1.0]}, small_rows=small_rows, accuracy=100)["v"]
+    assert np.allclose(found, np.quantile(np.arange(400), [0.0, 0.9, 1.0]))
+    row = quantiles.group_quantiles(df, "g", "v", [0.5, 1.0], small_rows=small_rows).first()
+    assert row["n"] == 400 and np.allclose(row["q"], [199.5, 399.0])
+    summary = profile.numeric_summary(df, ["v"], small_rows=small_rows).first()
+    assert summary["count"] == 400 and summary["max"] == 399.0 and summary["p90"] == found[1]
+
+
+def test_repeated_ids_do_not_multiply_rows(spark):
+    a = spark.createDataFrame([(1, 1.0), (1, 2.0)], "id long, x double")
+    b = spark.createDataFrame([(1, 3.0)], "id long, y double")
+    for pair in ((a, b), (b, a)):
+        with pytest.raises(PySparkException, match="id repeats"):
+            joins.side_by_side(*pair).collect()
