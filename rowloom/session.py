@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def build_session(name: str = "rowloom", master: str | None = None, **conf) -> SparkSession:
@@ -49,7 +50,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/rowloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/rowloom/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete what this session wrote below the shared folder by ``fresh_path`` and ``settle``.
+
+    Results that are not stored elsewhere can't be read after it; call it when they are.
+    """
+    context = spark.sparkContext
+    for path in _written.pop(context.applicationId, []):
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from rowloom.session import build_session  # noqa: E402
+from rowloom.session import build_session, discard  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,6 +20,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    discard(session)
     session.stop()
 
 
