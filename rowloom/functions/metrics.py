@@ -35,7 +35,7 @@ def auc(
     label: str,
     by: Sequence[str] = (),
     out: str = "auc",
-    buckets: int = 256,
+    buckets: int | None = None,
 ) -> DataFrame:
     """ROC-AUC with half credit for ties; NULL where only one class is present.
 

@@ -59,11 +59,24 @@ def shuffled_rank(
     )
 
 
-def sketch_edges(df: DataFrame, name: str, buckets: int = 256) -> list[float]:
-    """Distinct cut points that split the values of ``name`` into even buckets, roughly."""
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(col(name).cast("double"), shares, 10_000).alias("e")).first()
-    return sorted(set(found["e"] or []))
+#: rows that a bucket should hold, and the fewest and most buckets
+BUCKET_ROWS, BUCKETS = 200_000, (256, 4096)
+
+
+def sketch_edges(df: DataFrame, name: str, buckets: int | None = None) -> list[float]:
+    """Distinct cut points that split the values of ``name`` into even buckets, roughly.
+
+    Without ``buckets`` there are as many as the rows need, within BUCKETS.
+    """
+    most = buckets or BUCKETS[1]
+    shares = [i / most for i in range(1, most)]
+    x = col(name).cast("double")
+    found = df.agg(F.percentile_approx(x, shares, 10 * most).alias("e"), F.count(x).alias("n")).first()
+    edges = found["e"] or []
+    if buckets is None:
+        wanted = min(max(BUCKETS[0], -(-found["n"] // BUCKET_ROWS)), most)
+        edges = edges[:: most // wanted]
+    return sorted(set(edges))
 
 
 def bucket_columns(df: DataFrame, edges: dict[str, list[float]], prefix: str) -> DataFrame:
@@ -97,7 +110,7 @@ def running_extreme(
     value: str,
     direction: str,
     out: str,
-    buckets: int = 256,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Best value so far along ``order`` inside each ``by`` group, NULLs skipped.
 

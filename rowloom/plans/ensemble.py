@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,7 +90,8 @@ def weight_candidates(trials: DataFrame, model_ids: Sequence[str], seed: int = 4
     return raw.where(total > 0).select("trial", *[(F.col(n) / total).alias(n) for n in names])
 
 
-MAX_CANDIDATES = 100_000
+#: candidates that are held at once
+BLOCK_CANDIDATES = 100_000
 BLOCK_CELLS = 2_000_000
 
 
@@ -102,13 +104,11 @@ def search_weights(
     First all candidates are scored coarsely in one pass: tasks reduce their rows to
     counts per candidate and score bin, which bound every AUC from both sides (pairs
     in one bin count as lost or as won). Only candidates whose upper bound reaches the
-    top_k-th best lower bound are then scored exactly, so the answer is exact.
+    top_k-th best lower bound are then scored exactly, so the answer is exact. Any number of
+    candidates is worked off in blocks. A row without one of the predictions is an error.
     """
     ids = list(model_ids)
     names = [f"w{i}" for i in range(len(ids))]
-    drawn = weights.select("trial", *names).limit(MAX_CANDIDATES + 1).collect()
-    if len(drawn) > MAX_CANDIDATES:
-        raise ValueError(f"over {MAX_CANDIDATES} candidates: search them in parts")
     wide = (
         preds.where(F.col("model_id").isin(ids)).groupBy(layout.id)
         .agg(*[F.max(F.when(F.col("model_id") == m, F.col("pred"))).alias(f"p{i}") for i, m in enumerate(ids)])
@@ -121,13 +121,23 @@ def search_weights(
     spans = wide.agg(
         F.min(F.least(*[f"p{i}" for i in range(len(ids))]) if len(ids) > 1 else F.col("p0")),
         F.max(F.greatest(*[f"p{i}" for i in range(len(ids))]) if len(ids) > 1 else F.col("p0")),
+        F.count_if(F.exists(F.array(*[F.col(f"p{i}") for i in range(len(ids))]), lambda p: p.isNull())),
     ).first()
     low, high = spans[0], spans[1]
-    spark = preds.sparkSession
-    if low is None:
-        return spark.createDataFrame([], "trial long, auc double")
+    if spans[2]:
+        raise ValueError(f"{spans[2]} rows lack a prediction of {ids}")
+    found = []
+    candidates = weights.select("trial", *names).toLocalIterator()
+    while low is not None and (drawn := list(islice(candidates, BLOCK_CANDIDATES))):
+        found += [tuple(r) for r in _search_block(wide, drawn, names, low, high, top_k, bins)]
+    best = sorted(found, key=lambda r: (-r[1], r[0]))[:top_k]
+    return preds.sparkSession.createDataFrame(best, "trial long, auc double").orderBy(F.desc("auc"), "trial")
+
+
+def _search_block(wide, drawn, names, low, high, top_k, bins) -> list:
+    """The ``top_k`` best of the drawn candidates."""
     matrix = [[r[n] for r in drawn] for n in names]
-    columns = [f"p{i}" for i in range(len(ids))]
+    columns = [f"p{i}" for i in range(len(names))]
     width = (high - low) or 1.0
 
     def partial(batches: Iterator, block: tuple[int, int]) -> Iterator:
@@ -160,7 +170,7 @@ def search_weights(
         )
         bounds += _auc_bounds(cells).collect()
     if not bounds:
-        return spark.createDataFrame([], "trial long, auc double")
+        return []
     bar = sorted((r["low"] for r in bounds), reverse=True)[:top_k][-1]
     # float sums may differ in the last digits, hence the margin
     kept = [r["c"] for r in bounds if r["high"] >= bar - 1e-9]
@@ -168,7 +178,7 @@ def search_weights(
     for start in range(0, len(kept), 200):
         part = _exact_scores(wide, matrix, drawn, kept[start:start + 200])
         exact = part if exact is None else exact.unionByName(part)
-    return exact.orderBy(F.desc("auc"), "trial").limit(top_k)
+    return exact.orderBy(F.desc("auc"), "trial").limit(top_k).collect()
 
 
 def _auc_bounds(cells: DataFrame) -> DataFrame:
