@@ -202,8 +202,11 @@ def assemble(records: DataFrame) -> DataFrame:
     )
     for kind in ("request", "metadata"):
         out = out.join(numbered(kind, "concurrent_to"), ["_key", "_copy"], "left")
-    originals = answers.where("type = 'response' and _copy = 1").select(F.col("record_id").alias("_original"), F.col("payload_bytes").alias("_bytes"))
-    out = out.join(originals, F.col("refers_to") == F.col("_original"), "left")
+    originals = settle(
+        answers.where("type = 'response' and _copy = 1").select(F.col("record_id").alias("_original"), F.col("payload_bytes").alias("_bytes")), "originals"
+    )
+    # a response meets itself, so that rows without a reference do not gather in one task
+    out = out.join(originals, F.coalesce("refers_to", "record_id") == F.col("_original"), "left")
     return out.withColumn("payload_bytes", F.coalesce("payload_bytes", "_bytes")).drop("_key", "_copy", "_original", "_bytes")
 
 
@@ -219,6 +222,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     page = F.nullif(F.col("metadata.fields")["page-id"], F.lit("")).cast(pages.schema["page_id"].dataType)
     found = settle(captures.select(page.alias("page_id"), "record_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "captures")
     named = found.where("record_type = 'response'").select(F.col("record_id").alias("_id"), F.col("page_id").alias("_page")).dropDuplicates(["_id"])
-    return found.join(named, F.col("refers_to") == F.col("_id"), "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", F.col("_page").alias("refers_to")
+    named = settle(named, "named")
+    return found.join(named, F.coalesce("refers_to", "record_id") == F.col("_id"), "left").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), F.col("_page")).alias("refers_to")
     )
