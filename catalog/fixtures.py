@@ -50,6 +50,7 @@ def campaign(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+CAMPAIGN_FEATURES = ["price", "balance", "n_items", "qty", "ship_gap", "status", "segment", "nation", "returned"]
 CAMPAIGN = """li as (select l_orderkey, count(*) n_items, sum(l_quantity) qty,
     max(l_shipdate) last_ship, max(case when l_returnflag='R' then 1 else 0 end) has_r
   from lineitem group by l_orderkey),

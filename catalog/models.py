@@ -150,7 +150,7 @@ def full_train(spark, sf):
     preds = cv.full_train(tree_table(spark, sf), "gbt", 4.6, QUICK["gbt"], PLANTED)
     store = stores.PredictionStore(spark, fresh_path(spark, "preds"))
     store.save(preds, "l1", "gbt", "test_full")
-    return store.load("l1", ["gbt"], "test_full")
+    return store.load("l1", ["gbt"], "test_full").select("model_id", "id", _sound(models.LEARNERS["gbt"]).alias("sound"))
 
 
 def model_roundtrip(spark, sf):
@@ -177,7 +177,13 @@ def gain_importance(spark, sf):
     rows = p.data.where("split = 'train'")
     fit = models.LEARNERS["gbt"].estimator(QUICK["gbt"], stats, 42).setLabelCol("target_planted").fit(rows)
     p.release()
-    return cv.gain_importance(fit, p.names, spark)
+    shares = cv.gain_importance(fit, p.names, spark)
+    return _told_by(shares, "importance").withColumn("adds_up", F.lit(abs(shares.agg(F.sum("importance")).first()[0] - 100) < 0.1))
+
+
+def _told_by(table, value):
+    """How many features a table of importances has, and the first: the label was planted on the price most of all."""
+    return table.agg(F.count(F.lit(1)).alias("features"), F.max_by("feature", value).alias("first"))
 
 
 def permutation_importance(spark, sf):
@@ -186,7 +192,9 @@ def permutation_importance(spark, sf):
     stats = cv.fold_stats(p, PLANTED)[0]
     train = p.data.where("split = 'train'")
     fit = learner.estimator(QUICK["gbt"], stats, 42).setLabelCol("target_planted").fit(train.where("fold <> 0"))
-    return cv.permutation_importance(fit, p, learner, train.where("fold = 0"), PLANTED)
+    drops = cv.permutation_importance(fit, p, learner, train.where("fold = 0"), PLANTED)
+    p.release()
+    return _told_by(drops, "drop")
 
 
 def flagship(spark, sf):
@@ -441,6 +449,11 @@ def _one_fold_sql(model):
 
 
 SQL = {f"oof_{m}": _oof_sql(m) for m in QUICK} | {f"one_fold_{m}": _one_fold_sql(m) for m in QUICK}
+_FEATURES = "count(*) as features, 'price' as first"
+_NAMES = f"(select unnest({fx.CAMPAIGN_FEATURES}) as name)"
+SQL["gain_importance"] = f"select {_FEATURES}, true as adds_up from {_NAMES}"
+SQL["permutation_importance"] = f"select {_FEATURES} from {_NAMES}"
+SQL["full_train"] = f"with {C} select 'gbt' as model_id, id, true as sound from campaign where split = 'test'"
 SQL["oof_logreg_multiclass"] = f"""with d as (select vec_id as id, label as y from embeddings where vec_id % 5 <> 0)
     select id, {_STRATIFIED.format(y='y')} as fold, cast(10 as int) as classes, true as sound from d"""
 SQL["one_fold_logreg_multiclass"] = """select true as same_as_whole_run, count(distinct vec_id % 5) as folds, true as summary_within_folds
