@@ -234,7 +234,8 @@ def near_duplicates(
         classes, F.col("doc_id") == F.col("node")
     ).select("node", "n_shingles", "bands", "signature")
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("band", "a")
+    # written first: a join of two plain shuffles lets Spark split the rows of a hot band
+    shared = settle(banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("band", "a"), "bands")
     candidates = banded.join(shared, "band").where("node != a").select("a", F.col("node").alias("b"))
     clusters = components(candidates).withColumnRenamed("component", "cluster")
     # large clusters are cut into chunks, by rows and by shingles
@@ -256,7 +257,10 @@ def near_duplicates(
     links = shipped.mapInArrow(_linker(size, percent), "a bigint, b bigint")
     linked = components(links)
     final = classes.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(final, "digest", "left")
+    # texts without shingles get keys of their own, so that they do not gather in one task
+    alone = F.encode(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "utf-8")
+    keyed = sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).otherwise(alone).alias("digest"))
+    out = keyed.join(final, "digest", "left")
     component = F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
