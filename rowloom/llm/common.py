@@ -18,8 +18,8 @@ def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def fold(id_column: Column, parts: int) -> Column:
-    """crc32 of the id as text, modulo ``parts``."""
-    return F.crc32(id_column.cast("string").cast("binary")) % parts
+    """crc32 of the id as text, modulo ``parts``; -1 without an id."""
+    return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % parts, F.lit(-1))
 
 
 def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
