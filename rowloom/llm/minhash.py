@@ -236,7 +236,7 @@ def near_duplicates(
     banded = nodes.select("node", F.explode("bands").alias("band"))
     # written first: a join of two plain shuffles lets Spark split the rows of a hot band
     shared = settle(banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("band", "a"), "bands")
-    candidates = banded.join(shared, "band").where("node != a").select("a", F.col("node").alias("b"))
+    candidates = banded.join(shared.hint("merge"), "band").where("node != a").select("a", F.col("node").alias("b"))
     clusters = components(candidates).withColumnRenamed("component", "cluster")
     # large clusters are cut into chunks, by rows and by shingles
     members = settle(clusters.join(nodes.select("node", "n_shingles", "signature").dropDuplicates(["node"]), "node"), "members")

@@ -330,16 +330,17 @@ def repeated_spans(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     )
     found = settle(base.select("doc", "tag", _anchor_column(F.col("text"), length, gram).alias("f")).select("doc", "tag", "f.*"), "anchors")
     each = found.select("doc", "tag", F.explode(F.arrays_zip("s", "dmin", "dmax", "key", "region", "times")).alias("x")).select("doc", "tag", "x.*")
-    # narrow sides are written first: a join of two plain shuffles lets Spark split the rows of a hot gram
+    # narrow sides are written first: a join of two plain shuffles lets Spark split the rows of a hot gram. They grow
+    # with the documents, so they are never broadcast: one plan at every size
     common = settle(each.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key"), "common")
-    shared = settle(each.join(common, "key"), "shared")
+    shared = settle(each.join(common.hint("merge"), "key"), "shared")
     same = ["key", "region", "dmin", "dmax"]
     regions = settle(
         shared.groupBy(*same).agg(F.sum("times").alias("times"), F.min(F.struct("doc", "tag", "s")).alias("at")).select(*same, "times", "at.*"), "regions"
     )
     known = shared.join(regions.where("times > 1").select(*same), same).select("doc", "tag", (F.col("s") - F.col("dmax")).alias("a"), (F.col("s") - F.col("dmin") + length).alias("b"))
     kinds = settle(regions.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "kinds")
-    several = regions.join(kinds, "key").withColumn("hot", F.col("n") > hot)
+    several = regions.join(kinds.hint("merge"), "key").withColumn("hot", F.col("n") > hot)
     listed = settle(
         several.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "s", "dmin", "dmax", "times", "hot")).alias("listed")), "listed"
     )
