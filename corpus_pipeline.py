@@ -10,6 +10,8 @@ from rowloom.llm.common import text_batches
 from rowloom.session import settle
 
 THRESHOLD = 0.5
+#: similarity of near-duplicates in per cent; the 85 of op4 is that query's own
+NEAR_PERCENT = 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows without an id stay if no row with an id has their words; those of equal sets stay together.
     """
-    groups = minhash.near_duplicates(docs)
+    groups = minhash.near_duplicates(docs, percent=NEAR_PERCENT)
     gone = groups.where(F.col("component_id").isNotNull() & ~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
 

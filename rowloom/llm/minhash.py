@@ -218,8 +218,8 @@ def near_duplicates(
     component. Rows without an id count for no other row, but take the component of equal texts (null if all
     lack an id, and then kept is false). An empty table gives no rows; other columns are ignored.
 
-    Shingles are 64-bit hashes. A link of similarity 0.85 shares no band with probability 2e-8, and none is
-    dropped for another reason: groups of any size are compared whole.
+    Shingles are 64-bit hashes. A link of similarity 0.85 shares no band with probability 2e-8, one of 0.80 with
+    3e-6, and none is dropped for another reason: groups of any size are compared whole.
     """
     spark = docs.sparkSession
     text_batches(spark)

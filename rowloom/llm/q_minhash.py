@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from rowloom.llm.minhash import near_duplicates
 
+PERCENT = 85
+
 
 def op4_minhash_near_dedup(spark, sf):
-    return near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"), percent=PERCENT)
 
 
 OP4_SQL = r"""

@@ -219,3 +219,15 @@ def test_pipeline_against_brute_force(spark, sf):
         taken[r.source] += r.taken
     assert all(taken[s] == round(want[s]) for s in sizes)
     assert Counter(map(tuple, corpus_pipeline.run(spark, sf).collect())) == Counter(map(tuple, mixed))
+
+
+def test_pipeline_joins_documents_of_similarity_80(spark, sf):
+    own = [f"w{k}" for k in range(54)]
+    # 45 of 55 shingles in common: 0.818
+    pair = [(-2, " ".join(own)), (-1, " ".join(own[:27] + ["x"] + own[28:]))]
+    assert brute.components(pair, 85) == {-2: -2, -1: -1}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(pair, "doc_id long, text string"))
+    groups = brute.components([tuple(r) for r in docs.collect()], 80)
+    kept = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, docs, sf)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in groups.items() if i == c)
+    assert groups[-1] == -2

@@ -96,6 +96,17 @@ def test_near_duplicates_in_several_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == brute.components(rows)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_at_a_given_similarity(spark, percent):
+    # one changed word in a row of n takes 5 of n - 4 shingles: similarities from 0.74 to 0.90
+    rows = []
+    for n in range(38, 96, 2):
+        own = [f"w{n}_{k}" for k in range(n)]
+        rows += [(2 * n, " ".join(own)), (2 * n + 1, " ".join(own[: n // 2] + ["x"] + own[n // 2 + 1 :]))]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in out} == brute.components(rows, percent)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (7, None), (8, ""), (None, "z"), (9, "A b  c d e f")]
     out = Counter(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
