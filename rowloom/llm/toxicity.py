@@ -131,9 +131,10 @@ def dictionaries(seen: DataFrame) -> CompressionModel:
     return CompressionModel(_content(toxic, OWN_BYTES) + shared, b" " * OWN_BYTES + shared)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, *, ridge: float = 0.05, steps: int = 50) -> tuple[float, ...]:
-    """Logistic regression by Newton steps; one class alone gives its smoothed share."""
-    share = (y.sum() + 0.5) / (len(y) + 1)
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, *, ridge: float = 0.05, steps: int = 50) -> tuple[float, ...]:
+    """Logistic regression of weighted rows by Newton steps; one class alone gives its smoothed share."""
+    weight = np.ones(len(y)) if weight is None else weight
+    share = ((weight * y).sum() + 0.5) / (weight.sum() + 1)
     beta = np.zeros(x.shape[1] + 1)
     beta[0] = np.log(share / (1 - share))
     if 0 < y.sum() < len(y):
@@ -141,8 +142,8 @@ def calibrate(x: np.ndarray, y: np.ndarray, *, ridge: float = 0.05, steps: int =
         penalty = np.diag([1e-9, *[ridge] * x.shape[1]])
         for _ in range(steps):
             p = logistic(a @ beta)
-            h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + penalty
-            move = np.linalg.solve(h, a.T @ (y - p) - penalty @ beta)
+            h = (a * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ a + penalty
+            move = np.linalg.solve(h, a.T @ (weight * (y - p)) - penalty @ beta)
             beta += np.clip(move, -2, 2)
     return tuple(float(b) for b in beta)
 
@@ -150,13 +151,15 @@ def calibrate(x: np.ndarray, y: np.ndarray, *, ridge: float = 0.05, steps: int =
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_column: str = "doc_id", max_rows: int = MAX_ROWS) -> CompressionModel:
     """Fit on at most ``max_rows`` labelled rows of each class, those with the smallest hash of the id.
 
-    One half trains the dictionaries, the other calibrates. Null labels and ids without a text are left out; without
+    One half trains the dictionaries, the other calibrates, its rows weighted by the counts of the classes over all
+    labels, so that the score's prior does not depend on ``max_rows``. Null labels and ids without a text are left out; without
     labels the score is one half everywhere.
     """
     text_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(
         F.max(label).cast("int").alias("_y")
     )
+    counts = {r._y: r["count"] for r in known.groupBy("_y").count().collect()}
     sample = bounded_sample(known.where("_y = 1"), F.col("_id"), max_rows).unionByName(bounded_sample(known.where("_y = 0"), F.col("_id"), max_rows))
     seen = settle(
         docs.select(F.col(id_column).alias("_id"), "text").join(F.broadcast(sample), "_id").withColumn("_half", F.expr("pmod(xxhash64(3, _id), 2)")), "toxicity"
@@ -179,7 +182,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_column:
         # a window counts from the saving that few ordinary texts reach in any window
         model.threshold = float(np.quantile(values[y == 0, 0], 0.99)) + 1
         values, y = measured(model)
-    model.weights = calibrate(values, y) if len(y) else model.weights
+    if len(y):
+        # each sampled row stands for so many labelled ones; the mean over the sample is 1
+        held = np.array([counts.get(k, 0) for k in (0, 1)], float)
+        taken = np.minimum(held, max_rows)
+        each = held / np.maximum(taken, 1) * taken.sum() / held.sum()
+        model.weights = calibrate(values, y, each[y.astype(int)])
     return model
 
 

@@ -53,6 +53,16 @@ def test_scores_of_odd_rows(spark):
         assert {r.score for r in module.score(docs, blank).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("max_rows", [1_000, 100, 40])
+def test_toxicity_keeps_the_class_ratio_of_all_labels(spark, max_rows):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["sun", "rain", "wind", "snow"]) for _ in range(12)), int(i % 10 == 0)) for i in range(1_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table.drop("toxic"), table.drop("text"), max_rows=max_rows)
+    scores = [r.score for r in toxicity.score(table.drop("toxic"), model).collect()]
+    assert abs(np.mean(scores) - 0.1) < 0.06
+
+
 def test_additive_model_finds_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 5))
