@@ -21,8 +21,8 @@ from rowloom.llm.html import main_text
 from rowloom.session import settle
 
 BUCKETS = 1 << 15
-#: most languages of a model, those with the most documents
-MAX_LANGUAGES = 64
+#: languages whose counts a task holds at a time, 256 KB each; then it passes them on and begins anew
+HELD_LANGUAGES = 64
 #: trigrams overlap, so a text says less than the sum of its trigrams
 TEMPER = 1 / 3
 #: pseudo-counts: pages that a host's and a suffix's prior are worth before any page is seen; confusion of declarations
@@ -45,15 +45,27 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _counter(languages: list[str]):
     index = {lang: k for k, lang in enumerate(languages)}
 
+    def rows(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
+        k = np.array(list(totals), np.int32)
+        table = np.stack(list(totals.values())) if totals else np.zeros((0, BUCKETS), np.int64)
+        row, bucket = np.nonzero(table)
+        return pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(bucket.astype(np.int32)), pa.array(table[row, bucket])], ["k", "bucket", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(languages), BUCKETS), np.int64)
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
             which = np.array([index[v] for v in batch.column("lang").to_pylist()], np.int64)
             for first, last, data, offsets in words.slices(batch.column("text")):
                 row, bucket = trigrams(data, offsets)
-                totals += np.bincount(which[first:last][row] * BUCKETS + bucket, minlength=totals.size).reshape(totals.shape)
-        k, bucket = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(totals[k, bucket])], ["k", "bucket", "n"])
+                lang = which[first:last][row]
+                for k in np.unique(lang).tolist():
+                    if k not in totals:
+                        if len(totals) >= HELD_LANGUAGES:
+                            yield rows(totals)
+                            totals = {}
+                        totals[k] = np.zeros(BUCKETS, np.int64)
+                    totals[k] += np.bincount(bucket[lang == k], minlength=BUCKETS)
+        yield rows(totals)
 
     return run
 
@@ -62,10 +74,10 @@ def likelihoods(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and the log-probability of each trigram bucket in each, from all documents with a language."""
     text_batches(documents.sparkSession)
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
     if not languages:
         return [], np.zeros((0, BUCKETS))
-    counted = known.where(F.col("lang").isin(languages)).select("lang", "text").mapInArrow(_counter(languages), "k int, bucket int, n bigint")
+    counted = known.select("lang", "text").mapInArrow(_counter(languages), "k int, bucket int, n bigint")
     table = counted.groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
     totals = np.zeros((len(languages), BUCKETS))
     totals[table.column("k").to_numpy(), table.column("bucket").to_numpy()] = table.column("n").to_numpy()

@@ -188,6 +188,21 @@ def test_language_evidence(spark):
     assert language.identify(pages.where("false"), docs).collect() == []
 
 
+def test_every_language_is_identified(spark):
+    rng = random.Random(1)
+    names = [f"{a}{b}" for a in "abcdefgh" for b in "abcdefghi"]
+    prose = {lang: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(40)) for lang in names}
+    # the last language of the alphabet has the fewest documents
+    docs = spark.createDataFrame([(lang, prose[lang]) for lang in names for _ in range(1 + (lang != names[-1]))], "lang string, text string").coalesce(1)
+    assert len(names) > language.HELD_LANGUAGES
+    found, table = language.likelihoods(docs)
+    assert found == names and table.shape == (len(names), language.BUCKETS)
+    for k, lang in enumerate(names):
+        data = np.frombuffer(prose[lang].encode(), np.uint8)
+        _, bucket = language.trigrams(data, np.array([0, len(data)]))
+        assert int(np.argmax(table[:, bucket].sum(1))) == k
+
+
 def test_pipeline_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
