@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_mixing", "q_quality", "q_decontaminate", "q_minhash", "q_repeats", "q_toxicity", "q_html", "q_warc", "q_neighbours", "q_language", "q_simhash", "q_collocations"]
+MODULES = ["q_mixing", "q_quality", "q_decontaminate", "q_minhash", "q_repeats", "q_toxicity", "q_html", "q_warc", "q_neighbours", "q_language", "q_simhash", "q_collocations", "q_conversations"]
 
 
 def _merged(attribute: str) -> dict:
