@@ -5,8 +5,9 @@ Four differing bits leave one of two cases (pigeonhole):
 
 * a segment without a difference, and one of the other two has at most two: the key is the first
   segment whole and a codeword of the second, for each ordered pair of segments;
-* else two segments differ in one bit each: the key is a codeword of each, where one of the two
-  is the nearest, for each pair of segments.
+* else two segments differ in one bit each and the third in at most two, so one of three parts of the
+  third has no difference: the key is a codeword of each of the two, where one of them is the nearest,
+  and that part whole, for each pair of segments and each part.
 
 So two fingerprints that link always meet under a key. Keys only bring fingerprints together: all
 that meet are compared bit by bit, in blocks of two chunks of bounded size, and a block returns a
@@ -16,6 +17,7 @@ spanning forest of its links, never all pairs. Equal fingerprints are one from t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from rowloom.session import settle
 WORDS, SEED, BITS, MOST_BITS = 4, 42, 64, 4
 #: (lowest bit, bits) of each segment
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: bits of the parts that a segment has three of
+PART_BITS = 8
 #: fingerprints of one chunk; a block compares two
 CHUNK = 1_000
 #: shingles whose bits are counted at a time
@@ -85,24 +89,24 @@ def meeting_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     near = [golay.keys(x) for x in whole]
     rows, keys = [], []
 
-    def put(tag: int, left: np.ndarray, right: np.ndarray, use: np.ndarray) -> None:
+    def put(tag: int, left: np.ndarray, right: np.ndarray, use: np.ndarray, part: np.ndarray) -> None:
         row, at = np.nonzero(use)
         rows.append(row)
         value = (left.astype(np.uint64) << np.uint64(golay.DATA_BITS)) | right.astype(np.uint64)
-        keys.append(np.broadcast_to(value, use.shape)[row, at] | np.uint64(tag << 40))
+        value = np.broadcast_to(value, use.shape)[row, at] << np.uint64(PART_BITS)
+        keys.append(value | part[row] | np.uint64(tag << 48))
 
     places = np.arange(golay.MOST)
-    tag = 0
-    for i in range(len(SEGMENTS)):
-        for j in range(len(SEGMENTS)):
-            codes, counts = near[j]
-            tag += 1
-            if i != j:
-                put(tag, whole[i][:, None], codes, places < counts[:, None])
-            if i < j:
-                mine, n = near[i]
-                put(tag + 16, mine[:, :1], codes, places < counts[:, None])
-                put(tag + 16, mine, codes[:, :1], (places > 0) & (places < n[:, None]))
+    for i, j in permutations(range(len(SEGMENTS)), 2):
+        codes, counts = near[j]
+        put(3 * i + j, whole[i][:, None], codes, places < counts[:, None], np.zeros(len(prints), np.uint64))
+    for i, j in combinations(range(len(SEGMENTS)), 2):
+        k = 3 - i - j
+        (mine, n), (codes, counts) = near[i], near[j]
+        for at in range(3):
+            part = (whole[k] >> np.uint64(at * PART_BITS)) & np.uint64((1 << PART_BITS) - 1)
+            put(16 + 3 * k + at, mine[:, :1], codes, places < counts[:, None], part)
+            put(16 + 3 * k + at, mine, codes[:, :1], (places > 0) & (places < n[:, None]), part)
     return np.concatenate(rows), np.concatenate(keys)
 
 
