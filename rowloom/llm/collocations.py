@@ -7,6 +7,11 @@ alone are counted; they move once, sorted by their first node. All other counts
 * a node of three words occurs as often as its outgoing edges, plus the pieces that end with it;
 * a node of two as often as its nodes of three, plus the pieces that end with it; a word likewise.
 
+Only pairs of words that are frequent themselves can lie in a frequent phrase. A first scan counts pairs;
+between the words of other pairs a piece is cut as if it ended there, which changes no count that matters
+and keeps most grams of a corpus from moving at all. The frequent pairs are known by a filter of bounded size,
+where a false hit costs a row and nothing else.
+
 A node whose whole flow leaves along one edge lies on a unary path. It is compacted: the longer gram
 has the same count, so it stands for the shorter one, which is not looked at again.
 
@@ -30,8 +35,10 @@ from rowloom.session import settle
 WORDS = 4
 UNKNOWN = "und"
 SLICE_BYTES = 4 << 20
-#: bits of the filter of the second scan; more frequent grams only mean more rows to compare
-FILTER_BITS = 26
+#: fewest and most bits of a filter (2**k), and bits for each key: beyond the most, more rows pass it than must
+FILTER_BITS, KEY_BITS = (20, 28), 16
+#: sums of a scan that are held before they go on
+HELD_ROWS = 1 << 20
 #: texts that first nodes of over 1/HOT of the grams are looked for in, and the tasks each of those is dealt to
 SAMPLE_ROWS, HOT, SALTS = 2_000, 1_000, 64
 #: grams that the sums are made of at a time
@@ -43,13 +50,13 @@ INSIDE = words.char_class((0x20, 0x20), (0x09, 0x09), inverted=True) & ~ENDS
 _rng = np.random.default_rng(12)
 _FACTORS = _rng.integers(1, 1 << 63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LEVELS = _rng.integers(1, 1 << 63, WORDS + 1, dtype=np.uint64)
-_MIX = 2_654_435_761
+_MIX = np.uint64(2_654_435_761)
 
 
 class Grams:
     """The words of a slice of texts: hashes of the runs that start at each, and how many words its piece still has."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, pairs: np.ndarray | None = None, most: int = WORDS) -> None:
         self.data = words.lower_ascii(data)
         self.starts, self.ends, firsts = words.spans(self.data, offsets, INSIDE)
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
@@ -57,65 +64,148 @@ class Grams:
         piece = np.cumsum(ENDS[self.data])[self.starts] if n else np.zeros(0, np.int64)
         new = np.ones(n, bool)
         new[1:] = (piece[1:] != piece[:-1]) | (self.row[1:] != self.row[:-1])
-        heads = np.append(np.flatnonzero(new), n)
-        self.left = np.repeat(heads[1:], np.diff(heads)) - np.arange(n)
         self.lang = langs[self.row] * _FACTORS[WORDS]
         self.text = (words.span_hashes(self.data, offsets[:-1], offsets[1:]) & np.uint64(0xFFFF)).astype(np.int64)[self.row]
         single = words.span_hashes(self.data, self.starts, self.ends)
         padded, acc = np.concatenate([single, np.zeros(WORDS, np.uint64)]), self.lang.copy()
         self.keys = [words.mixed(acc ^ _LEVELS[0])]
-        for m in range(WORDS):
+        for m in range(most):
             acc = acc + padded[m : m + n] * _FACTORS[m]
             self.keys.append(words.mixed(acc ^ _LEVELS[m + 1]))
+        if pairs is not None and n:
+            new[1:] |= ~in_filter(pairs, self.keys[2][:-1])
+        heads = np.append(np.flatnonzero(new), n)
+        self.left = np.repeat(heads[1:], np.diff(heads)) - np.arange(n)
 
     def phrase(self, at: int, m: int) -> str:
         return b" ".join(self.data[self.starts[i] : self.ends[i]].tobytes() for i in range(at, at + m)).decode()
 
 
-def gram_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, Grams]]:
+def in_filter(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys & np.uint64(64 * len(table) - 1)
+    return (table[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """One bit for each ``key``, by its low bits: at most 2**28 bits, gathered as words."""
+    bits = min(max(FILTER_BITS[0], (KEY_BITS * keys.count()).bit_length()), FILTER_BITS[1])
+    bit = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    found = keys.select(bit.alias("bit")).groupBy(F.expr("shiftright(bit, 6)").alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")
+    ).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def gram_slices(batch: pa.RecordBatch, pairs: np.ndarray | None = None, most: int = WORDS) -> Iterator[tuple[int, Grams]]:
     """(first row, grams) of slices of a batch of (lang, text); a long text is cut between pieces."""
     data, offsets = words.buffers(batch.column("lang"))
     langs = words.span_hashes(data, offsets[:-1], offsets[1:])
     for first, last, data, offsets in words.slices(batch.column("text"), SLICE_BYTES):
         if len(data) <= 2 * SLICE_BYTES:
-            yield first, Grams(data, offsets, langs[first:last])
+            yield first, Grams(data, offsets, langs[first:last], pairs, most)
             continue
         ends, at = np.flatnonzero(ENDS[data]), 0
         while at < len(data):
             k = int(np.searchsorted(ends, at + SLICE_BYTES))
             stop = int(ends[k]) + 1 if k < len(ends) else len(data)
-            yield first, Grams(data[at:stop], np.array([0, stop - at]), langs[first:last])
+            yield first, Grams(data[at:stop], np.array([0, stop - at]), langs[first:last], pairs, most)
             at = stop
 
 
+class _Sums:
+    """Counts of equal keys, held back until there are many rows: columns, their key, count and least text."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.rows = 0
+
+    def push(self, by: np.ndarray, *columns: np.ndarray) -> bool:
+        """Add rows; the last two columns are counts and texts. True if it is time to let go."""
+        if len(by):
+            order = np.argsort(by, kind="stable")
+            heads = np.flatnonzero(np.append(True, by[order][1:] != by[order][:-1]))
+            *keys, n, text = (c[order] for c in columns)
+            self.held.append((by[order][heads], *(k[heads] for k in keys), np.add.reduceat(n, heads), np.minimum.reduceat(text, heads)))
+            self.rows += len(heads)
+        return self.rows >= HELD_ROWS
+
+    def take(self) -> list[np.ndarray]:
+        """The columns of all rows so far, without their key."""
+        columns = [np.concatenate(c) for c in zip(*self.held)]
+        self.held, self.rows = [], 0
+        if columns:
+            self.push(*columns)
+            columns = list(self.held[0][1:])
+            self.held, self.rows = [], 0
+        return columns
+
+
 GRAM = "a bigint, b bigint, c bigint, n bigint, text int"
 
 
-def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Longest grams with counts, equal ones of a slice added up.
+def _gram_batch(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
+    arrays = [*(pa.array(x.view(np.int64)) for x in (a, b, c)), pa.array(n), pa.array(text.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, ["a", "b", "c", "n", "text"])
+
+
+def _longest(pairs):
+    """Longest grams with counts, equal ones of a task added up as far as they are held.
 
     (a, b, c) are keys of the gram's first two, three and four words, zero where it is shorter. Flows of single
     words and of whole languages are summed here already and have a key in ``a`` only.
     """
 
-    def summed(by: np.ndarray, columns: list[np.ndarray], text: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(by, kind="stable")
-        heads = np.flatnonzero(np.append(True, by[order][1:] != by[order][:-1])) if len(by) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(heads, len(by)))
-        least = np.minimum.reduceat(text[order], heads) if len(by) else text
-        arrays = [pa.array(c[order[heads]].view(np.int64)) for c in columns]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(counts), pa.array(least.astype(np.int32))], ["a", "b", "c", "n", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, flows = _Sums(), _Sums()
+
+        def one_key(columns: list[np.ndarray]) -> pa.RecordBatch:
+            a, n, text = columns
+            zero = np.zeros(len(a), np.uint64)
+            return _gram_batch(a, zero, zero, n, text)
+
+        for batch in batches:
+            for _, g in gram_slices(batch, pairs.value):
+                ones = np.ones(len(g.left), np.int64)
+                for m in (0, 1):
+                    if flows.push(g.keys[m], g.keys[m], ones, g.text):
+                        yield one_key(flows.take())
+                use = g.left >= 2
+                a = g.keys[2][use]
+                b = np.where(g.left >= 3, g.keys[3], 0)[use]
+                c = np.where(g.left >= 4, g.keys[4], 0)[use]
+                if grams.push(np.where(c != 0, c, np.where(b != 0, b, a)), a, b, c, ones[use], g.text[use]):
+                    yield _gram_batch(*grams.take())
+        if grams.rows:
+            yield _gram_batch(*grams.take())
+        if flows.rows:
+            yield one_key(flows.take())
+
+    return run
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and counts of all pairs of words."""
+    sums = _Sums()
+
+    def batch_of() -> pa.RecordBatch:
+        key, n, _ = sums.take()
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
     for batch in batches:
-        for _, g in gram_slices(batch):
-            zero = np.zeros(len(g.left), np.uint64)
-            yield summed(g.keys[0], [g.keys[0], zero, zero], g.text)
-            yield summed(g.keys[1], [g.keys[1], zero, zero], g.text)
-            use = g.left >= 2
-            a = g.keys[2][use]
-            b = np.where(g.left >= 3, g.keys[3], 0)[use]
-            c = np.where(g.left >= 4, g.keys[4], 0)[use]
-            yield summed(np.where(c != 0, c, np.where(b != 0, b, a)), [a, b, c], g.text[use])
+        for _, g in gram_slices(batch, most=2):
+            key = g.keys[2][g.left >= 2]
+            if sums.push(key, key, np.ones(len(key), np.int64), np.zeros(len(key), np.int64)):
+                yield batch_of()
+    if sums.rows:
+        yield batch_of()
+
+
+def frequent_pairs(texts: DataFrame, least: int) -> DataFrame:
+    """(key) of the pairs of words that occur at least ``least`` times."""
+    counts = texts.mapInArrow(_pairs, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return settle(counts.where(F.col("n") >= least).select("key"), "pairs")
 
 
 class _Level:
@@ -177,20 +267,20 @@ def _flows(least: int, hot: list[int]):
     return run
 
 
-def hot_nodes(texts: DataFrame) -> list[int]:
+def hot_nodes(texts: DataFrame, pairs) -> list[int]:
     """First nodes with over 1/HOT of the grams of a sample of texts; only how work is dealt depends on them."""
     rows = texts.count()
-    some = texts.sample(False, min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=12).mapInArrow(_longest, GRAM).where("b != 0")
+    some = texts.sample(False, min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=12).mapInArrow(_longest(pairs), GRAM).where("b != 0")
     counts = some.groupBy("a").agg(F.sum("n").alias("n"))
     bound = (some.agg(F.sum("n")).first()[0] or 0) / HOT
     return [r.a for r in counts.where(F.col("n") > F.lit(bound)).select("a").collect()]
 
 
-def flows(texts: DataFrame, least: int, salts: int = SALTS) -> DataFrame:
+def flows(texts: DataFrame, pairs, least: int, salts: int = SALTS) -> DataFrame:
     """(key, f, text, unary) of all languages, words and phrases that occur at least ``least`` times."""
-    hot = hot_nodes(texts)
+    hot = hot_nodes(texts, pairs)
     salt = F.when(F.col("a").isin(hot), F.pmod(F.col("c"), F.lit(salts))).otherwise(F.lit(0)) if hot else F.lit(0)
-    dealt = texts.mapInArrow(_longest, GRAM).repartition(F.col("a"), salt).sortWithinPartitions("a", "b", "c")
+    dealt = texts.mapInArrow(_longest(pairs), GRAM).repartition(F.col("a"), salt).sortWithinPartitions("a", "b", "c")
     parts = dealt.mapInArrow(_flows(least, hot), FLOW)
     # languages come in parts only here; a hot node's parts meet, one for each salt
     return parts.groupBy("key").agg(
@@ -204,28 +294,21 @@ PHRASE = (
 )
 
 
-def _filter(frequent: DataFrame) -> np.ndarray:
-    """Bits of (key, text) of the frequent grams: at most 2**FILTER_BITS bits."""
-    bit = (F.col("key").bitwiseXOR(F.col("text").cast("long") * _MIX)).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    spread = frequent.where("not unary").select(bit.alias("bit"))
-    spread = spread.groupBy(F.expr("shiftright(bit, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[spread.column("at").to_numpy()] = spread.column("bits").to_numpy().view(np.uint64)
-    return out
+def _held_by(key, text):
+    """Key of a gram in a text, for the filter of the last scan."""
+    return key ^ (text * _MIX)
 
 
-def _named(bits):
+def _named(pairs, held):
     """Words, cuts and inner grams of the grams that pass the filter, each once a slice."""
 
     def passes(keys: np.ndarray, text: np.ndarray) -> np.ndarray:
-        table = bits.value
-        bit = (keys ^ (text.astype(np.uint64) * np.uint64(_MIX))) & np.uint64((1 << FILTER_BITS) - 1)
-        return (table[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+        return in_filter(held.value, _held_by(keys, text.astype(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column("lang")
-            for first, g in gram_slices(batch):
+            for first, g in gram_slices(batch, pairs.value):
                 out: list[tuple] = []
                 signed = [k.view(np.int64) for k in g.keys]
                 for m in range(2, WORDS + 1):
@@ -264,10 +347,12 @@ def collocations(
     spark = docs.sparkSession
     text_batches(spark)
     texts = docs.select(F.coalesce(F.col(lang_column).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_column).alias("text"))
-    frequent = settle(flows(texts, least), "flows")
-    bits = spark.sparkContext.broadcast(_filter(frequent))
+    pairs = spark.sparkContext.broadcast(key_filter(frequent_pairs(texts, least)))
+    frequent = settle(flows(texts, pairs, least), "flows")
+    held = frequent.where("not unary").select(F.col("key").bitwiseXOR(F.col("text").cast("long") * F.lit(int(_MIX))).alias("key"))
+    held = spark.sparkContext.broadcast(key_filter(held))
     counts = frequent.select("key", "f")
-    named = texts.mapInArrow(_named(bits), PHRASE).dropDuplicates(["key"])
+    named = texts.mapInArrow(_named(pairs, held), PHRASE).dropDuplicates(["key"])
     candidates = settle(named.join(frequent.where("not unary").select("key", F.col("f").alias("a")), "key"), "candidates")
 
     def exact(column, factor: int):

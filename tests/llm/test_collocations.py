@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -75,7 +77,9 @@ def test_dealt_nodes(spark, monkeypatch):
         monkeypatch.setattr(module, name, value)
     rows = made_up(8)
     df = frame(spark, rows)
-    assert len(module.hot_nodes(df.selectExpr("coalesce(lang, 'und') as lang", "text"))) > 3
+    texts = df.selectExpr("coalesce(lang, 'und') as lang", "text")
+    every = spark.sparkContext.broadcast(np.full(1 << 14, ~np.uint64(0)))
+    assert len(module.hot_nodes(texts, every)) > 3
     assert sorted(map(tuple, collocations(df, least=5).collect())) == brute_phrases(rows, 5)
 
 
@@ -85,16 +89,24 @@ def test_long_texts_are_cut_between_pieces(monkeypatch):
 
     def counts():
         found = Counter()
-        for part in module._longest(iter([batch])):
+        for part in module._longest(SimpleNamespace(value=None))(iter([batch])):
             for a, b, c, n, _ in zip(*(column.to_pylist() for column in part.columns)):
                 found[a, b, c] += n
         return found
 
     whole = counts()
     monkeypatch.setattr(module, "SLICE_BYTES", 60)
+    monkeypatch.setattr(module, "HELD_ROWS", 200)
     assert len(list(module.gram_slices(batch))) > len(rows) and counts() == whole
 
 
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    """Filters of 64 bits let nearly everything pass; the rows are the same."""
+    monkeypatch.setattr(module, "FILTER_BITS", (6, 6))
+    rows = made_up(10)
+    assert sorted(map(tuple, collocations(frame(spark, rows), least=12).collect())) == brute_phrases(rows, 12)
+
+
 def test_nothing(spark):
     assert collocations(frame(spark, [])).collect() == []
     assert collocations(frame(spark, [(1, "a b", "en")])).collect() == []
