@@ -158,16 +158,20 @@ def _normalised(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
 def automata(benchmark: DataFrame, *, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> Iterator[Automaton]:
     """Automata of the items, one at a time, each of about ``shard_words`` words at most.
 
-    Items come through the driver in id order, a bounded number at once; a longer item has an automaton of its own.
+    Items come through the driver in id order, a bounded number at once. A longer item is cut into pieces that
+    overlap by a window less a word, so no window is lost; a match's longest length then ends with its piece.
     """
     current = Automaton(window)
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where(F.col("text").isNotNull())
     for row in rows.orderBy("i", "text").toLocalIterator():
         for _, _, _, _, _, hashes in _normalised(pa.array([row.text])):
-            if current.n_words and current.n_words + len(hashes) > shard_words:
-                yield current.finish()
-                current = Automaton(window)
-            current.add(row.i, hashes)
+            most = max(shard_words, window)
+            for at in range(0, max(len(hashes) - window + 1, 1), most - window + 1):
+                piece = hashes[at : at + most]
+                if current.n_words and current.n_words + len(piece) > shard_words:
+                    yield current.finish()
+                    current = Automaton(window)
+                current.add(row.i, piece)
     yield current.finish()
 
 
@@ -280,16 +284,14 @@ def without_spans(text: Column, starts: Column, ends: Column) -> Column:
 def remove(docs: DataFrame, benchmark: DataFrame, *, most_coverage: float = 0.5, window: int = WINDOW) -> DataFrame:
     """``docs`` without the words inside windows; a document of which more than ``most_coverage`` is hit goes whole.
 
-    n_chars follows the new text. Documents without a hit stay byte for byte, null texts too.
+    n_chars follows the new text. Documents without a hit stay byte for byte, null texts too; other columns stay, whatever their names.
     """
-    marked = find(docs, benchmark, window=window)
-    kept = marked.where(F.col("_found.n_hit") <= most_coverage * F.col("_found.n_words"))
-    text = F.when(F.col("_found.n_hit") == 0, F.col("text")).otherwise(
-        without_spans(F.col("text"), F.col("_found.starts"), F.col("_found.ends"))
-    )
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in (f"_found{k or ''}" for k in range(len(taken) + 1)) if n not in taken)
+    marked, found = find(docs, benchmark, found=name, window=window), F.col(name)
+    kept = marked.where(found["n_hit"] <= most_coverage * found["n_words"])
+    text = F.when(found["n_hit"] == 0, F.col("text")).otherwise(without_spans(F.col("text"), found["starts"], found["ends"]))
     new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_found.n_hit") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long"))
+        new["n_chars"] = F.when(found["n_hit"] == 0, F.col("n_chars")).otherwise(F.length(text).cast("long"))
     return kept.withColumns(new).select(*docs.columns)
-
-

@@ -1,12 +1,13 @@
 """Near-duplicates of texts by b-bit MinHash, confirmed on full shingle sets.
 
 Minima of many hash functions make a signature. Runs of whole minima (bands) give candidates:
-texts that share a band lie in one cluster. Only the low bits of the minima are kept, packed
-into 64-bit words; counting equal lanes and correcting for chance collisions estimates the
-similarity of any two texts of a cluster, and pairs that may reach the threshold are compared on full sets.
+texts that share a band. Only the low bits of the minima are kept, packed into 64-bit words;
+counting equal lanes and correcting for chance collisions estimates the similarity of two
+candidates. Those whose estimate may stand for a link are clustered first, on signatures alone;
+only then texts are read, and the pairs of a cluster are compared on full sets.
 
-A cluster's pairs are compared in blocks of two chunks of bounded size, and a block returns a
-spanning forest of the links it found, never all pairs.
+Pairs, of a band as of a cluster, are compared in blocks of two chunks of bounded size, and a block
+returns a spanning forest of what it found, never all pairs. Texts with equal sets are one node.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm import words
@@ -89,13 +90,13 @@ def margin(similarity: float) -> float:
     return SIGMAS * np.sqrt(equal * (1 - equal) / MINIMA) / (1 - chance)
 
 
-SKETCH = "struct<n_shingles:bigint,digest:binary,bands:array<bigint>,signature:array<bigint>>"
+SKETCH = "struct<n_shingles:bigint,node:bigint,bands:array<bigint>,signature:array<bigint>>"
 
 
 def _sketch(size: int):
     @F.arrow_udf(SKETCH)
     def sketch(column: pa.Array) -> pa.Array:
-        counts, digests, bands, signatures = [], [], [], []
+        counts, nodes, bands, signatures = [], [], [], []
         for first, last, values, bounds in shingle_sets(column, size, 256 << 10):
             sizes = np.diff(bounds)
             full = np.flatnonzero(sizes)
@@ -107,13 +108,13 @@ def _sketch(size: int):
             for r in range(last - first):
                 part = values[bounds[r] : bounds[r + 1]]
                 counts.append(len(part))
-                digests.append(hashlib.blake2b(part.tobytes(), digest_size=16).digest())
+                nodes.append(int.from_bytes(hashlib.blake2b(part.tobytes(), digest_size=8).digest(), "little", signed=True) if len(part) else None)
                 bands.append(keys[at] if sizes[r] else [])
                 signatures.append(words_[at] if sizes[r] else [])
                 at += int(sizes[r] > 0)
         return pa.StructArray.from_arrays(
-            [pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64()))],
-            ["n_shingles", "digest", "bands", "signature"],
+            [pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64()))],
+            ["n_shingles", "node", "bands", "signature"],
         )
 
     return sketch
@@ -171,18 +172,44 @@ def block_links(texts: pa.Array, signatures: np.ndarray, side: np.ndarray, size:
                 yield i, j
 
 
-def _linker(size: int, percent: int):
-    """Blocks arrive sorted, one after another; only the rows of one block are held."""
+def block_candidates(signatures: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs that span the rows of a block whose estimates may stand for ``percent``."""
+    two = bool(side.any())
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if two else left
+    group = np.arange(len(signatures))
+    for k, i in enumerate(left.tolist()):
+        others = right if two else right[k + 1 :]
+        others = others[group[others] != group[i]]
+        if not len(others):
+            continue
+        near = estimates(signatures[i : i + 1], signatures[others])[0] >= percent / 100 - margin(percent / 100)
+        others = others[near]
+        if len(others):
+            _, first = np.unique(group[others], return_index=True)
+            for j in others[first].tolist():
+                yield i, j
+            group[np.isin(group, group[others])] = group[i]
+
+
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(flat), -1)
+
+
+def _blocks(pairs):
+    """Pairs of nodes from blocks (cluster, i, j) that arrive sorted, one after another; only one is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
-        def links(block: pa.Table) -> pa.RecordBatch:
+        def links(block: pa.Table) -> list[tuple[int, int]]:
             nodes = block.column("node").to_numpy()
-            signatures = np.stack(block.column("signature").combine_chunks().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
-            pairs = list(block_links(block.column("text").combine_chunks(), signatures, block.column("side").to_numpy(), size, percent))
-            a, b = (np.array([nodes[p[s]] for p in pairs], np.int64) for s in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return [(nodes[i], nodes[j]) for i, j in pairs(block, block.column("side").to_numpy())]
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            both = np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         def key(table: pa.Table, row: int) -> tuple:
             return tuple(table.column(c)[row].as_py() for c in ("cluster", "i", "j"))
@@ -194,74 +221,126 @@ def _linker(size: int, percent: int):
             columns = [table.column(c).to_numpy() for c in ("cluster", "i", "j")]
             change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
             edges = [0, *change.tolist(), table.num_rows]
+            found = []
             for start, end in zip(edges, edges[1:]):
                 part = table.slice(start, end - start)
                 if held and key(held[0], 0) != key(part, 0):
-                    yield links(pa.concat_tables(held))
+                    found += links(pa.concat_tables(held))
                     held = []
                 held.append(part)
+            yield batch_of(found)
         if held:
-            yield links(pa.concat_tables(held))
+            yield batch_of(links(pa.concat_tables(held)))
 
     return run
 
 
-def near_duplicates(
+def _dealt(members: DataFrame, sizes: DataFrame, *carried: str) -> DataFrame:
+    """Members of a cluster in blocks of two chunks: (cluster, i, j, side, node, ...), by the table (cluster, chunks)."""
+    dealt = members.join(sizes.hint("merge"), "cluster").withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
+    paired = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    return paired.select(
+        "cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
+        (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", *carried,
+    )
+
+
+def _linked(blocks: DataFrame, pairs) -> DataFrame:
+    return blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_blocks(pairs), "a bigint, b bigint")
+
+
+def text_tag(column: str) -> Column:
+    """Tells texts apart; null is empty."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
+def grouped(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, percent: int = 85
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each of ``docs``.
+    """(doc_id, tag, n_shingles, root, component_id), a row for each of ``docs``.
 
-    Words are runs of anything but space and tab to return, A-Z lower-cased; a document's set are its distinct
-    ``size``-word shingles, or its whole sequence if that is shorter. Two documents are linked if 100 times
-    the common shingles are at least ``percent`` times the united ones; a component's id is its smallest doc_id.
-    Null, empty and blank texts have no shingles and are components of their own. Repeated rows share a
-    component. Rows without an id count for no other row, but take the component of equal texts (null if all
-    lack an id, and then kept is false). An empty table gives no rows; other columns are ignored.
-
-    Shingles are 64-bit hashes. A link of similarity 0.85 shares no band with probability 2e-8, one of 0.80 with
-    3e-6, and none is dropped for another reason: groups of any size are compared whole.
+    ``root`` is the same number for all rows of a component, null without shingles; ``tag`` is ``text_tag``.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    sketch = _sketch(size)(F.col("text"))
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    sketched = settle(texts.select("doc_id", sketch.alias("s")).select("doc_id", "s.*"), "sketches")
-    # one node for each set; copies join it by digest
-    classes = settle(
-        sketched.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node")).where("node is not null"), "classes"
+    texts = docs.select(F.col(id_column).alias("doc_id"), text_tag(text_column).alias("tag"), F.col(text_column).alias("text"))
+    sketched = settle(texts.select("doc_id", "tag", _sketch(size)(F.col("text")).alias("s")).select("doc_id", "tag", "s.*"), "sketches")
+    full = sketched.where("n_shingles > 0")
+    nodes = full.groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.min("tag").alias("tag"), F.first("n_shingles").alias("n_shingles"),
+        F.first("bands").alias("bands"), F.first("signature").alias("signature"),
     )
-    nodes = sketched.select("doc_id", "digest", "n_shingles", "bands", "signature").where("n_shingles > 0").join(
-        classes, F.col("doc_id") == F.col("node")
-    ).select("node", "n_shingles", "bands", "signature")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
+    nodes = settle(nodes, "nodes")
+    banded = nodes.select("node", F.explode("bands").alias("cluster"))
     # written first: a join of two plain shuffles lets Spark split the rows of a hot band
-    shared = settle(banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("band", "a"), "bands")
-    candidates = banded.join(shared.hint("merge"), "band").where("node != a").select("a", F.col("node").alias("b"))
+    bands = settle(
+        banded.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "bands"
+    )
+    met = _dealt(banded, bands).join(nodes.select("node", "signature").hint("merge"), "node")
+    candidates = _linked(met, lambda block, side: block_candidates(_signatures(block.column("signature")), side, percent))
     clusters = components(candidates).withColumnRenamed("component", "cluster")
     # large clusters are cut into chunks, by rows and by shingles
-    members = settle(clusters.join(nodes.select("node", "n_shingles", "signature").dropDuplicates(["node"]), "node"), "members")
+    members = settle(clusters.join(nodes.select("node", "tag", "n_shingles", "signature").hint("merge"), "node"), "members")
     sizes = members.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks")
     )
-    dealt = members.join(sizes, "cluster").withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
-    paired = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    blocks = paired.select(
-        "cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
-        (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "signature",
-    )
+    blocks = _dealt(members, sizes, "tag", "signature")
     # the members grow with the documents, so they are never broadcast: one plan at every size
-    with_text = texts.withColumnRenamed("doc_id", "node").where("node is not null").join(
-        members.select("node").hint("merge"), "node", "left_semi"
-    ).dropDuplicates(["node"])
-    shipped = blocks.join(with_text, "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = shipped.mapInArrow(_linker(size, percent), "a bigint, b bigint")
-    linked = components(links)
-    final = classes.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    # texts without shingles get keys of their own, so that they do not gather in one task
-    alone = F.encode(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "utf-8")
-    keyed = sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).otherwise(alone).alias("digest"))
-    out = keyed.join(final, "digest", "left")
-    component = F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    with_text = texts.select("tag", "text").join(members.select("tag").hint("merge"), "tag", "left_semi").dropDuplicates(["tag"])
+
+    def confirmed(block: pa.Table, side: np.ndarray) -> Iterator[tuple[int, int]]:
+        return block_links(block.column("text").combine_chunks(), _signatures(block.column("signature")), side, size, percent)
+
+    linked = components(_linked(blocks.join(with_text, "tag"), confirmed))
+    named = nodes.select("node", "least").join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    final = settle(named.join(smallest, "root").select("node", "root", "component_id"), "final")
+    # rows without shingles have no node, so they are not joined
+    bare = sketched.where("n_shingles = 0").select("doc_id", "tag", "n_shingles", F.lit(None).cast("bigint").alias("root"), F.col("doc_id").alias("component_id"))
+    return full.select("doc_id", "tag", "n_shingles", "node").join(final.hint("merge"), "node").drop("node").select(*bare.columns).unionByName(bare)
+
+
+def near_duplicates(
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, percent: int = 85
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each of ``docs``.
+
+    Words are runs of anything but space and tab to return, A-Z lower-cased; a document's set are its distinct
+    ``size``-word shingles, or its whole sequence if that is shorter. Two documents are linked if 100 times
+    the common shingles are at least ``percent`` times the united ones; a component's id is its smallest doc_id.
+    Null, empty and blank texts have no shingles and are components of their own. Repeated rows share a
+    component, and so do different texts under one id only if they are linked. Rows without an id link like any
+    row, but their id counts for none (the component is null if all lack an id) and they are never ``kept``. An
+    empty table gives no rows; other columns are ignored.
+
+    Shingles are 64-bit hashes. A link of similarity 0.85 shares no band with probability 2e-8, one of 0.80 with
+    3e-6, and none is dropped for another reason: groups of any size are compared whole.
+    """
+    out = grouped(docs, id_column=id_column, text_column=text_column, size=size, percent=percent)
+    return out.select("doc_id", "n_shingles", "component_id").withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
+
+
+def one_each(
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, percent: int = 80
+) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id, rows without an id last, then by text.
+
+    Different texts under one id are different rows. Rows without shingles all stay, but of rows that repeat both id
+    and text, one does.
+    """
+    names = {c.lower() for c in docs.columns}
+    mine = {x: next(n for n in (f"_{x}{k or ''}" for k in range(len(names) + 1)) if n not in names) for x in ("id", "tag")}
+
+    def name(column: str):
+        return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("-"))
+
+    found = grouped(docs, id_column=id_column, text_column=text_column, size=size, percent=percent)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
+    first = found.where("root is not null").groupBy("root").agg(best.alias("row")).select("row.doc_id", "row.tag")
+    stays = first.unionByName(found.where("root is null").select("doc_id", "tag"))
+    stays = settle(stays.select(name("doc_id").alias(mine["id"]), F.col("tag").alias(mine["tag"])).distinct(), "stays")
+    keyed = docs.withColumns({mine["id"]: name(id_column), mine["tag"]: text_tag(text_column)})
+    kept = keyed.join(stays.hint("merge"), list(mine.values()), "left_semi")
+    return kept.dropDuplicates(list(mine.values())).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -371,7 +371,8 @@ def _union(spans: DataFrame) -> DataFrame:
             [pa.array([[s[k] for s in spans] for spans in rows], pa.list_(pa.int32())) for k in (0, 1)], ["starts", "ends"]
         )
 
-    gathered = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "b")).alias("x"))
+    # repeated rows give the same spans; each is gathered once
+    gathered = spans.distinct().groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "b")).alias("x"))
     return gathered.select("doc", "tag", join(F.col("x.a"), F.col("x.b")).alias("u")).select("doc", "tag", "u.*")
 
 
@@ -414,10 +415,11 @@ def removed(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
     )
 
 
-def remove(docs: DataFrame, *, id_column: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove(docs: DataFrame, *, id_column: str = "doc_id", length: int = LENGTH, gram: int = GRAM, least_words: int = 0) -> DataFrame:
     """``docs`` without the repeated bytes; n_chars follows. Characters that a span only touches stay whole.
 
-    Rows without a repeat stay as they are, null texts too.
+    With ``least_words``, a run of repeated bytes goes only if it touches so many words (between spaces and tab to return).
+    Rows without a repeat stay as they are, null texts too. The other columns stay, whatever their names.
     """
     _, spans = repeated_spans(docs, id_column=id_column, length=length, gram=gram)
 
@@ -430,6 +432,8 @@ def remove(docs: DataFrame, *, id_column: str = "doc_id", length: int = LENGTH,
                 continue
             raw, at, parts = raw.as_py(), 0, []
             for x, y in zip(a, b):
+                if least_words and len(raw[x:y].split()) < least_words:
+                    continue
                 while x < y and raw[x] & 0xC0 == 0x80:
                     x += 1
                 while y > x and y < len(raw) and raw[y] & 0xC0 == 0x80:
@@ -439,12 +443,15 @@ def remove(docs: DataFrame, *, id_column: str = "doc_id", length: int = LENGTH,
             out.append(b"".join([*parts, raw[at:]]).decode())
         return pa.array(out, pa.string())
 
+    taken = {c.lower() for c in docs.columns}
+    doc, tag, starts, ends = (next(n for n in (f"_{x}{k or ''}" for k in range(len(taken) + 1)) if n not in taken) for x in ("doc", "tag", "starts", "ends"))
     keyed = docs.withColumns({
-        "_doc": F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))), "_tag": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))),
+        doc: F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))), tag: F.xxhash64(F.coalesce(F.col("text"), F.lit(""))),
     })
-    hit = keyed.join(spans.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends")), ["_doc", "_tag"], "left")
-    text = F.when(F.col("_starts").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.coalesce("_starts", F.array().cast("array<int>")), F.coalesce("_ends", F.array().cast("array<int>"))))
+    hit = keyed.join(spans.toDF(doc, tag, starts, ends), [doc, tag], "left")
+    none = F.array().cast("array<int>")
+    text = F.when(F.col(starts).isNull(), F.col("text")).otherwise(cut(F.col("text"), F.coalesce(starts, none), F.coalesce(ends, none)))
     out = hit.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_starts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(starts).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)

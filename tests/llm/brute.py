@@ -30,6 +30,17 @@ def repeated(rows: list[tuple], length: int) -> list[bytearray]:
     return out
 
 
+def long_runs(rows: list[tuple], length: int, least_words: int) -> list[bytearray]:
+    """Flags as above, without the runs that touch fewer than ``least_words`` words."""
+    out = repeated(rows, length)
+    for (_, text), flags in zip(rows, out):
+        raw = (text or "").encode()
+        for run in re.finditer(b"\x01+", bytes(flags)):
+            if len(raw[run.start() : run.end()].split()) < least_words:
+                flags[run.start() : run.end()] = bytes(run.end() - run.start())
+    return out
+
+
 def removed(rows: list[tuple], length: int) -> Counter:
     out: Counter = Counter()
     for (key, text), flags in zip(rows, repeated(rows, length)):

@@ -212,11 +212,11 @@ def test_pipeline_against_brute_force(spark, sf):
     kept = {i: r.text for i, r in rows.items() if score[i] == 1}
     state = stages["quality classifier"](spark, state, sf)
     assert {r.doc_id for r in state.collect()} == set(kept) and state.columns == columns
-    groups = brute.components(list(kept.items()))
+    groups = brute.components(list(kept.items()), corpus_pipeline.NEAR_PERCENT)
     kept = {i: t for i, t in kept.items() if groups[i] == i}
     state = corpus_pipeline.settle(stages["MinHash near-dedup"](spark, state, sf), "t")
     assert {r.doc_id for r in state.collect()} == set(kept) and state.columns == columns
-    flags = brute.repeated(list(kept.items()), 400)
+    flags = brute.long_runs(list(kept.items()), corpus_pipeline.REPEAT_BYTES, corpus_pipeline.REPEAT_WORDS)
     state = corpus_pipeline.settle(stages["suffix-array dedup"](spark, state, sf), "t")
     after = {r.doc_id: r for r in state.collect()}
     for (i, text), gone in zip(list(kept.items()), flags):
@@ -256,3 +256,33 @@ def test_pipeline_joins_documents_of_similarity_80(spark, sf):
     kept = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, docs, sf)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in groups.items() if i == c)
     assert groups[-1] == -2
+
+
+def test_pipeline_keeps_different_texts_under_one_id(spark, sf):
+    """By (id, text); rows without an id go where a row with an id has their words."""
+    rows = [(5, "a b c d e f g h", "x"), (5, "z b c d e f g y", "x"), (1, "a b c d e f g h", "x"), (None, "a b c d e f g h", "x"),
+            (None, "only here, without an id", "x"), (None, "only here, without an id", "x"), (7, None, "x"), (7, "", "x"), (7, "", "x"), (8, " ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    kept = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, docs, sf)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    # a null text is an empty one
+    assert [g for g in got if g[0] != 7] == sorted([(5, "z b c d e f g y"), (1, "a b c d e f g h"), (None, "only here, without an id"), (8, " ")], key=repr)
+    assert len([g for g in got if g[0] == 7]) == 1
+
+
+def test_pipeline_removes_passages_of_over_50_words(spark, sf):
+    rng = random.Random(6)
+
+    def prose(n, low=2, high=8):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(low, high))) for _ in range(n))
+
+    long, short = prose(51, 4, 5), prose(45, 7, 8)
+    rows = [(i, f"{prose(60)} {x} {prose(60)}", "kept", "kept", 1) for i, x in enumerate([long, long, short, short, prose(90)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc string, _tag string, n_chars long")
+    got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["suffix-array dedup"](spark, docs, sf).collect()}
+    assert all(long not in got[i].text and len(got[i].text.split()) in (119, 120) for i in (0, 1))
+    assert all(got[i].text == rows[i][1] for i in (2, 3, 4))
+    assert all((r._doc, r._tag) == ("kept", "kept") for r in got.values())
+    mended = dict(corpus_pipeline.STAGES)["benchmark decontamination"](spark, docs.withColumnRenamed("_doc", "_found"), sf)
+    assert {r._found for r in mended.collect()} == {"kept"}
