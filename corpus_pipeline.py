@@ -12,6 +12,9 @@ from rowloom.session import settle
 THRESHOLD = 0.5
 #: similarity of near-duplicates in per cent; the 85 of op4 is that query's own
 NEAR_PERCENT = 80
+#: repeated strings of so many bytes are looked for (the 400 of op1 is that query's own), and go if they touch so many
+#: words; 51 words of the tables' prose take 250 bytes or more, those of other texts may take other parameters
+REPEAT_BYTES, REPEAT_WORDS = 240, 51
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,18 +25,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id. Of rows that repeat an id, one stays.
+    """One document of each near-duplicate group: the one with the smallest id, rows without an id last.
 
-    Rows without an id stay if no row with an id has their words; those of equal sets stay together.
+    Different texts under one id are different documents; of rows that repeat both, one stays.
     """
-    groups = minhash.near_duplicates(docs, percent=NEAR_PERCENT)
-    gone = groups.where(F.col("component_id").isNotNull() & ~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return minhash.one_each(docs, percent=NEAR_PERCENT)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that occur again anywhere."""
-    return repeats.remove(docs)
+    """Documents without the passages of over 50 words that occur again anywhere."""
+    return repeats.remove(docs, length=REPEAT_BYTES, least_words=REPEAT_WORDS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
