@@ -36,9 +36,12 @@ def auc(
     by: Sequence[str] = (),
     out: str = "auc",
     buckets: int | None = None,
+    count: str | None = None,
 ) -> DataFrame:
     """ROC-AUC with half credit for ties; NULL where only one class is present.
 
+    With ``count``, a row stands for as many as that column says.
+
     Rows are first counted per distinct score. Scores are cut into ordered buckets;
     running counts are taken inside a bucket, and a bucket adds the negatives of
     the lower buckets to all its positives at once.
@@ -48,10 +51,11 @@ def auc(
         *[col(b) for b in by],
         col(score).cast("double").alias("_score"),
         (col(label) == 1).cast("long").alias("_pos"),
+        (col(count) if count else F.lit(1)).cast("long").alias("_rows"),
     )
     cut = bucket_columns(rows, {"_score": sketch_edges(rows, "_score", buckets)}, "_b")
     ties = cut.groupBy(*by, "_b_score", "_score").agg(
-        F.sum("_pos").alias("_p"), F.sum(1 - F.col("_pos")).alias("_n")
+        F.sum(F.col("_pos") * F.col("_rows")).alias("_p"), F.sum((1 - F.col("_pos")) * F.col("_rows")).alias("_n")
     )
     lower = Window.partitionBy(*by, "_b_score").orderBy("_score")
     lower = lower.rowsBetween(Window.unboundedPreceding, -1)

@@ -60,23 +60,24 @@ def shuffled_rank(
 
 
 #: rows that a bucket should hold, and the fewest and most buckets
-BUCKET_ROWS, BUCKETS = 200_000, (256, 4096)
+BUCKET_ROWS, BUCKETS = 200_000, (64, 65_536)
 
 
 def sketch_edges(df: DataFrame, name: str, buckets: int | None = None) -> list[float]:
     """Distinct cut points that split the values of ``name`` into even buckets, roughly.
 
-    Without ``buckets`` there are as many as the rows need, within BUCKETS.
+    Without ``buckets`` there are as many as the rows need, from the least of BUCKETS on: rows are counted
+    first, and only the cut points that are needed are asked for. Beyond the most of BUCKETS they grow on,
+    with the accuracy of the sketch, so a bucket stays within reach of a task.
     """
-    most = buckets or BUCKETS[1]
-    shares = [i / most for i in range(1, most)]
     x = col(name).cast("double")
-    found = df.agg(F.percentile_approx(x, shares, 10 * most).alias("e"), F.count(x).alias("n")).first()
-    edges = found["e"] or []
     if buckets is None:
-        wanted = min(max(BUCKETS[0], -(-found["n"] // BUCKET_ROWS)), most)
-        edges = edges[:: most // wanted]
-    return sorted(set(edges))
+        rows = df.where(x.isNotNull()).count()
+        buckets = min(max(BUCKETS[0], -(-rows // BUCKET_ROWS)), BUCKETS[1])
+    if buckets < 2:
+        return []
+    shares = [i / buckets for i in range(1, buckets)]
+    return sorted(set(df.agg(F.percentile_approx(x, shares, 10 * buckets).alias("e")).first()["e"] or []))
 
 
 def bucket_columns(df: DataFrame, edges: dict[str, list[float]], prefix: str) -> DataFrame:

@@ -16,6 +16,7 @@ from rowloom.functions import metrics
 from rowloom.layout import DEFAULT, TEST, TRAIN, Layout
 from rowloom.operators.columns import col, q
 from rowloom.operators.ordering import shuffled_rank
+from rowloom.plans import staged
 from rowloom.plans.models import LEARNERS, Learner, Prepared, TrainStats, prepare
 from rowloom.session import shared_dir
 
@@ -98,20 +99,8 @@ def first_best(losses: Sequence[float], patience: int) -> int:
     return best
 
 
-def _fit_stopped(learner, params, stats, train, valid, layout, seed, patience):
-    """Fit; with ``patience``, cut a boosted model back to its best round on the left-out rows."""
-    model = _fit(learner, params, stats, train, layout, seed)
-    if not learner.boosted:
-        return model, None
-    rounds = int(learner.resolve(params)["rounds"])
-    if patience is None:
-        return model, rounds
-    best = first_best(model.evaluateEachIteration(valid), patience) + 1
-    if best < rounds:
-        # the same seed grows the same trees, so this is the model cut after its best round
-        cut = {**learner.resolve(params), "rounds": best}
-        model = _fit(learner, cut, stats, train, layout, seed)
-    return model, best
+def _rounds(learner: Learner, params: Mapping | None) -> int | None:
+    return int(learner.resolve(params)["rounds"]) if learner.boosted else None
 
 
 @dataclass
@@ -125,6 +114,7 @@ class CvResult:
     models: dict[int, object]
     prepared: Prepared
     classes: int = 2
+    curves: DataFrame | None = None  # fold, iteration, value; with early stopping
 
     def pipeline(self, fold: int) -> PipelineModel:
         """A fold's model together with the step that builds its feature vector."""
@@ -145,7 +135,9 @@ def cross_validate(
     """Fit one model per fold; predict the left-out rows, and test rows by all models.
 
     Folds are independent, so some are fitted at the same time. Test rows pass
-    through all models in one scan; nothing is joined.
+    through all models in one scan; nothing is joined. With ``patience``, boosted models are
+    cut to the round with the best score on the left-out rows, by the learner's metric; one job
+    scores the rounds of all folds, and no model is fitted twice.
     """
     learner = _learner(model)
     spark = df.sparkSession
@@ -156,12 +148,14 @@ def cross_validate(
     train, fold = _train_rows(p, layout), col(layout.fold)
 
     def one(f):
-        return _fit_stopped(
-            learner, params, stats[f], train.where(fold != f), train.where(fold == f),
-            layout, seed, patience,
-        )
-
-    fitted = dict(zip(folds, _in_threads(spark, one, folds, parallelism)))
+        return _fit(learner, params, stats[f], train.where(fold != f), layout, seed)
+
+    models = dict(zip(folds, _in_threads(spark, one, folds, parallelism)))
+    kept, curves = dict.fromkeys(folds, _rounds(learner, params)), None
+    if learner.boosted and patience is not None:
+        kept, curves = staged.best_rounds(models, train, learner.metric, patience, layout)
+        models = {f: staged.truncated(m, kept[f]) for f, m in models.items()}
+    fitted = {f: (m, kept[f]) for f, m in models.items()}
     oof = None
     for f, (fit, _) in fitted.items():
         part = fit.transform(train.where(fold == f)).select(
@@ -181,7 +175,7 @@ def cross_validate(
         [(f, best) for f, (_, best) in fitted.items()], f"{layout.fold} int, best_iteration int"
     )
     scores = scores.join(F.broadcast(rounds), layout.fold)
-    return CvResult(learner, oof, test, scores, {f: m for f, (m, _) in fitted.items()}, p, classes)
+    return CvResult(learner, oof, test, scores, models, p, classes, curves)
 
 
 def fold_average(preds: Sequence, classes: int = 2):
@@ -206,7 +200,10 @@ def fit_one_fold(
     stats, classes = found[fold], found[None].classes if learner.classifier else 2
     rows = _train_rows(p, layout)
     train, valid = rows.where(col(layout.fold) != fold), rows.where(col(layout.fold) == fold)
-    fit, best = _fit_stopped(learner, params, stats, train, valid, layout, seed, patience)
+    fit, best = _fit(learner, params, stats, train, layout, seed), _rounds(learner, params)
+    if learner.boosted and patience is not None:
+        best = staged.best_rounds({fold: fit}, valid, learner.metric, patience, layout)[0][fold]
+        fit = staged.truncated(fit, best)
     scored = fit.transform(valid).select(layout.label, learner.score_column(fit, classes).alias("pred"))
     value = scores_by(scored, learner, classes, layout.label).first()
     if prepared is None:
