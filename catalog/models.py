@@ -145,6 +145,35 @@ def ridge_univariate(spark, sf):
     return spark.createDataFrame([row], "weight double, intercept double")
 
 
+# one split, whose place and leaves SQL can work out: (learner, feature, parameters)
+STUMPS = {
+    "gbt": ("step", {"rounds": 1, "max_depth": 1, "min_rows": 1, "column_share": 1.0, "row_share": 1.0}),
+    "gbt_leafwise": ("step", {"rounds": 1, "num_leaves": 2, "min_rows": 1, "column_share": 1.0, "row_share": 1.0}),
+    "gbt_categorical": ("segment", {"rounds": 1, "max_depth": 1}),
+    "rf_clf": ("step", {"n_estimators": 1, "max_depth": 1, "bootstrap": False}),
+    "rf_reg": ("n_items", {"n_estimators": 1, "max_depth": 1, "bootstrap": False}),
+}
+
+
+def stump(model, spark, sf):
+    """Out-of-fold and test predictions of models with a single split of one feature."""
+    feature, params = STUMPS[model]
+    df, layout = input_table(model, spark, sf)
+    if feature == "step":
+        df = df.withColumn("step", F.floor(F.col("price") / 50000))
+    df = df.select("id", "split", "fold", layout.label, feature)
+    result = cv.cross_validate(df, model, params, layout)
+    out = result.oof.select("id", "fold", F.round("pred", 9).alias("pred"))
+    return out.unionByName(result.test.select("id", F.lit(None).cast("int").alias("fold"), F.round("pred", 9).alias("pred")))
+
+
+def logreg_saturated(spark, sf):
+    """A weight per group and next to no penalty: the probability is the group's share in the other folds."""
+    df = tree_table(spark, sf).select("id", "split", "fold", "target_planted", (F.col("returned") == "yes").cast("double").alias("x"))
+    result = cv.cross_validate(df, "logreg", {"C": 1e9, "tol": 1e-12}, PLANTED)
+    return result.oof.select("id", "fold", F.round("pred", 6).alias("pred"))
+
+
 def full_train(spark, sf):
     """Full fit with a quarter more rounds, saved to and read from the prediction store."""
     preds = cv.full_train(tree_table(spark, sf), "gbt", 4.6, QUICK["gbt"], PLANTED)
@@ -384,11 +413,12 @@ def ensemble_weight_search(spark, sf):
 
 QUERIES = {f"oof_{m}": partial(oof, m) for m in QUICK}
 QUERIES |= {f"one_fold_{m}": partial(one_fold, m) for m in QUICK}
+QUERIES |= {f"stump_{m}": partial(stump, m) for m in STUMPS}
 QUERIES |= {f"search_{m}": partial(search_model, m) for m in QUICK}
 QUERIES |= {
     f.__name__: f
     for f in (
-        oof_logreg_multiclass, one_fold_logreg_multiclass, oof_ridge_univariate, ridge_univariate, full_train, model_roundtrip,
+        oof_logreg_multiclass, one_fold_logreg_multiclass, oof_ridge_univariate, ridge_univariate, logreg_saturated, full_train, model_roundtrip,
         gain_importance, permutation_importance, fold_average, cv_summary, best_fold, early_stop_pick,
         candidate_table, topk_trials, topk_trials_loss, trial_history, param_influence, meta_features,
         meta_features_scaled, meta_features_multiclass, weighted_blend, ensemble_weight_search,
@@ -448,6 +478,28 @@ def _one_fold_sql(model):
         true as no_worse_than_constant, true as round_was_run from folded where fold = 0"""
 
 
+def _stump_sql(model):
+    """The split with the largest gain per left-out fold; leaf means, for boosting as half the log-odds."""
+    feature, _ = STUMPS[model]
+    classifier = models.LEARNERS[model].classifier
+    rule = _STRATIFIED.format(y="target_planted") if classifier else _PLAIN
+    label = "cast(target_planted as double)" if classifier else "(price + 20*balance)/100000"
+    leaf = "1/(1+exp(-2*(2*({mean})-1)))" if models.LEARNERS[model].boosted else "{mean}"
+    numeric, x = feature != "segment", "cast(floor(price/50000) as bigint)" if feature == "step" else feature
+    order, left = ("x", "f.x <= b.x") if numeric else ("sy/n, x", "o2.x is not null")
+    return f"""with {C}, f as (select id, case when split='train' then {rule.replace('over (', 'over (partition by split, ' if not classifier else 'over (').replace('partition by target_planted', 'partition by split, target_planted')} end as fold,
+          {x} as x, {label} as y from campaign),
+        k as (select distinct fold as k from f where fold is not null),
+        s as (select k, x, count(*) n, sum(y) sy from k join f on f.fold <> k.k group by k, x),
+        o as (select k, x, row_number() over w as pos, sum(n) over w as cn, sum(sy) over w as cs, sum(n) over (partition by k) tn,
+          sum(sy) over (partition by k) ts from s window w as (partition by k order by {order})),
+        b as (select * from o where cn < tn qualify row_number() over (partition by k
+          order by round(cs*cs/cn + (ts-cs)*(ts-cs)/(tn-cn), 9) desc, pos) = 1),
+        o2 as (select o.k, o.x from o join b on o.k = b.k and o.pos <= b.pos)
+        select f.id, f.fold, round(avg(case when {left} then {leaf.format(mean='b.cs/b.cn')} else {leaf.format(mean='(b.ts-b.cs)/(b.tn-b.cn)')} end), 9) as pred
+        from f join b on f.fold is null or b.k = f.fold left join o2 on o2.k = b.k and o2.x = f.x group by f.id, f.fold"""
+
+
 SQL = {f"oof_{m}": _oof_sql(m) for m in QUICK} | {f"one_fold_{m}": _one_fold_sql(m) for m in QUICK}
 _FEATURES = "count(*) as features, 'price' as first"
 _NAMES = f"(select unnest({fx.CAMPAIGN_FEATURES}) as name)"
@@ -458,6 +510,10 @@ SQL["oof_logreg_multiclass"] = f"""with d as (select vec_id as id, label as y fr
     select id, {_STRATIFIED.format(y='y')} as fold, cast(10 as int) as classes, true as sound from d"""
 SQL["one_fold_logreg_multiclass"] = """select true as same_as_whole_run, count(distinct vec_id % 5) as folds, true as summary_within_folds
     from embeddings"""
+SQL |= {f"stump_{m}": _stump_sql(m) for m in STUMPS}
+SQL["logreg_saturated"] = f"""{_folded_sql('logreg').replace('select id,', 'select id, returned, target_planted as y,')},
+    g as (select returned, fold, count(*) n, sum(y) s from folded group by all), t as (select returned, sum(n) n, sum(s) s from g group by all)
+    select id, fold, round((t.s - g.s) / (t.n - g.n), 6) as pred from folded join g using (returned, fold) join t using (returned)"""
 SQL |= {f"search_{m}": _search_sql(m) for m in SEARCH_SPACES}
 SQL |= {
     "oof_ridge_univariate": f"""with {_RIDGE}, k as (select distinct fold f from d),
