@@ -10,6 +10,7 @@ from rowloom.operators import categories as cat
 from rowloom.operators import folds
 from rowloom.operators import numeric as num
 from rowloom.operators.columns import q
+from rowloom.operators.crosses import CrossMeans
 from rowloom.session import settle
 
 TEXT = ["status", "segment", "nation", "returned"]
@@ -146,12 +147,9 @@ def cross_categorical(spark, sf):
 
 
 def cross_target_encode(spark, sf):
-    df = fx.campaign(spark, sf)
-    cols = ["segment", "status", "nation", "n_items", "balance"]
-    names = [n for *_, n in cat.cross_columns(cols)]
-    out = _encoded(cat.cross_categories(df, cols, ["id", "split", "target"]), names)
-    out = out.select("id", *[f"{n}_te" for n in names])
-    return rounded(out, [f"{n}_te" for n in names])
+    """All pairs of all nine columns."""
+    out = CrossMeans.fit(settle(folds.stratified_folds(fx.campaign(spark, sf)), "folds"), fx.CAMPAIGN_FEATURES).transform()
+    return rounded(out, [c for c in out.columns if c != "id"])
 
 
 def cardinality_route(spark, sf):
@@ -362,7 +360,7 @@ def crosses_cte(view, cols, name="crossed", extra="id, split, target"):
     return f"{name} as (select {extra}, {cells} from {view})"
 
 
-_CROSS = ["segment", "status", "nation", "n_items", "balance"]
+_CROSS = fx.CAMPAIGN_FEATURES
 SQL = {
     "stratified_kfold": f"""with {C} select id, target, {fx.FOLD.format(label='target')} as fold
         from campaign where split='train'""",

@@ -21,6 +21,7 @@ from rowloom.operators.columns import (
     q,
     rename_known,
 )
+from rowloom.operators.crosses import CrossMeans
 from rowloom.operators.folds import stratified_folds
 from rowloom.operators.sets import tag_union, union_lenient
 from rowloom.session import settle
@@ -173,9 +174,9 @@ def _means_raw(b: _Builder) -> DataFrame:
 def _cross_means(b: _Builder) -> DataFrame:
     df = b.with_folds()
     order = [c for c in df.columns if c in b.text or c in b.numbers]
-    crossed = cat.cross_categories(df, order, b.carried + b.numbers + b.text)
     names = [n for *_, n in cat.cross_columns(order)]
-    out = b.encode(crossed, b.text + names)
+    crossed = CrossMeans.fit(df, order, b.k, b.layout).transform(b.layout)
+    out = b.encode(df, b.text).join(crossed, b.layout.id)
     out = b.take(out, b.numbers + [f"{c}_te" for c in b.text + names])
     # columns made from the label are never built; ones the caller brought are dropped
     return drop_matching(out, f"_{b.layout.label}", keep=b.carried)
