@@ -1,25 +1,28 @@
-"""Exact quantiles with linear interpolation, also for columns too large for one task.
-
-``percentile`` keeps every distinct value of a group on one task. That is fine up
-to ``small_rows``. Above it, a sketch first brackets each wanted rank between two
-values that are certain to enclose it; one further scan counts the rows between the
-brackets and keeps single values only inside them, some 1/10,000 of the data.
+"""Exact quantiles with linear interpolation, for columns and groups of any size, by recursive brackets.
+
+A wanted rank lies in an open bracket, at first the whole line. A bracket of at most ``small_rows`` values is
+sorted in one task. A larger one is cut at a few of its own values, picked by a sketch; an exact count of what
+lies between the cuts, and on each of them, tells the cut or the smaller bracket that holds the rank. A sketch
+that is off only makes that bracket larger: the cuts are values, so every round leaves fewer of them, ties go
+at once, and nothing is ever widened. Counts are added up in the tasks that read the rows, and only what lies
+inside brackets is written for the next round.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.operators.columns import col
-from rowloom.operators.joins import lookup, small_copy
-from rowloom.operators.ordering import bucket_columns
+from rowloom.operators.joins import lookup
+from rowloom.session import settle
 
 SMALL_ROWS = 2_000_000
 ACCURACY = 100_000
+#: parts that later rounds cut a bracket into
+PARTS = 64
 
 
 def _present(x: Column) -> Column:
@@ -39,160 +42,18 @@ def column_quantiles(
     ``where`` restricts single columns to the rows that meet a condition.
     """
     where = where or {}
-    names = list(wanted)
-    if not names:
+    if not wanted:
         return {}
-    slim = df.select(
-        *[
-            _present(F.when(where[n], col(n)) if n in where else col(n)).alias(f"v{i}")
-            for i, n in enumerate(names)
-        ]
-    )
-    counts = slim.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(names))]).first()
-    found: dict[str, list[float] | None] = {n: None for n in names}
-    # the values of all small columns meet on one task, so they share the bound
-    limit = max(small_rows // len(names), min(small_rows, 50_000))
-    small = [i for i in range(len(names)) if 0 < counts[f"v{i}"] <= limit]
-    large = [i for i in range(len(names)) if counts[f"v{i}"] > limit]
-    if small:
-        row = slim.agg(
-            *[F.percentile(f"v{i}", list(wanted[names[i]])).alias(f"v{i}") for i in small]
-        ).first()
-        found.update({names[i]: list(row[f"v{i}"]) for i in small})
-    if large:
-        probs = {f"v{i}": list(wanted[names[i]]) for i in large}
-        sizes = {f"v{i}": counts[f"v{i}"] for i in large}
-        exact = _bracketed(slim, probs, sizes, accuracy)
-        found.update({names[i]: exact[f"v{i}"] for i in large})
-    return found
-
-
-def _ranks(probs: Sequence[float], n: int) -> list[tuple[int, int, float]]:
-    """Lower rank, upper rank and the share of the way between, per probability."""
-    out = []
-    for q in probs:
-        at = q * (n - 1)
-        out.append((math.floor(at), math.ceil(at), at - math.floor(at)))
-    return out
-
-
-def _bracketed(slim, probs, sizes, accuracy):
-    """Quantiles of large columns from sketched brackets and one exact counting scan."""
-    # the sketch's rank error, plus the two ranks that rounding can move
-    slack = 3.0 / accuracy + 2.0 / min(sizes.values())
-    while True:
-        edges = _bracket_edges(slim, probs, slack, accuracy)
-        values = _values_at_ranks(slim, edges, probs, sizes)
-        out = {}
-        for name, qs in probs.items():
-            at = values.get(name, {})
-            steps = _ranks(qs, sizes[name])
-            if any(lo not in at or hi not in at for lo, hi, _ in steps):
-                break
-            out[name] = [at[lo] + (at[hi] - at[lo]) * part for lo, hi, part in steps]
-        else:
-            return out
-        # a rank fell outside its bracket: widen until, at last, all values are inside
-        slack *= 16
-
-
-def _bracket_edges(slim, probs, slack, accuracy):
-    """Per column: sorted cut points a1, b1+, a2, b2+, ... of disjoint closed brackets."""
-    shares, row = {}, None
-    for name, qs in probs.items():
-        shares[name] = [s for q in qs for s in (max(q - slack, 0.0), min(q + slack, 1.0))]
-    row = slim.agg(
-        *[F.percentile_approx(n, s, accuracy).alias(n) for n, s in shares.items()],
-        *[F.min(n).alias(f"{n}_min") for n in probs],
-        *[F.max(n).alias(f"{n}_max") for n in probs],
-    ).first()
-    edges = {}
-    for name in probs:
-        ends = list(row[name])
-        spans = []
-        for i, (a, b) in enumerate(zip(ends[::2], ends[1::2])):
-            low = row[f"{name}_min"] if shares[name][2 * i] == 0.0 else a
-            high = row[f"{name}_max"] if shares[name][2 * i + 1] == 1.0 else b
-            # the next double, since bucket borders belong to the bucket above
-            spans.append((low, math.nextafter(high, math.inf)))
-        spans.sort()
-        merged = [list(spans[0])]
-        for a, b in spans[1:]:
-            if a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        edges[name] = [x for span in merged for x in span]
-    return edges
-
-
-def _values_at_ranks(slim, edges, probs, sizes):
-    """The values at the wanted ranks, for all columns in one pass over the data."""
-    names = list(edges)
-    cut = bucket_columns(slim.select(*names), edges, "b_")
-    cells = cut.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(n).alias("name"),
-                        F.col(f"b_{n}").alias("part"),
-                        # odd parts are brackets; between them only the count matters
-                        F.when(F.col(f"b_{n}") % 2 == 1, F.col(n)).alias("value"),
-                        F.col(n).isNotNull().alias("present"),
-                    )
-                    for n in names
-                ]
-            )
-        ).alias("c")
-    ).where("c.present")
-    cells = cells.groupBy("c.name", "c.part", "c.value").agg(F.count(F.lit(1)).alias("n"))
-    cells = cells.persist()
-    try:
-        totals = cells.groupBy("name", "part").agg(F.sum("n").alias("n")).collect()
-        offsets: dict[tuple[str, int], int] = {}
-        for name in names:
-            seen = 0
-            for part, n in sorted((r["part"], r["n"]) for r in totals if r["name"] == name):
-                offsets[(name, part)] = seen
-                seen += n
-        found: dict[str, dict[int, float]] = {n: {} for n in names}
-        targets = []
-        for name in names:
-            ranks = {r for lo, hi, _ in _ranks(probs[name], sizes[name]) for r in (lo, hi)}
-            mine = sorted((off, part) for (n, part), off in offsets.items() if n == name)
-            for rank in sorted(ranks):
-                off, part = max(p for p in mine if p[0] <= rank)
-                if part % 2 == 1:
-                    targets.append((name, part, rank, rank - off))
-        if not targets:
-            return found
-        spark = slim.sparkSession
-        wanted = F.broadcast(
-            spark.createDataFrame(targets, "name string, part int, rank long, inside long")
-            .groupBy("name", "part")
-            .agg(F.collect_list(F.struct("rank", "inside")).alias("t"))
-        )
-        upto = Window.partitionBy("name", "part").orderBy("value")
-        upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        hits = (
-            cells.where("part % 2 = 1")
-            .join(wanted, ["name", "part"])
-            .withColumn("end", F.sum("n").over(upto))
-            .withColumn(
-                "t",
-                F.filter(
-                    "t", lambda t: (t["inside"] < F.col("end")) & (t["inside"] >= F.col("end") - F.col("n"))
-                ),
-            )
-            .select("name", "value", F.explode("t").alias("t"))
-            .select("name", "value", "t.rank")
-        )
-        for r in hits.collect():
-            found[r["name"]][r["rank"]] = r["value"]
-        return found
-    finally:
-        cells.unpersist()
+    every = sorted({q for qs in wanted.values() for q in qs})
+    cells = [
+        F.struct(F.lit(i).alias("g"), _present(F.when(where[n], col(n)) if n in where else col(n)).alias("v"))
+        for i, n in enumerate(wanted)
+    ]
+    rows = df.select(F.explode(F.array(*cells)).alias("c")).select("c.g", "c.v", F.xxhash64("c.v").alias("s")).where("v is not null")
+    # as many rows as columns
+    found = {r["g"]: r["q"] for r in _quantiles(rows, every, small_rows, accuracy).collect()}
+    place = {q: i for i, q in enumerate(every)}
+    return {n: [found[i][place[q]] for q in qs] if i in found else None for i, (n, qs) in enumerate(wanted.items())}
 
 
 def group_quantiles(
@@ -204,79 +65,101 @@ def group_quantiles(
     accuracy: int = ACCURACY,
     spread_by: Column | None = None,
 ) -> DataFrame:
-    """One row per group: ``by``, ``n`` and the array ``q`` of exact quantiles.
-
-    Groups over ``small_rows`` rows are counted by brackets like large columns; all
-    others fit on a task each.
-    """
-    probs = list(probs)
+    """One row per group: ``by``, ``n`` and the array ``q`` of exact quantiles; NaN and NULL are missing."""
     rows = df.select(
-        col(by).alias("g"),
-        _present(col(value)).alias("v"),
-        (spread_by if spread_by is not None else F.hash(col(value))).alias("s"),
+        col(by).alias("g"), _present(col(value)).alias("v"),
+        (spread_by if spread_by is not None else F.xxhash64(col(value))).alias("s"),
     ).where("g is not null and v is not null")
-    counts = rows.groupBy("g").agg(F.count("v").alias("n"))
-    large = counts.where(F.col("n") > small_rows)
-    kept = small_copy(large)
-    few = kept is not None
-    large = F.broadcast(kept) if few else large
-    ids = large.select("g")
-    parts = rows.join(ids, "g", "left_anti").groupBy("g").agg(
-        F.count("v").alias("n"), F.percentile("v", probs).alias("q")
-    )
-    if not few or kept.limit(1).count():
-        heavy = rows.join(ids, "g", "left_semi")
-        parts = parts.unionByName(_bracketed_groups(heavy, probs, small_rows, accuracy))
-    return parts.select(col("g").alias(by), "n", "q")
+    return _quantiles(rows, list(probs), small_rows, accuracy).select(col("g").alias(by), "n", "q")
 
 
-def _bracketed_groups(rows, probs, small_rows, accuracy):
-    """``(g, n, q)`` of groups that all have over ``small_rows`` rows."""
-    slack = 3.0 / accuracy + 2.0 / max(small_rows, 1)
-    lows = [max(q - slack, 0.0) for q in probs]
-    highs = [min(q + slack, 1.0) for q in probs]
-    sketch = rows.groupBy("g").agg(
-        F.count("v").alias("n"),
-        F.percentile_approx("v", lows, accuracy).alias("lows"),
-        F.percentile_approx("v", highs, accuracy).alias("highs"),
-    )
-    placed = lookup(rows, sketch, ["g"], ["lows", "highs"], "n", F.col("s"))
-    spans = F.arrays_zip("lows", "highs")
-    inside = F.exists(spans, lambda b: (F.col("v") >= b["lows"]) & (F.col("v") <= b["highs"]))
-    bounds = F.concat("lows", "highs")
-    part = F.size(F.filter(bounds, lambda e: e < F.col("v")))
-    cells = placed.groupBy("g", part.alias("part"), F.when(inside, F.col("v")).alias("value")).agg(
-        F.count(F.lit(1)).alias("c")
-    )
-    # rows between brackets come before the bracket value that ends the same part
-    parts = cells.groupBy("g", "part").agg(F.sum("c").alias("c"))
-    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("g", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("off"))
-    upto = Window.partitionBy("g", "part").orderBy(F.col("value").asc_nulls_first())
-    upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = sketch.select("g", "n")
+def _quantiles(rows: DataFrame, probs: Sequence[float], small_rows: int, accuracy: int) -> DataFrame:
+    """``(g, n, q)`` of rows ``(g, v, s)``; ``s`` spreads the rows of a hot group."""
+    counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    if most <= small_rows:
+        return rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile("v", list(probs)).alias("q"))
+    counts = settle(counts, "counts")
     at = F.array(*[F.lit(q) * (F.col("n") - 1) for q in probs])
-    hits = (
-        cells.withColumn("end", F.sum("c").over(upto))
-        .join(parts, ["g", "part"])
-        .where("value is not null")
-        .join(sizes, "g")
-        .withColumn("end", F.col("end") + F.col("off"))
-        .withColumn("start", F.col("end") - F.col("c"))
-    )
+    ranks = F.array_distinct(F.flatten(F.transform(at, lambda x: F.array(F.floor(x), F.ceil(x)))))
+    none = F.lit(None).cast("double")
+    state = counts.select("g", F.explode(ranks).alias("rank"), none.alias("low"), none.alias("high"), F.lit(0).cast("long").alias("before"))
+    found, shares = None, _around(probs, accuracy, small_rows)
+    while True:
+        values, state, rows = _round(rows, state, shares, small_rows, accuracy)
+        found = values if found is None else found.unionByName(values)
+        if state is None:
+            break
+        # fine enough for the parts, so that each round leaves a small share of a bracket
+        shares, accuracy = [i / PARTS for i in range(PARTS + 1)], max(accuracy, 10 * PARTS)
+    at_rank = F.map_from_entries(F.collect_list(F.struct("rank", "value")))
+    picked = found.groupBy("g").agg(at_rank.alias("m")).join(counts, "g")
 
-    def at_rank(rank):
-        return F.max(F.when((rank >= F.col("start")) & (rank < F.col("end")), F.col("value")))
+    def quantile(x: Column) -> Column:
+        low, high = F.col("m")[F.floor(x)], F.col("m")[F.ceil(x)]
+        return low + F.when(F.floor(x) == F.ceil(x), F.lit(0.0)).otherwise((high - low) * (x - F.floor(x)))
 
-    picks = []
-    for i in range(len(probs)):
-        lo, hi = F.floor(at[i]), F.ceil(at[i])
-        picks += [at_rank(lo).alias(f"lo{i}"), at_rank(hi).alias(f"hi{i}")]
-    picked = hits.groupBy("g").agg(F.max("n").alias("n"), *picks)
-    quantiles = []
-    for i in range(len(probs)):
-        part_way = at[i] - F.floor(at[i])
-        low = F.coalesce(F.col(f"lo{i}"), F.raise_error(F.lit("rank outside bracket")).cast("double"))
-        high = F.coalesce(F.col(f"hi{i}"), F.raise_error(F.lit("rank outside bracket")).cast("double"))
-        quantiles.append(low + (high - low) * part_way)
-    return picked.select("g", "n", F.array(*quantiles).alias("q"))
+    return picked.select("g", "n", F.transform(at, quantile).alias("q"))
+
+
+def _around(probs: Sequence[float], accuracy: int, small_rows: int) -> list[float]:
+    """Shares a little to both sides of the wanted ones: the sketch's error, plus ranks that rounding can move."""
+    slack = 3.0 / accuracy + 2.0 / max(small_rows, 1)
+    return sorted({min(max(q + d, 0.0), 1.0) for q in probs for d in (-slack, slack)})
+
+
+def _placed(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows inside some bracket of their group, with the bracket's ``low`` and ``high``."""
+    spans = state.groupBy("g").agg(F.collect_set(F.struct("low", "high")).alias("spans"), F.max("weight").alias("weight"))
+    met = lookup(rows, spans, ["g"], ["spans"], "weight", F.col("s"))
+    inside = F.filter(
+        "spans", lambda b: F.coalesce(F.col("v") > b["low"], F.lit(True)) & F.coalesce(F.col("v") < b["high"], F.lit(True))
+    )
+    return met.withColumn("b", F.get(inside, F.lit(0))).where("b is not null").select("g", "v", "s", "b.low", "b.high")
+
+
+def _round(rows, state, shares, small_rows, accuracy):
+    """Values (g, rank, value) that this round settles, the brackets (None if none is left) and the rows inside them."""
+    key = ["g", "low", "high"]
+
+    def joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        renamed = right.select(*[F.col(k).alias(f"_{k}") for k in key], *[c for c in right.columns if c not in key])
+        same = F.col("g").eqNullSafe(F.col("_g"))
+        for k in key[1:]:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        return left.join(renamed, same, how).drop(*[f"_{k}" for k in key])
+
+    weights = rows.groupBy("g").agg(F.count(F.lit(1)).alias("weight"))
+    weighted = state.join(weights, "g")
+    placed = _placed(rows, weighted)
+    sketch = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.percentile_approx("v", shares, accuracy).alias("cuts"))
+    sketch = sketch.withColumn("cuts", F.when(F.col("m") > small_rows, F.array_distinct(F.array_sort("cuts"))))
+    sketch = settle(sketch, "sketch")
+    # brackets that one task can sort
+    few = joined(placed, sketch.where("cuts is null").select(*key), "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list("v")).alias("all"))
+    values = joined(state, few).select("g", "rank", F.get("all", (F.col("rank") - F.col("before")).cast("int")).alias("value"))
+    many = settle(joined(state, sketch.where("cuts is not null").select(*key, "cuts")), "brackets")
+    if many.isEmpty():
+        return settle(values, "values"), None, rows
+    # the others are counted: odd cells are cuts, even ones lie between them
+    cut = many.groupBy("g").agg(F.collect_set(F.struct("low", "high", "cuts")).alias("spans")).join(weights, "g")
+    met = lookup(placed.select("g", "v", "s", "low", "high"), cut, ["g"], ["spans"], "weight", F.col("s"))
+    mine = F.filter("spans", lambda b: b["low"].eqNullSafe(F.col("low")) & b["high"].eqNullSafe(F.col("high")))
+    met = met.withColumn("cuts", F.get(mine, F.lit(0))["cuts"]).where("cuts is not null")
+    cell = 2 * F.size(F.filter("cuts", lambda c: c < F.col("v"))) + F.array_contains("cuts", F.col("v")).cast("int")
+    cells = met.groupBy(*key, cell.alias("cell")).agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("end", F.sum("c").over(upto)).withColumn("start", F.col("end") - F.col("c"))
+    at = joined(many, cells).where((F.col("rank") - F.col("before") >= F.col("start")) & (F.col("rank") - F.col("before") < F.col("end")))
+    half = F.floor(F.col("cell") / 2).cast("int")
+    at = settle(at.select(
+        "g", "rank", (F.col("cell") % 2 == 1).alias("hit"), F.get("cuts", half).alias("value"),
+        F.when(half > 0, F.get("cuts", half - 1)).otherwise(F.col("low")).alias("new_low"),
+        F.coalesce(F.get("cuts", half), F.col("high")).alias("new_high"), (F.col("before") + F.col("start")).alias("before"),
+    ), "ranks")
+    values = settle(values.unionByName(at.where("hit").select("g", "rank", "value")), "values")
+    left = at.where("not hit").select("g", "rank", F.col("new_low").alias("low"), F.col("new_high").alias("high"), "before")
+    if left.isEmpty():
+        return values, None, rows
+    inside = settle(_placed(rows, left.join(weights, "g")).select("g", "v", "s"), "inside")
+    return values, left, inside

@@ -99,6 +99,27 @@ def test_group_quantiles_with_a_hot_group(rows, table, small_rows):
     assert np.allclose(np.stack(got["q"]), expected.loc[got.index].to_numpy())
 
 
+@pytest.mark.parametrize("small_rows,accuracy", [(0, 2), (40, 3)])
+def test_quantiles_with_a_sketch_that_is_far_off(spark, small_rows, accuracy):
+    """Skewed, tied, infinite and missing values; rounds only ever narrow."""
+    rng = np.random.default_rng(8)
+    parts = {
+        "skewed": np.exp(rng.normal(0, 60, 500)), "tied": rng.integers(0, 3, 400).astype(float), "one": np.full(90, 2.5),
+        "mixed": np.concatenate([np.full(200, -1.0), rng.normal(0, 1e-9, 150), [np.nan] * 30, [-np.inf, 1e300]]), "single": np.array([4.0]),
+    }
+    df = spark.createDataFrame(pd.DataFrame([(g, v) for g, x in parts.items() for v in x], columns=["g", "v"]))
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: r for r in quantiles.group_quantiles(df, "g", "v", shares, small_rows, accuracy).collect()}
+    assert set(got) == set(parts)
+    for g, x in parts.items():
+        x = x[~np.isnan(x)]
+        assert got[g]["n"] == len(x)
+        assert np.allclose(got[g]["q"], np.quantile(x, shares), rtol=1e-12, atol=0) or np.isinf(x).any() and np.allclose(got[g]["q"][2:], np.quantile(x, shares[2:]), rtol=1e-12)
+    wide = spark.createDataFrame(pd.DataFrame({"a": parts["skewed"], "b": np.resize(parts["tied"], 500)}))
+    found = quantiles.column_quantiles(wide, {"a": [0.3], "b": [0.5, 0.99]}, small_rows=small_rows, accuracy=accuracy)
+    assert np.allclose(found["a"], np.quantile(parts["skewed"], 0.3)) and np.allclose(found["b"], np.quantile(np.resize(parts["tied"], 500), [0.5, 0.99]))
+
+
 def test_quantiles_of_an_empty_column(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert quantiles.column_quantiles(df, {"x": [0.5]}) == {"x": None}
