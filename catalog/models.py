@@ -320,6 +320,22 @@ def param_influence(spark, sf):
     return out.select("param", F.round("influence", 8).alias("influence"))
 
 
+GRID = tuple(d for d in SPACE if not d.below and d.name not in ("min_depth", "width"))
+
+
+def candidate_grid(spark, sf):
+    """The points of a grid whose numbers the study has, decoded from them."""
+    trials = fx.trials(spark, sf).select((F.col("trial") * 7).alias("trial"))
+    out = search.grid_candidates(trials, GRID, 4)
+    return out.select("trial", *[F.round(d.name, 9).alias(d.name) if d.kind == "float" else F.col(d.name) for d in GRID])
+
+
+def param_influence_rank(spark, sf):
+    """Correlation of ranks, ties averaged."""
+    out = search.parameter_influence(fx.trials(spark, sf), ["max_depth", "trial"], ranks=True)
+    return out.select("param", F.round("influence", 8).alias("influence"))
+
+
 # what is not searched
 SEARCH_FIXED = {
     "gbt": {"rounds": 2, "max_bin": 32}, "gbt_leafwise": {"rounds": 2, "max_bin": 32},
@@ -420,7 +436,7 @@ QUERIES |= {
     for f in (
         oof_logreg_multiclass, one_fold_logreg_multiclass, oof_ridge_univariate, ridge_univariate, logreg_saturated, full_train, model_roundtrip,
         gain_importance, permutation_importance, fold_average, cv_summary, best_fold, early_stop_pick,
-        candidate_table, topk_trials, topk_trials_loss, trial_history, param_influence, meta_features,
+        candidate_table, candidate_grid, param_influence_rank, topk_trials, topk_trials_loss, trial_history, param_influence, meta_features,
         meta_features_scaled, meta_features_multiclass, weighted_blend, ensemble_weight_search,
     )
 }
@@ -555,6 +571,17 @@ SQL |= {
         select trial, round(rate,9) as rate, round(penalty,9) as penalty, depth, width,
           cast(128 + floor(u2*(floor((width-128)/32)+1))*32 as bigint) as width2, round(dropout,9) as dropout,
           activation, greatest(depth, cast(floor(log2(width)) as bigint)+1) as min_depth from a""",
+    "candidate_grid": f"""with {fx.TRIALS}, g as (select trial*7 as trial from trials),
+        d as (select trial, trial % 4 as a, (trial // 4) % 7 as dr, (trial // 28) % 28 as de, (trial // 784) % 4 as pe, (trial // 3136) % 4 as ra
+          from g where trial < 4*4*28*7*4)
+        select trial, round(0.01 + ra/3.0*(0.3-0.01), 9) as rate, round(1e-4*pow(40.0/1e-4, pe/3.0), 9) as penalty,
+          cast(3 + de as bigint) as depth, round(0.1 + cast(dr as double)*0.05, 9) as dropout, ['ReLU','LeakyReLU','GELU','SiLU'][1 + a] as activation from d""",
+    "param_influence_rank": f"""with {fx.TRIALS}, s as (select max_depth, trial, value from trials where value is not null),
+        r as (select rank() over (order by max_depth) + (count(*) over (partition by max_depth) - 1)/2.0 as rm,
+          rank() over (order by trial) + (count(*) over (partition by trial) - 1)/2.0 as rt,
+          rank() over (order by value) + (count(*) over (partition by value) - 1)/2.0 as rv from s)
+        select 'max_depth' as param, round(abs(corr(rm, rv)), 8) as influence from r
+        union all select 'trial', round(abs(corr(rt, rv)), 8) from r""",
     "topk_trials": f"""with {fx.TRIALS} select * from trials where value is not null
         order by value desc, trial limit 10""",
     "topk_trials_loss": f"""with {fx.TRIALS} select * from trials where value is not null

@@ -85,6 +85,8 @@ def bucket_columns(df: DataFrame, edges: dict[str, list[float]], prefix: str) ->
 
     A missing value gets a bucket number of its own, past the last one.
     """
+    # infinite values are in the outermost buckets anyway
+    edges = {n: [x for x in e if abs(x) != float("inf")] for n, e in edges.items()}
     plain = {n: e for n, e in edges.items() if not e}
     cut = {n: e for n, e in edges.items() if e}
     out = df.withColumns({prefix + n: F.lit(0) for n in plain}) if plain else df
@@ -135,3 +137,21 @@ def running_extreme(
     return ranked.join(heads, cell).select(
         *[col(c) for c in df.columns], outer("_inside", "_before").alias(out)
     )
+
+
+def average_ranks(df: DataFrame, name: str, buckets: int | None = None, count: str | None = None) -> DataFrame:
+    """(value, rows, rank): each distinct value of a column with its 1-based rank, ties sharing their average.
+
+    Values are counted first and the counts are bucketed, so no task holds the order of the whole column.
+    NaN is missing, like NULL. With ``count``, a row stands for as many as that column says.
+    """
+    x = col(name).cast("double")
+    n = F.sum(col(count) if count else F.lit(1))
+    counts = df.where(x.isNotNull() & ~F.isnan(x)).groupBy((x + F.lit(0.0)).alias("value")).agg(n.alias("rows"))
+    cut = bucket_columns(counts, {"value": sketch_edges(counts, "value", buckets)}, "_b_")
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_b_value").rowsBetween(Window.unboundedPreceding, -1)
+    # a row a bucket
+    heads = cut.groupBy("_b_value").agg(F.sum("rows").alias("_n")).select("_b_value", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_b_value").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("_before") + F.coalesce(F.sum("rows").over(inside), F.lit(0))
+    return cut.join(heads, "_b_value").select("value", "rows", (below + (F.col("rows") + 1) / 2).alias("rank"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from threading import Lock
@@ -13,9 +14,11 @@ from rowloom.functions import metrics
 from rowloom.functions.scalars import hash_uniform, ratio
 from rowloom.layout import DEFAULT, Layout
 from rowloom.operators.columns import col
-from rowloom.operators.ordering import running_extreme
+from rowloom.operators.joins import lookup
+from rowloom.operators.ordering import average_ranks, running_extreme
 from rowloom.plans.cv import _in_threads, _learner, fit_one_fold
 from rowloom.plans.models import Learner, prepare
+from rowloom.session import settle
 from rowloom.sources.stores import TRIAL_SCHEMA, TrialStore
 
 
@@ -107,6 +110,50 @@ SPACES: dict[str, tuple[Dim, ...]] = {
     ),
 }
 
+def _grid_values(dim: Dim, points: int) -> list | range:
+    """What a parameter can be on a grid: all choices or steps, else ``points`` values, evenly (or by ratio) from end to end."""
+    if dim.kind == "choice":
+        return list(dim.choices)
+    if dim.step is not None or dim.kind == "int":
+        step = dim.step or 1
+        n = int((dim.high - dim.low) / step + 1e-9) + 1
+        return [dim.low + i * step for i in range(n)]
+    share = [i / max(points - 1, 1) for i in range(points)]
+    if dim.log:
+        return [dim.low * (dim.high / dim.low) ** x for x in share]
+    return [dim.low + x * (dim.high - dim.low) for x in share]
+
+
+def grid_size(space: Sequence[Dim], points: int = 5) -> int:
+    """How many points the product of all parameters has."""
+    size = 1
+    for dim in space:
+        size *= 1 if dim.sql is not None else len(_grid_values(dim, points))
+    return size
+
+
+def grid_candidates(trials: DataFrame, space: Sequence[Dim], points: int = 5) -> DataFrame:
+    """Parameter values for every row of ``trials``: trial t is point t of the product space, the last parameter fastest.
+
+    The number decodes in mixed radix, so any block of a grid is a plan over a range of numbers; nothing is
+    enumerated. Numbers beyond the grid are left out. Derived parameters follow; ``below`` has no place on a grid.
+    """
+    if any(d.below for d in space):
+        raise ValueError("a range that ends at another parameter has no fixed grid")
+    out, stride = trials.select("trial").where((F.col("trial") >= 0) & (F.col("trial") < grid_size(space, points))), 1
+    cells = {}
+    for dim in reversed([d for d in space if d.sql is None]):
+        values = _grid_values(dim, points)
+        at = F.floor(F.col("trial") / stride).cast("long") % len(values) if stride > 1 else F.col("trial") % len(values)
+        cell = F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+        cells[dim.name] = cell if dim.kind == "choice" else cell.cast("long" if dim.kind == "int" else "double")
+        stride *= len(values)
+    out = out.select("trial", *[cells[d.name].alias(d.name) for d in space if d.sql is None])
+    for dim in space:
+        if dim.sql is not None:
+            out = out.withColumn(dim.name, F.expr(dim.sql))
+    return out.select("trial", *[col(d.name) for d in space])
+
 
 def _as_params(row: Mapping) -> dict:
     params = {k: v for k, v in row.items() if k != "trial"}
@@ -116,22 +163,28 @@ def _as_params(row: Mapping) -> dict:
 
 def run_search(
     objective: Callable[[dict], float | None | tuple[float | None, Mapping]], space: Sequence[Dim], n_trials: int, store: TrialStore,
-    study: str, initial: Mapping | None = None, seed: int = 42, parallelism: int = 1,
+    study: str, initial: Mapping | None = None, seed: int = 42, parallelism: int = 1, grid: int | None = None,
 ) -> DataFrame:
     """Score ``n_trials`` more candidates and append them to the study.
 
-    A study that exists is continued: numbering goes on after its last trial, so no
-    candidate repeats. ``initial`` is tried first. Each trial is itself a distributed
-    fit, and is appended as soon as it ends; one that fails is stored without a score.
-    An objective that changes parameters returns the score and those it used: these are stored.
+    A study that exists is continued: what was begun by a run that ended early and has no
+    trial is done again first, from the study's log of intents, whatever their numbers; then
+    numbering goes on after the last, so no candidate repeats. ``initial`` is tried first. With ``grid``
+    trials walk the grid of so many points a range, and end with it, instead of being drawn.
+    Each trial is itself a distributed fit, and is appended as soon as it ends; one that fails is stored
+    without a score. An objective that changes parameters returns the score and those it used: these are stored.
     """
     spark = store.spark
-    last = store.load(study).agg(F.max("trial").alias("t")).first()["t"]
-    start = 0 if last is None else last + 1
+    lost = {r["trial"]: json.loads(r["drawn"]) for r in store.lost(study).collect()}
+    start = store.next_number(study)
     numbers = spark.range(start, start + n_trials).select(F.col("id").alias("trial"))
-    drawn = {r["trial"]: r.asDict() for r in candidates(numbers, space, seed).collect()}
+    wanted = candidates(numbers, space, seed) if grid is None else grid_candidates(numbers, space, grid)
+    drawn = {r["trial"]: r.asDict() for r in wanted.collect()}
     if initial is not None and n_trials:
         drawn[start] = {"trial": start, **initial}
+    if drawn:
+        store.intend(study, spark.createDataFrame([(t, json.dumps(p)) for t, p in drawn.items()], "trial long, drawn string"))
+    drawn = lost | drawn
 
     def one(number):
         params = _as_params(drawn[number])
@@ -154,9 +207,9 @@ def run_search(
 def search_model(
     df: DataFrame, model: str | Learner, n_trials: int, store: TrialStore, study: str | None = None,
     space: Sequence[Dim] | None = None, fixed: Mapping | None = None, initial: Mapping | None = None,
-    layout: Layout = DEFAULT, seed: int = 42, fold: int = 0, parallelism: int = 1, patience: int | None = None,
+    layout: Layout = DEFAULT, seed: int = 42, fold: int = 0, parallelism: int = 1, patience: int | None = None, grid: int | None = None,
 ) -> DataFrame:
-    """Search a model's parameters, scoring each candidate on one fold.
+    """Search a model's parameters, scoring each candidate on one fold; by a grid of so many points a range with ``grid``.
 
     ``fixed`` holds parameters outside the space; one inside it is an error. Stored are
     the parameters of the fit, defaults included; with ``patience`` also the round kept.
@@ -177,7 +230,7 @@ def search_model(
     try:
         return run_search(
             objective, space, n_trials, store, study or f"{learner.name}_study",
-            initial, seed, parallelism,
+            initial, seed, parallelism, grid,
         )
     finally:
         prepared.release()
@@ -197,17 +250,41 @@ def trial_history(trials: DataFrame, metric: str) -> DataFrame:
     )
 
 
+def rank_correlation(df: DataFrame, a: str, b: str) -> float | None:
+    """Correlation of the tie-averaged ranks of two columns, over the rows that have both."""
+    x, y = (col(n).cast("double") for n in (a, b))
+    pairs = df.select((x + F.lit(0.0)).alias("x"), (y + F.lit(0.0)).alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    pairs = settle(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    # equal pairs are one row from here on; ranks count each as often as it occurs
+    out = pairs
+    for name in ("x", "y"):
+        ranks = average_ranks(pairs, name, count="n").select(F.col("value").alias(name), F.col("rank").alias(f"r{name}"), "rows")
+        out = lookup(out, ranks, [name], [f"r{name}"], "rows", F.struct("x", "y"))
+    weighted = out.select(*[F.sum(F.expr(e)).alias(k) for k, e in {
+        "n": "n", "sx": "n * rx", "sy": "n * ry", "sxx": "n * rx * rx", "syy": "n * ry * ry", "sxy": "n * rx * ry",
+    }.items()]).first()
+    if not weighted["n"]:
+        return None
+    n, sx, sy = weighted["n"], weighted["sx"], weighted["sy"]
+    spread = (weighted["sxx"] - sx * sx / n) * (weighted["syy"] - sy * sy / n)
+    return (weighted["sxy"] - sx * sy / n) / spread**0.5 if spread > 0 else None
+
+
 def parameter_influence(
-    trials: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()
+    trials: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), ranks: bool = False
 ) -> DataFrame:
     """Strength of the link between each parameter and the score, from 0 to 1.
 
-    Absolute correlation for a number; for a choice, the root of the share of the
-    score's variance that lies between its values.
+    Absolute correlation for a number, of tie-averaged ranks with ``ranks``; for a choice, the
+    root of the share of the score's variance that lies between its values.
     """
     scored = trials.where(F.col("value").isNotNull())
     out = None
-    if numeric:
+    if numeric and ranks:
+        # a number a parameter
+        found = [(n, rank_correlation(scored, n, "value")) for n in numeric]
+        out = trials.sparkSession.createDataFrame([(n, None if r is None else abs(r)) for n, r in found], "param string, influence double")
+    elif numeric:
         row = scored.agg(
             *[F.abs(F.corr(col(n).cast("double"), F.col("value"))).alias(f"c{i}") for i, n in enumerate(numeric)]
         )

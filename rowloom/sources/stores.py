@@ -81,12 +81,53 @@ class TrialStore:
         ).parquet(self._path(study))
 
     def load(self, study: str) -> DataFrame:
-        """All trials of the study; an unknown study is an empty one."""
+        """All trials of the study; an unknown study is an empty one.
+
+        A trial that was appended more than once is one row, a scored one if there is any.
+        """
         path = self._path(study)
         if not _exists(self.spark, path):
             return self.spark.createDataFrame([], f"study string, {TRIAL_SCHEMA}")
         table = self.spark.read.schema(TRIAL_SCHEMA).parquet(path)
-        return table.select(F.lit(study).alias("study"), *table.columns)
+        rank = F.struct(F.col("value").isNotNull(), "state", F.col("params").cast("string"))
+        best = table.groupBy("trial").agg(F.max_by(F.struct("params", "value", "state"), rank).alias("b"))
+        return best.select(F.lit(study).alias("study"), "trial", "b.params", "b.value", "b.state")
+
+    def compact(self, study: str) -> None:
+        """Put the study's many small files into one.
+
+        The one file is added before the others go, and a trial counts once, so an end at any moment loses nothing.
+        """
+        path = self._path(study)
+        if not _exists(self.spark, path):
+            return
+        old = [f for f in self.spark.read.parquet(path).inputFiles()]
+        self.load(study).drop("study").coalesce(1).write.mode("append").parquet(path)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in old:
+            place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+            place.getFileSystem(conf).delete(place, False)
+        self.spark.catalog.refreshByPath(path)
+
+    def intend(self, study: str, drawn: DataFrame) -> None:
+        """Log the candidates (trial, drawn) that a run is about to try."""
+        drawn.select("trial", "drawn").coalesce(1).write.mode("append").parquet(f"{self.root}-intents/study={study}")
+
+    def _intents(self, study: str) -> DataFrame:
+        path = f"{self.root}-intents/study={study}"
+        if not _exists(self.spark, path):
+            return self.spark.createDataFrame([], "trial long, drawn string")
+        return self.spark.read.schema("trial long, drawn string").parquet(path).dropDuplicates(["trial"])
+
+    def lost(self, study: str) -> DataFrame:
+        """Candidates that were to be tried and have no trial."""
+        return self.remaining(study, self._intents(study))
+
+    def next_number(self, study: str) -> int:
+        """One more than any trial that was tried or to be tried."""
+        both = self.load(study).select("trial").unionByName(self._intents(study).select("trial"))
+        last = both.agg(F.max("trial")).first()[0]
+        return 0 if last is None else last + 1
 
     def remaining(self, study: str, candidates: DataFrame) -> DataFrame:
         """Candidates the study has no trial for yet."""
@@ -97,6 +138,7 @@ class TrialStore:
         self.spark.createDataFrame([], TRIAL_SCHEMA).write.mode("overwrite").parquet(
             self._path(study)
         )
+        self.spark.createDataFrame([], "trial long, drawn string").write.mode("overwrite").parquet(f"{self.root}-intents/study={study}")
 
 
 def save_model(model: PipelineModel, path: str) -> None:
