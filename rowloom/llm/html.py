@@ -53,14 +53,18 @@ _TOKEN = re.compile(
     r"|<[/!?a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+#: names of layouts that only mention what stands around: has-sidebar, content-sidebar-wrap
+_LAYOUT = re.compile(r"(?:has|no|with|without|show|hide)[_-].*|(?:content|main|page|site|body|article|post)[_-].*[_-](?:wrap|wrapper|container|layout|grid)", re.I)
 _SPACE = re.compile(r"\s+")
 _EDGES = re.compile(r"^\W+|\W+$")
 
 SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.15, 0.30
 MOST_LINKS = 0.4
+#: how many times as long dense text outside must be for an article section to be a teaser only
+TEASER = 2
 
 
 @dataclass
@@ -69,6 +73,23 @@ class Block:
     link_share: float
     #: True inside an article or main section, False inside what stands around it, else None
     inside: bool | None
+    #: in an article or main section within a section that only its name puts aside
+    held: bool = False
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; one without a value has an empty one."""
+    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(text)}
+
+
+def _hidden(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_NOT_SHOWN.search(found.get("style", "")))
+
+
+def _around(found: dict[str, str]) -> bool:
+    """Whether a class, id or role names something around the main text, other than as part of a layout."""
+    names = " ".join(found.get(x, "") for x in ("class", "id", "role"))
+    return bool(_AROUND.search(names)) and any(_AROUND.search(n) and not _LAYOUT.fullmatch(n) for n in names.split())
 
 
 def blocks(page: str) -> list[Block]:
@@ -76,8 +97,10 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool | None]] = []
+    stack: list[tuple[str, bool | None, bool, bool]] = []
     inside: bool | None = None
+    #: put aside by name only, and again inside an article or main section there
+    named = held = False
     in_link = False
     at = 0
 
@@ -87,7 +110,7 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 link = len(_SPACE.sub(" ", html.unescape("".join(linked))).strip()) if linked else 0
-                out.append(Block(text, link / len(text), inside))
+                out.append(Block(text, link / len(text), inside, held))
         parts, linked = [], []
 
     for token in _TOKEN.finditer(page):
@@ -113,20 +136,25 @@ def blocks(page: str) -> list[Block]:
         if token["close"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    inside = stack[k][1]
+                    _, inside, named, held = stack[k]
                     del stack[k:]
                     break
         elif not token["attrs"].rstrip().endswith("/"):
             if tag == "li" and stack and stack[-1][0] == "li":
-                inside = stack.pop()[1]
-            stack.append((tag, inside))
-            if inside is not False:
-                names = " ".join(m.group(1).strip("\"'") for m in _NAMES.finditer(token["attrs"])) if token["attrs"] else ""
-                if tag in OUTSIDE_TAGS or tag == "header" and inside is None or names and _AROUND.search(names) or token["attrs"] and _HIDDEN.search(token["attrs"]):
-                    if tag not in MAIN_TAGS:
-                        inside = False
-                if inside is None and tag in MAIN_TAGS:
+                _, inside, named, held = stack.pop()
+            stack.append((tag, inside, named, held))
+            found = attributes(token["attrs"]) if token["attrs"] else {}
+            hard = tag in OUTSIDE_TAGS or tag == "header" and inside is None or _hidden(found)
+            if tag in MAIN_TAGS:
+                if inside is None and not _hidden(found):
                     inside = True
+                elif inside is False and named and not hard and not _around(found):
+                    held = True
+            elif inside is not False and (hard or _around(found)):
+                inside, named = False, not hard
+            elif named and (hard or _around(found)):
+                # put aside within what is: an article further in does not count
+                named = held = False
     if at < len(page):
         parts.append(page[at:])
         if in_link:
@@ -135,27 +163,45 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _dense(block: Block) -> float:
+    """Share of stop words."""
+    words = block.text.split()
+    return sum(_EDGES.sub("", w).lower() in STOP_WORDS for w in words) / len(words)
+
+
 def _first_pass(block: Block, has_main: bool) -> str:
     if block.inside is False:
         return "bad"
+    if block.inside and has_main:
+        return "good"
     if block.link_share > MOST_LINKS and len(block.text.split()) > 1:
         return "bad"
-    if block.inside:
-        return "good"
     if len(block.text) < SHORT:
         return "bad" if block.link_share > 0 or has_main else "short"
     if has_main:
         return "bad"
-    words = block.text.split()
-    stops = sum(_EDGES.sub("", w).lower() in STOP_WORDS for w in words) / len(words)
+    stops = _dense(block)
     if stops >= MANY_STOPS:
         return "good" if len(block.text) > LONG else "near"
     return "near" if stops >= FEW_STOPS else "bad"
 
 
 def judged(found: list[Block]) -> list[bool]:
-    """Whether each block is main text. An article or main section, where a page has one, holds all of it."""
-    has_main = any(b.inside for b in found)
+    """Whether each block is main text.
+
+    An article or main section, where a page has one, holds all of it, unless much more dense text stands elsewhere.
+    If a page has such sections only within what its names put aside, those are meant.
+    """
+    main = sum(len(b.text) for b in found if b.inside)
+    aside = sum(len(b.text) for b in found if b.held)
+    if aside > TEASER * main:
+        for b in found:
+            b.inside = True if b.held else b.inside
+        main += aside
+    elsewhere = sum(
+        len(b.text) for b in found if b.inside is None and len(b.text) > LONG and b.link_share <= MOST_LINKS and _dense(b) >= MANY_STOPS
+    )
+    has_main = main > 0 and elsewhere <= TEASER * main
     labels = [_first_pass(b, has_main) for b in found]
 
     def beside(k: int, step: int, near: bool) -> tuple[str, int]:
