@@ -16,7 +16,7 @@ from rowloom.functions import metrics
 from rowloom.layout import DEFAULT, TEST, TRAIN, Layout
 from rowloom.operators.columns import col, q
 from rowloom.operators.ordering import shuffled_rank
-from rowloom.plans import staged
+from rowloom.plans import epochs, staged
 from rowloom.plans.models import LEARNERS, Learner, Prepared, TrainStats, prepare
 from rowloom.session import shared_dir
 
@@ -137,7 +137,7 @@ def cross_validate(
     Folds are independent, so some are fitted at the same time. Test rows pass
     through all models in one scan; nothing is joined. With ``patience``, boosted models are
     cut to the round with the best score on the left-out rows, by the learner's metric; one job
-    scores the rounds of all folds, and no model is fitted twice.
+    scores the rounds of all folds, and no model is fitted twice. Perceptrons are kept at their best step of epochs.
     """
     learner = _learner(model)
     spark = df.sparkSession
@@ -147,11 +147,21 @@ def cross_validate(
     classes = stats[None].classes if learner.classifier else 2
     train, fold = _train_rows(p, layout), col(layout.fold)
 
+    by_epochs = learner.name == "mlp" and patience is not None
+
     def one(f):
-        return _fit(learner, params, stats[f], train.where(fold != f), layout, seed)
+        own = train.where(fold != f)
+        if by_epochs:
+            return epochs.fit_by_epochs(learner, params, stats[f], own, train.where(fold == f), layout, seed, patience)
+        return _fit(learner, params, stats[f], own, layout, seed)
 
     models = dict(zip(folds, _in_threads(spark, one, folds, parallelism)))
     kept, curves = dict.fromkeys(folds, _rounds(learner, params)), None
+    if by_epochs:
+        for f, m in models.items():
+            own = m.curve.select(F.lit(f).alias("fold"), F.col("epoch").alias("iteration"), "value")
+            curves = own if curves is None else curves.unionByName(own)
+        kept, models = {f: m.best_epoch for f, m in models.items()}, {f: m.model for f, m in models.items()}
     if learner.boosted and patience is not None:
         kept, curves = staged.best_rounds(models, train, learner.metric, patience, layout)
         models = {f: staged.truncated(m, kept[f]) for f, m in models.items()}
@@ -200,6 +210,11 @@ def fit_one_fold(
     stats, classes = found[fold], found[None].classes if learner.classifier else 2
     rows = _train_rows(p, layout)
     train, valid = rows.where(col(layout.fold) != fold), rows.where(col(layout.fold) == fold)
+    if learner.name == "mlp" and patience is not None:
+        stopped = epochs.fit_by_epochs(learner, params, stats, train, valid, layout, seed, patience)
+        if prepared is None:
+            p.release()
+        return stopped.model, stopped.value, stopped.best_epoch
     fit, best = _fit(learner, params, stats, train, layout, seed), _rounds(learner, params)
     if learner.boosted and patience is not None:
         best = staged.best_rounds({fold: fit}, valid, learner.metric, patience, layout)[0][fold]
