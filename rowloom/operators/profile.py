@@ -129,10 +129,14 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
 
 def density_by_category(
     df: DataFrame, category: str, value: str, points: int = 200, cut: float = 3.0,
-    layout: Layout = DEFAULT,
+    layout: Layout = DEFAULT, bin_width: float | None = None,
 ) -> DataFrame:
     """Gaussian kernel density of ``value`` per level, each level summing to one.
 
+    With ``bin_width``, a share of the bandwidth, rows are first counted in bins of that width,
+    each split between the two bins it lies between; the kernel then meets bins instead of rows. The error is
+    at most bin_width squared / 8 of a kernel's height: below 1e-6 of it for 1/400.
+
     Bandwidth by Scott's rule; the grid reaches ``cut`` bandwidths beyond the data.
     Every row adds to ``points`` sums inside its task, so what is shuffled is one
     partial sum per level, grid point and task.
@@ -148,6 +152,8 @@ def density_by_category(
     ).where("n > 1 and h > 0")
     placed = lookup(rows, stats, ["level"], ["n", "h", "lo", "hi"], "n", F.col("id"))
     placed = placed.where("h is not null").select("level", "x", "n", "h", "lo", "hi")
+    if bin_width is not None:
+        return _binned_density(placed, points, cut, bin_width)
 
     def partial(batches: Iterator) -> Iterator:
         import numpy as np
@@ -185,6 +191,32 @@ def density_by_category(
     )
 
 
+def _binned_density(rows: DataFrame, points: int, cut: float, bin_width: float) -> DataFrame:
+    """Densities from counts per bin; rows only ever add to counts, in the tasks that read them."""
+    at = (F.col("x") - F.col("lo")) / (F.col("h") * bin_width)
+    below = F.floor(at)
+    cells = F.explode(F.array(
+        F.struct(below.alias("k"), (1 - (at - below)).alias("w")), F.struct((below + 1).alias("k"), (at - below).alias("w"))
+    ))
+    binned = rows.select("level", "n", "h", "lo", "hi", cells.alias("c")).where("c.w > 0")
+    binned = binned.groupBy("level", "n", "h", "lo", "hi", F.col("c.k").alias("k")).agg(F.sum("c.w").alias("w"))
+
+    def convolved(part):
+        import numpy as np
+        import pandas as pd
+
+        n, h, lo, hi = part[["n", "h", "lo", "hi"]].iloc[0]
+        grid = (lo - cut * h) + (hi - lo + 2 * cut * h) * (np.arange(points) / (points - 1.0))
+        centres, weights, total = lo + part["k"].to_numpy() * h * bin_width, part["w"].to_numpy(), np.zeros(points)
+        for start in range(0, len(weights), 2048):
+            z = (grid[:, None] - centres[None, start : start + 2048]) / h
+            total += np.exp(-0.5 * z * z) @ weights[start : start + 2048]
+        return pd.DataFrame({"level": part["level"].iloc[0], "i": np.arange(points), "x": grid, "density": total / (n * h * (2 * np.pi) ** 0.5)})
+
+    # a level's bins: the range in bandwidths over bin_width, however many rows it has
+    return binned.groupBy("level").applyInPandas(convolved, "level string, i int, x double, density double")
+
+
 def box_statistics(
     df: DataFrame, category: str, value: str, layout: Layout = DEFAULT,
     small_rows: int = SMALL_ROWS,

@@ -367,3 +367,17 @@ def test_repeated_ids_do_not_multiply_rows(spark):
     for pair in ((a, b), (b, a)):
         with pytest.raises(PySparkException, match="id repeats"):
             joins.side_by_side(*pair).collect()
+
+
+def test_binned_density_is_close_to_the_exact_one(spark):
+    rng = np.random.default_rng(9)
+    frame = pd.DataFrame({"id": np.arange(1500), "g": np.where(np.arange(1500) < 1000, "a", "b"), "v": np.concatenate([rng.normal(0, 1, 1000), rng.exponential(30, 500)])})
+    df = spark.createDataFrame(frame)
+    exact = profile.density_by_category(df, "g", "v").toPandas().set_index(["level", "i"])
+    for width in (1 / 400, 1 / 40):
+        got = profile.density_by_category(df, "g", "v", bin_width=width).toPandas().set_index(["level", "i"]).loc[exact.index]
+        assert np.allclose(got["x"], exact["x"])
+        for level, part in exact.groupby("level"):
+            gap = (got.loc[part.index, "density"] - part["density"]).abs().max()
+            assert gap <= width**2 / 8 * part["density"].max() * 4
+    assert profile.density_by_category(df.where("id < 1"), "g", "v", bin_width=0.01).collect() == []

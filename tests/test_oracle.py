@@ -6,8 +6,6 @@ import __spark_entry__ as entry
 from tests.compare import connect, differences
 
 SQL = entry.oracle_sql()
-# fits that tests/test_models.py covers, or that repeat another model's way
-SLOW = ("oof_gbt", "oof_rf", "oof_mlp", "one_fold_", "permutation", "oof_logreg")
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +23,7 @@ def test_every_sql_has_a_query():
 
 
 @pytest.mark.parametrize(
-    "name", [n for n in sorted(entry.queries()) if n not in SQL and not n.startswith(SLOW)]
+    "name", [n for n in sorted(entry.queries()) if n not in SQL]
 )
 def test_gives_rows(spark, sf, name):
     assert entry.queries()[name](spark, sf).limit(1).count() == 1
