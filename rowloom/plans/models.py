@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.layout import DEFAULT, Layout
-from rowloom.operators.categories import LabelCodes, distinct_counts
+from rowloom.operators.categories import LabelCodes
 from rowloom.operators.columns import categorical_columns, col, numeric_columns, q
 
 MAX_DEPTH = 30  # the deepest tree Spark ML grows
@@ -236,14 +236,16 @@ def prepare(
         raise ValueError(f"{learner.name} needs numeric features, not {text}")
     out, most, metadata = df, 0, {}
     if text:
-        out = LabelCodes.fit(out, text, layout=layout).transform(out, as_text=False, layout=layout)
-        for r in distinct_counts(df, text).collect():
-            levels = r["n_distinct"] + 1
-            if r["col"] in ordered:
+        codes = LabelCodes.fit(out, text, layout=layout)
+        out = codes.transform(out, as_text=False, layout=layout)
+        for name in text:
+            # the levels that were counted, and one for NULL
+            levels = codes.null_code[name] + 1
+            if name in ordered:
                 continue
             if levels > max_levels:
-                raise ValueError(f"{r['col']} has {levels} levels, over {max_levels}: encode it or name it as ordered")
-            metadata[r["col"]] = {"ml_attr": {"type": "nominal", "num_vals": levels}}
+                raise ValueError(f"{name} has {levels} levels, over {max_levels}: encode it or name it as ordered")
+            metadata[name] = {"ml_attr": {"type": "nominal", "num_vals": levels}}
             most = max(most, levels)
     if learner.trees:
         fill = dict.fromkeys(numbers, BELOW_ALL)

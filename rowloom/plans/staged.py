@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import metrics
 from rowloom.layout import DEFAULT, Layout
 from rowloom.operators.columns import col
+from rowloom.session import settle
 
 #: rounds that one job scores
 BLOCK = 64
@@ -76,8 +77,8 @@ def round_scores(
             col(layout.fold).alias("fold"), col(layout.label).alias("_label"), F.posexplode("margins").alias("_at", "_margin")
         )
         parts = own if parts is None else parts.unionByName(own)
-    # equal margins are one row a task already
-    counted = parts.groupBy("fold", "_at", "_margin", "_label").agg(F.count(F.lit(1)).alias("_n"))
+    # equal margins are one row; written, since a score reads them more than once and each reading would run all trees
+    counted = settle(parts.groupBy("fold", "_at", "_margin", "_label").agg(F.count(F.lit(1)).alias("_n")), "margins")
     scored = counted.select(
         "fold", (F.col("_at") + first).alias("iteration"), (1 / (1 + F.exp(-2 * F.col("_margin")))).alias("_p"), "_label", "_n"
     )
