@@ -1,9 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text. Overlapping windows of a text
-are compressed with either; the bytes that the toxic dictionary saves are the distance. The toxic one holds
-the ordinary words as well, at the same offsets, so ordinary text compresses alike with both and
-only toxic strings tell. Words are weighed by the contexts they occur in, so copies of a text count once. A threshold on the saved bytes
+Two zstandard dictionaries of raw content are put together; neither is trained by zstandard. One holds words that a
+likelihood test finds toxic in labelled texts, the other blanks in their place. Overlapping windows of a text
+are compressed with either; the bytes that the toxic dictionary saves are the distance. Ordinary text compresses
+alike with both, so only toxic strings tell. Words are weighed by the contexts they occur in, so copies of a text count once. A threshold on the saved bytes
 and a logistic curve over a text's windows are calibrated on labelled texts that the dictionaries have not seen.
 """
 
@@ -151,7 +151,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, *,
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_column: str = "doc_id", max_rows: int = MAX_ROWS) -> CompressionModel:
     """Fit on at most ``max_rows`` labelled rows of each class, those with the smallest hash of the id.
 
-    One half trains the dictionaries, the other calibrates, its rows weighted by the counts of the classes over all
+    One half picks the dictionaries' words, the other calibrates, its rows weighted by the counts of the classes over all
     labels, so that the score's prior does not depend on ``max_rows``. Null labels and ids without a text are left out; without
     labels the score is one half everywhere.
     """
