@@ -18,7 +18,7 @@ from rowloom.operators import folds
 from rowloom.operators import numeric as num
 from rowloom.plans import cv, ensemble, models, search
 from rowloom.session import fresh_path, settle
-from rowloom.sources import stores
+from rowloom.sources import bucketed, stores
 
 PLANTED = fx.PLANTED
 # small settings, so that every model is fitted on the whole table in seconds
@@ -390,6 +390,16 @@ def meta_features(spark, sf):
     return out
 
 
+def meta_features_bucketed(spark, sf):
+    """The same rows from feature, prediction and label tables bucketed by id."""
+    rows = fx.campaign(spark, sf)
+    store = bucketed.BucketedStore(spark, fresh_path(spark, "bucketed"), buckets=8)
+    store.save(rows.select("id", "split", "segment", "qty"), "features")
+    store.save(rows.where("split = 'train'").select("id", "target"), "labels")
+    bucketed.save_predictions(store, fx.preds(spark, sf), ["m3", "m1"])
+    return bucketed.meta_features(store, ["m3", "m1"], "features", "labels")
+
+
 def meta_features_scaled(spark, sf):
     out = ensemble.meta_features(fx.preds(spark, sf), ["m1", "m2"], scale=True)
     return fq.rounded(out, ["pred_m1", "pred_m2"])
@@ -436,7 +446,7 @@ QUERIES |= {
     for f in (
         oof_logreg_multiclass, one_fold_logreg_multiclass, oof_ridge_univariate, ridge_univariate, logreg_saturated, full_train, model_roundtrip,
         gain_importance, permutation_importance, fold_average, cv_summary, best_fold, early_stop_pick,
-        candidate_table, candidate_grid, param_influence_rank, topk_trials, topk_trials_loss, trial_history, param_influence, meta_features,
+        candidate_table, candidate_grid, param_influence_rank, topk_trials, topk_trials_loss, trial_history, param_influence, meta_features, meta_features_bucketed,
         meta_features_scaled, meta_features_multiclass, weighted_blend, ensemble_weight_search,
     )
 }
@@ -599,6 +609,8 @@ SQL |= {
         max(case when model_id='m1' then pred end) as pred_m1, max(segment) as segment, max(qty) as qty,
         max(case when c.split='train' then target end) as target
         from campaign c join preds p on p.id=c.id group by c.id, c.split""",
+    "meta_features_bucketed": f"""with {C} select id, split, segment, qty, qty/500 as pred_m3, price/500000 as pred_m1,
+        case when split='train' then target end as target from campaign""",
     "meta_features_scaled": f"""with {C}, w as (select id, split, price/500000 as pred_m1, (balance+1000)/11000 as pred_m2 from campaign)
         select id, split, """
     + ", ".join(

@@ -9,7 +9,7 @@ from catalog import fixtures as fx
 from rowloom.functions import scalars
 from rowloom.operators import columns, joins, sets
 from rowloom.session import fresh_path
-from rowloom.sources import stores, tables
+from rowloom.sources import bucketed, stores, tables
 
 RENAME = {"id": "row_id", "returned": "default", "no_such_column": "x"}
 
@@ -168,6 +168,16 @@ def hconcat_join(spark, sf):
     )
 
 
+def hconcat_bucketed(spark, sf):
+    """The same blocks from tables bucketed by id."""
+    df = fx.campaign(spark, sf)
+    store = bucketed.BucketedStore(spark, fresh_path(spark, "bucketed"), buckets=8)
+    blocks = {"numbers": ["price", "balance"], "texts": ["segment", "status"], "counts": ["qty"]}
+    for name, columns in blocks.items():
+        store.save(df.select("id", *columns), name)
+    return store.side_by_side(*blocks)
+
+
 def attach_label(spark, sf):
     df = fx.campaign(spark, sf)
     return joins.attach_label(df.select("id", "price"), df.where("split = 'train'"))
@@ -209,7 +219,7 @@ QUERIES = {
         scalar_functions, src_csv, src_csv_inferred, src_parquet, sink_parquet, pred_store, submission, trial_store,
         proj_rename, proj_drop_pattern, proj_by_dtype, label_map, indicator_flags, cast_all,
         weight_default, class1_prob, placeholder_column, prefix_limit, union_by_name, union_strict,
-        split_restore, hconcat_join, attach_label, lookup_join,
+        split_restore, hconcat_join, hconcat_bucketed, attach_label, lookup_join,
     )
 }
 
@@ -254,6 +264,7 @@ SQL = {
     "split_restore": f"""with {C} select id, price, case when split='train' then target end as target,
         case when split='train' then 'a' else 'b' end as part from campaign""",
     "hconcat_join": f"with {C} select id, price, balance, segment, status, qty from campaign",
+    "hconcat_bucketed": f"with {C} select id, price, balance, segment, status, qty from campaign",
     "attach_label": f"""with {C} select id, price, case when split='train' then target end as target
         from campaign""",
     "scalar_functions": f"""with {fx.CAMPAIGN_NULL} select n.id, round(sqrt(price),6) as root,
