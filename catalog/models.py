@@ -16,7 +16,7 @@ from rowloom.layout import Layout
 from rowloom.operators import categories as cat
 from rowloom.operators import folds
 from rowloom.operators import numeric as num
-from rowloom.plans import cv, ensemble, models, search
+from rowloom.plans import cv, ensemble, importance, models, search
 from rowloom.session import fresh_path, settle
 from rowloom.sources import bucketed, stores
 
@@ -221,7 +221,7 @@ def permutation_importance(spark, sf):
     stats = cv.fold_stats(p, PLANTED)[0]
     train = p.data.where("split = 'train'")
     fit = learner.estimator(QUICK["gbt"], stats, 42).setLabelCol("target_planted").fit(train.where("fold <> 0"))
-    drops = cv.permutation_importance(fit, p, learner, train.where("fold = 0"), PLANTED)
+    drops = importance.permutation_importance(fit, p, learner, train.where("fold = 0"), PLANTED)
     p.release()
     return _told_by(drops, "drop")
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from rowloom.functions import metrics
 from rowloom.layout import DEFAULT, TEST, TRAIN, Layout
 from rowloom.operators.columns import col, q
-from rowloom.operators.ordering import shuffled_rank
 from rowloom.plans import epochs, staged
 from rowloom.plans.models import LEARNERS, Learner, Prepared, TrainStats, prepare
 from rowloom.session import shared_dir
@@ -306,43 +305,3 @@ def gain_importance(model, names: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )
-
-
-def permutation_importance(
-    model, prepared: Prepared, learner: Learner, rows: DataFrame, layout: Layout = DEFAULT,
-    seed: int = 42, classes: int = 2,
-) -> DataFrame:
-    """How much the metric falls when one feature is shuffled, for every feature.
-
-    Each row meets one other row, the same for all features, by joining two random
-    orders on their ranks. All features are then scored in one pass.
-    """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    base = rows.select(layout.id, layout.label, "features")
-    here = shuffled_rank(base, layout.id, seed, out="_rank")
-    there = shuffled_rank(base.select(layout.id, "features"), layout.id, seed + 1, out="_rank")
-    there = there.select("_rank", vector_to_array("features").alias("_other"))
-    paired = here.join(there, "_rank").withColumn("_own", vector_to_array("features"))
-    n = len(prepared.names)
-    # feature -1 is the untouched row
-    wide = paired.select(
-        layout.id, layout.label, "_own", "_other",
-        F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("_feature"),
-    )
-    swapped = F.transform(
-        "_own", lambda x, i: F.when(i == F.col("_feature"), F.get("_other", i)).otherwise(x)
-    )
-    scored = model.transform(
-        wide.select(layout.label, "_feature", array_to_vector(swapped).alias("features"))
-    ).select("_feature", layout.label, learner.score_column(model, classes).alias("pred"))
-    values = scores_by(scored, learner, classes, layout.label, ["_feature"])
-    # as many numbers as features, and one more
-    found = {r["_feature"]: r["value"] for r in values.collect()}
-    sign = 1 if metrics.HIGHER_IS_BETTER[learner.metric] else -1
-    drops = [
-        (name, (found[-1] - found[i]) * sign)
-        for i, name in enumerate(prepared.names)
-        if found.get(-1) is not None and found.get(i) is not None
-    ]
-    return rows.sparkSession.createDataFrame(drops, "feature string, drop double")
