@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
 from rowloom.operators import categories, profile, quantiles
+from rowloom.session import fresh_path
+from rowloom.sources import sketches
 
 SHARES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 NUMERIC = ["balance", "n_items", "price", "qty", "ship_gap"]
@@ -26,6 +28,39 @@ def nunique_all(spark, sf):
     return categories.distinct_counts(df, ["segment", "balance", "status", "split"])
 
 
+#: sketches of this size, so that ids go beyond what is counted exactly
+SKETCHED, SKETCH_K = ["segment", "balance", "id", "status", "split"], 12
+
+
+def _sketch_store(spark, sf, rows):
+    """Sketches of a table that came in a slice for each split."""
+    store = sketches.SketchStore(spark, fresh_path(spark, "sketches"), SKETCH_K)
+    store.add(rows, SKETCHED, by="split")
+    return store
+
+
+def nunique_sketch(spark, sf):
+    """Distinct counts from sketches stored per slice: rows and NULLs are exact, counts are held against exact ones,
+    and the sketch of all rows at once must say the same."""
+    rows = fx.campaign_null(spark, sf)
+    found = _sketch_store(spark, sf, rows).estimates()
+    whole = sketches.estimates(sketches.column_sketches(rows, SKETCHED, SKETCH_K), SKETCH_K).select("col", F.col("n_distinct").alias("at_once"))
+    both = found.join(whole, "col").join(categories.distinct_counts(rows, SKETCHED).withColumnRenamed("n_distinct", "true_count"), "col")
+    return both.select(
+        "col", "rows", "nulls", (F.col("n_distinct") == F.col("at_once")).alias("same_merged"),
+        F.col("true_count").between(F.col("low"), F.col("high")).alias("within_bounds"),
+        F.when(F.col("exact"), F.col("n_distinct")).alias("n_distinct"), "exact",
+    )
+
+
+def level_overlap_sketch(spark, sf):
+    """Levels of test rows that train rows have, and those they have not, from the slices' sketches."""
+    rows = fx.campaign_null(spark, sf).select("*", F.concat_ws("-", "segment", "status").alias("both"))
+    store = sketches.SketchStore(spark, fresh_path(spark, "sketches"), log_k=20)
+    store.add(rows, ["segment", "status", "both", "balance"], by="split")
+    return store.overlap(["train"], ["test"])
+
+
 def category_freq(spark, sf):
     return profile.category_frequency(fx.campaign_null(spark, sf), ["segment", "status"])
 
@@ -119,7 +154,7 @@ def oof_corr(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        group_mean, nunique_all, category_freq, category_freq_docs, missing_info, num_summary,
+        group_mean, nunique_all, nunique_sketch, level_overlap_sketch, category_freq, category_freq_docs, missing_info, num_summary,
         num_summary_bracketed, histogram, kde_by_category, box_stats, box_stats_bracketed,
         corr_matrix, corr_matrix_gaps, corr_matrix_wide, oof_corr,
     )
@@ -189,6 +224,23 @@ SQL = {
         f"select '{c}' as col, cast(count(distinct {c}) as bigint) as n_distinct from campaign_null"
         for c in ("segment", "balance", "status", "split")
     ),
+    "nunique_sketch": f"with {N}, e as ("
+    + " union all ".join(
+        f"select '{c}' as col, cast(count(*) as bigint) as rows, cast(count(*)-count({c}) as bigint) as nulls, "
+        f"cast(count(distinct {c}) as bigint) as n from campaign_null"
+        for c in SKETCHED
+    )
+    + ") select col, rows, nulls, true as same_merged, true as within_bounds, "
+    + f"case when n < {2**SKETCH_K} then n end as n_distinct, n < {2**SKETCH_K} as exact from e",
+    "level_overlap_sketch": f"with {N}, r as (select *, concat_ws('-', segment, status) as \"both\" from campaign_null) "
+    + " union all ".join(
+        f"""select '{c}' as col, cast(a as bigint) as left_levels, cast(b as bigint) as right_levels,
+        cast(s as bigint) as shared, cast(b-s as bigint) as unseen from (select
+          count(distinct case when tr then l end) a, count(distinct case when te then l end) b,
+          count(distinct case when tr and te then l end) s
+        from (select "{c}" l, bool_or(split='train') tr, bool_or(split='test') te from r where "{c}" is not null group by 1))"""
+        for c in ("segment", "status", "both", "balance")
+    ),
     "category_freq": _freq(N, "campaign_null", ["segment", "status"]),
     "category_freq_docs": _freq(fx.DOCS_LABELED, "docs_labeled", ["lang", "source"]),
     "missing_info": f"""with {N}, m as (select count(*) n, count(*)-count(segment) a, count(*)-count(balance) b
