@@ -1,20 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries of raw content are put together; neither is trained by zstandard. One holds words that a
-likelihood test finds toxic in labelled texts, the other blanks in their place. Overlapping windows of a text
-are compressed with either; the bytes that the toxic dictionary saves are the distance. Ordinary text compresses
-alike with both, so only toxic strings tell. Words are weighed by the contexts they occur in, so copies of a text count once. A threshold on the saved bytes
-and a logistic curve over a text's windows are calibrated on labelled texts that the dictionaries have not seen.
+Two zstandard dictionaries are trained, one on samples of toxic texts and one on samples of ordinary texts. Samples of
+toxic texts keep the words that a likelihood test finds to tell the classes apart: most of a toxic text is ordinary, and a
+dictionary trained on whole windows learns that part. Overlapping windows of a text are compressed with the ordinary
+dictionary alone and with the toxic one in front of it; the bytes saved are the distance, so what both know tells nothing.
+Words are counted by texts and by the words before them, whichever are fewer, so neither a long text nor copies of one
+weigh more. A threshold on the saved bytes and a logistic curve over a text's windows are calibrated on labelled texts that
+the dictionaries have not seen.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm import words
@@ -22,15 +25,20 @@ from rowloom.llm.common import bounded_sample, logistic, text_batches
 from rowloom.session import settle
 
 WINDOW, OVERLAP = 80, 14
-#: bytes of toxic words in the one dictionary (blank in the other), and of the ordinary words in both
-OWN_BYTES, SHARED_BYTES = 6_000, 24_000
+#: bytes of the ordinary dictionary; the toxic one has ``OWN_SHARE`` bytes for each byte of the words that tell, and no limit
+SHARED_BYTES, OWN_SHARE, LEAST_OWN = 24_000, 4, 384
+#: lengths of the strings that training counts, and of the pieces that it puts into a dictionary
+STRING, OWN_PIECE, SHARED_PIECE = 8, 16, 32
 PRIMER, PAD = 32, 10
 #: labelled rows per class that the dictionaries and the calibration may see
 MAX_ROWS = 20_000
-MAX_WORDS = 6_000
-#: log-likelihood by which a word must tell toxic texts, so that chance words stay out
-LEAST_GAIN, LEAST_RATIO = 30.0, 2.0
-FEATURES = 4
+#: one labelled text in so many calibrates, the others train
+PARTS = 4
+#: samples that a dictionary is trained on, those with the smallest hash, and words in one
+MAX_SAMPLES, SAMPLE_WORDS = 60_000, 8
+#: words that chance may add to those that tell, over all words tested; log of how much likelier such a word is in toxic texts
+CHANCE, LEAST_RATIO = 0.01, 2.0
+FEATURES = 5
 
 
 @dataclass
@@ -78,7 +86,8 @@ class CompressionModel:
         return (lengths[0] - lengths[1]).astype(float)
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """Per text: most saved in a window, windows from the threshold (log, and share), bytes saved in them (log)."""
+        """Per text: most saved in a window, windows from the threshold (log, and share), bytes saved in them (log), all
+        windows of a text in which one saves (log): the more there are, the likelier that is chance."""
         out = np.zeros((len(column), FEATURES))
         for first, last, data, offsets in words.slices(column, 1 << 20):
             row, starts, sizes = windows(offsets)
@@ -89,9 +98,8 @@ class CompressionModel:
             over = gain >= max(self.threshold, 1.0)
             count = np.bincount(row[over], minlength=n)
             total = np.bincount(row[over], gain[over], minlength=n)
-            out[first:last] = np.column_stack(
-                [top, np.log1p(count), count / np.maximum(np.bincount(row, minlength=n), 1), np.log1p(total)]
-            )
+            held = np.bincount(row, minlength=n)
+            out[first:last] = np.column_stack([top, np.log1p(count), count / np.maximum(held, 1), np.log1p(total), np.log1p(held) * (top > 0)])
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -109,26 +117,44 @@ def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, starts, np.minimum(WINDOW, offsets[1:][row] - starts)
 
 
-def _content(listed: list[str], size: int) -> bytes:
-    """The listed words, best last, cut or padded to ``size`` bytes."""
-    out = (" " + " ".join(reversed(listed)) + " ").encode()
-    return out[-size:].rjust(size, b" ")
+def trained(samples: list[str], size: int, piece: int) -> bytes:
+    """A dictionary of at most ``size`` bytes that zstandard trains; of samples too few to train on, their own bytes."""
+    data = [f" {s} ".encode() for s in samples]
+    try:
+        return zstandard.train_dictionary(size, data, k=piece, d=STRING).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(data)[-size:]
+
+
+def _samples(rows: DataFrame) -> list[str]:
+    """At most ``MAX_SAMPLES`` samples of a few words from (_id, place, word), those with the smallest hash."""
+    at = F.row_number().over(Window.partitionBy("_id").orderBy("place")) - 1
+    parts = rows.withColumn("_part", F.floor(at / SAMPLE_WORDS)).groupBy("_id", "_part").agg(
+        F.sort_array(F.collect_list(F.struct("place", "word"))).alias("_words")
+    )
+    joined = parts.select(F.concat_ws(" ", "_words.word").alias("sample"))
+    return [r.sample for r in joined.orderBy(F.xxhash64("sample"), "sample").limit(MAX_SAMPLES).collect()]
 
 
 def dictionaries(seen: DataFrame) -> CompressionModel:
-    """Dictionaries from (text, _y): words by how much likelier they are in one class, counted by distinct
-    pairs with the word before."""
+    """Both dictionaries from (_id, text, _y)."""
     listed = F.split(F.concat(F.lit(" "), F.lower("text")), r"[^\p{L}]+")
     pairs = F.arrays_zip(listed.alias("before"), F.slice(listed, 2, F.greatest(F.size(listed) - 1, F.lit(0))).alias("word"))
-    each = seen.select("_y", F.explode(pairs).alias("x")).select("_y", "x.*").where("length(word) >= 3").distinct()
-    counted = each.groupBy("word").agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("o"))
-    classes = each.agg(F.coalesce(F.sum("_y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("_y")), F.lit(0))).first()
-    ratio = F.log((F.col("t") + 0.5) / (F.lit(float(classes[0])) + 1)) - F.log((F.col("o") + 0.5) / (F.lit(float(classes[1])) + 1))
-    told = counted.withColumn("gain", F.col("t") * ratio).where((ratio > LEAST_RATIO) & (F.col("gain") > LEAST_GAIN))
-    toxic = [r.word for r in told.orderBy(F.desc("gain"), "word").limit(MAX_WORDS).collect()]
-    ordinary = [r.word for r in counted.where(ratio < LEAST_RATIO).orderBy(F.desc("o"), "word").limit(MAX_WORDS).collect()]
-    shared = _content(ordinary, SHARED_BYTES)
-    return CompressionModel(_content(toxic, OWN_BYTES) + shared, b" " * OWN_BYTES + shared)
+    each = seen.select("_id", "_y", F.posexplode(pairs).alias("place", "x")).select("_id", "_y", "place", "x.*").where("length(word) >= 3")
+    each = settle(each, "toxicity-words")
+    texts = {r._y: r["count"] for r in seen.groupBy("_y").count().collect()}
+    spread = each.groupBy("word", "_y").agg(F.count_distinct("_id").alias("texts"), F.count_distinct("before").alias("contexts"))
+    by_class = {k: F.coalesce(F.max(F.when(F.col("_y") == k, F.least("texts", "contexts"))), F.lit(0)) for k in (0, 1)}
+    counted = spread.groupBy("word").agg(by_class[1].alias("t"), by_class[0].alias("o"))
+    ratio = F.log((F.col("t") + 0.5) / (texts.get(1, 0) + 1.0)) - F.log((F.col("o") + 0.5) / (texts.get(0, 0) + 1.0))
+    counted = settle(counted, "toxicity-counts")
+    # a log-likelihood of x is passed by chance with probability e^-x
+    least = math.log(max(counted.count(), 1) / CHANCE)
+    told = settle(counted.where((ratio > LEAST_RATIO) & (F.col("t") * ratio > least)).select("word"), "toxicity-told")
+    own = told.agg(F.coalesce(F.sum(F.octet_length("word") + 1), F.lit(0))).first()[0]
+    toxic = trained(_samples(each.where("_y = 1").join(told, "word")), OWN_SHARE * own + LEAST_OWN, OWN_PIECE)
+    ordinary = trained(_samples(each.where("_y = 0")), SHARED_BYTES, SHARED_PIECE).rjust(PRIMER)
+    return CompressionModel(toxic + ordinary, b" " * len(toxic) + ordinary)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, *, ridge: float = 0.05, steps: int = 50) -> tuple[float, ...]:
@@ -151,7 +177,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, *,
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_column: str = "doc_id", max_rows: int = MAX_ROWS) -> CompressionModel:
     """Fit on at most ``max_rows`` labelled rows of each class, those with the smallest hash of the id.
 
-    One half picks the dictionaries' words, the other calibrates, its rows weighted by the counts of the classes over all
+    All but one in ``PARTS`` train the dictionaries, the others calibrate, its rows weighted by the counts of the classes over all
     labels, so that the score's prior does not depend on ``max_rows``. Null labels and ids without a text are left out; without
     labels the score is one half everywhere.
     """
@@ -162,9 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_column:
     counts = {r._y: r["count"] for r in known.groupBy("_y").count().collect()}
     sample = bounded_sample(known.where("_y = 1"), F.col("_id"), max_rows).unionByName(bounded_sample(known.where("_y = 0"), F.col("_id"), max_rows))
     seen = settle(
-        docs.select(F.col(id_column).alias("_id"), "text").join(F.broadcast(sample), "_id").withColumn("_half", F.expr("pmod(xxhash64(3, _id), 2)")), "toxicity"
+        docs.select(F.col(id_column).alias("_id"), "text").join(F.broadcast(sample), "_id").withColumn("_part", F.expr(f"pmod(xxhash64(3, _id), {PARTS})")), "toxicity"
     )
-    model = dictionaries(seen.where("_half = 0"))
+    model = dictionaries(seen.where("_part > 0"))
 
     def measured(current: CompressionModel) -> tuple[np.ndarray, np.ndarray]:
         @F.arrow_udf("array<double>")
@@ -172,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_column:
             values = current.features(column)
             return pa.ListArray.from_arrays(np.arange(0, values.size + 1, FEATURES, dtype=np.int32), values.ravel())
 
-        rows = seen.where("_half = 1").select("_id", F.col("_y").cast("double"), x(F.col("text")).alias("_x")).toArrow()
+        rows = seen.where("_part = 0").select("_id", F.col("_y").cast("double"), x(F.col("text")).alias("_x")).toArrow()
         if not rows.num_rows:
             return np.zeros((0, FEATURES)), np.zeros(0)
         return np.stack(rows.column("_x").combine_chunks().to_numpy(zero_copy_only=False)), rows.column("_y").to_numpy()

@@ -53,6 +53,56 @@ def test_scores_of_odd_rows(spark):
         assert {r.score for r in module.score(docs, blank).collect()} == {0.5}
 
 
+def test_toxicity_against_one_window_at_a_time():
+    import zstandard
+
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdeé ") for _ in range(60)) for _ in range(300)]
+    own = toxicity.trained([" ".join(rng.choice(["vequor", "lostran", "grumpf"]) for _ in range(8)) for _ in range(200)], 400, 16)
+    shared = toxicity.trained(plain, 2_000, 32)
+    model = toxicity.CompressionModel(own + shared, b" " * len(own) + shared, 3.0)
+    texts = ["", "x", "abc vequor lostran", "É" * 100, "dé a" * 100 + " grumpf vequor " + "b" * 300, "Vequor " * 50]
+    params = model._compressors() and zstandard.ZstdCompressionParameters(
+        window_log=17, chain_log=16, hash_log=16, search_log=6, min_match=5, target_length=16,
+        strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    held = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (model.ordinary, model.toxic)]
+    tools = [zstandard.ZstdCompressor(compression_params=params, dict_data=d) for d in held]
+    want = []
+    for text in texts:
+        data = "".join(c.lower() if c.isascii() else c for c in text).encode()
+        gains, start = [], 0
+        while data:
+            part = shared[-toxicity.PRIMER:] + data[start : start + toxicity.WINDOW] + b" " * toxicity.PAD
+            gains.append(len(tools[0].compress(part)) - len(tools[1].compress(part)))
+            if start + toxicity.WINDOW >= len(data):
+                break
+            start += toxicity.WINDOW - toxicity.OVERLAP
+        over = [g for g in gains if g >= 3]
+        want.append([max([0, *gains]), np.log1p(len(over)), len(over) / max(len(gains), 1), np.log1p(sum(over)), np.log1p(len(gains)) * (max([0, *gains]) > 0)])
+    got = model.features(pa.array(texts))
+    assert np.allclose(got, want) and got[2, 0] > 3 and got[5, 0] > 3 and not got[0].any()
+
+
+def test_toxic_dictionary_is_trained_on_what_tells(spark):
+    rng = random.Random(6)
+    plain = ["sun", "rain", "wind", "snow", "cloud", "storm", "frost", "light"]
+    rows = []
+    for i in range(400):
+        words = [rng.choice(plain) for _ in range(40)]
+        if i % 4 == 0:
+            for bad in ("grumpfig", "veqoulant"):
+                words.insert(rng.randrange(len(words)), bad)
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    # copies and one long text don't make a word tell
+    rows += [(1000 + i, "sun copied rain", 1) for i in range(50)] + [(2000, "oncelong snow " * 500, 1)]
+    model = toxicity.dictionaries(spark.createDataFrame(rows, "_id long, text string, _y int"))
+    assert b"grumpfig" in model.toxic and b"veqoulant" in model.toxic
+    own = model.toxic[: -len(model.ordinary.lstrip(b" "))]
+    assert b"copied" not in own and b"oncelong" not in own
+    assert b"grumpfig" not in model.ordinary and len(model.toxic) == len(model.ordinary)
+
+
 @pytest.mark.parametrize("max_rows", [1_000, 100, 40])
 def test_toxicity_keeps_the_class_ratio_of_all_labels(spark, max_rows):
     rng = random.Random(2)
