@@ -209,9 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_column:
         model.threshold = float(np.quantile(values[y == 0, 0], 0.99)) + 1
         values, y = measured(model)
     if len(y):
-        # each sampled row stands for so many labelled ones; the mean over the sample is 1
+        # each calibrating row stands for so many labelled ones of its class; the mean over these rows is 1
         held = np.array([counts.get(k, 0) for k in (0, 1)], float)
-        taken = np.minimum(held, max_rows)
+        taken = np.bincount(y.astype(int), minlength=2)
+        held[taken == 0] = 0
         each = held / np.maximum(taken, 1) * taken.sum() / held.sum()
         model.weights = calibrate(values, y, each[y.astype(int)])
     return model
