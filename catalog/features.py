@@ -120,13 +120,13 @@ def target_encode_docs(spark, sf):
 
 
 def quantile_bin(spark, sf):
-    df = fx.campaign(spark, sf).select("id", *SENTINELS, "price")
+    df = settle(fx.campaign(spark, sf).select("id", *SENTINELS, "price"), "campaign")
     return num.QuantileBins.fit(df, [*SENTINELS, "price"], sentinels=SENTINELS).transform(df)
 
 
 def quantile_bin_bracketed(spark, sf):
     """The same with bin edges found by the way large columns take."""
-    df = fx.campaign(spark, sf).select("id", *SENTINELS, "price")
+    df = settle(fx.campaign(spark, sf).select("id", *SENTINELS, "price"), "campaign")
     bins = num.QuantileBins.fit(df, [*SENTINELS, "price"], sentinels=SENTINELS, small_rows=1)
     return bins.transform(df)
 
@@ -177,7 +177,7 @@ def yeo_johnson_apply(spark, sf):
 
 
 def winsorize(spark, sf):
-    df = fx.campaign(spark, sf).select("id", "price", "balance", "qty")
+    df = settle(fx.campaign(spark, sf).select("id", "price", "balance", "qty"), "campaign")
     one = num.Winsorizer.fit(df, ["price", "balance", "qty"], 0.01).transform(df)
     five = num.Winsorizer.fit(df, ["price", "balance", "qty"], 0.05).transform(df)
     five = five.select("id", *[F.col(c).alias(f"{c}_5") for c in ("price", "balance", "qty")])
@@ -187,7 +187,7 @@ def winsorize(spark, sf):
 
 def residual_bins(spark, sf):
     """Classes of the gap between a label and a base prediction."""
-    df = fx.campaign(spark, sf).select("id", (F.col("price") / 500000 - (F.col("balance") + 1000) / 11000).alias("gap"))
+    df = settle(fx.campaign(spark, sf).select("id", (F.col("price") / 500000 - (F.col("balance") + 1000) / 11000).alias("gap")), "campaign")
     return num.QuantileBins.fit(df, ["gap"], bins=10).transform(df, as_text=False)
 
 

@@ -14,6 +14,7 @@ from rowloom.operators.categories import level_counts
 from rowloom.operators.columns import categorical_columns, col, numeric_columns
 from rowloom.operators.joins import lookup
 from rowloom.operators.quantiles import SMALL_ROWS, column_quantiles, group_quantiles
+from rowloom.session import settle
 
 SUMMARY_SHARES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
@@ -74,6 +75,8 @@ def numeric_summary(
 ) -> DataFrame:
     """Count, mean, sample deviation, extremes and quantiles per numeric column."""
     cols = list(cols) if cols is not None else sorted(numeric_columns(df, layout))
+    # quantiles and the other statistics read the same numbers
+    df = settle(df.select(*[col(c) for c in cols]), "numbers")
     found = column_quantiles(df, {c: SUMMARY_SHARES for c in cols}, small_rows=small_rows)
     aggs, cells = [], []
     for i, c in enumerate(cols):

@@ -120,6 +120,27 @@ def test_quantiles_with_a_sketch_that_is_far_off(spark, small_rows, accuracy):
     assert np.allclose(found["a"], np.quantile(parts["skewed"], 0.3)) and np.allclose(found["b"], np.quantile(np.resize(parts["tied"], 500), [0.5, 0.99]))
 
 
+@pytest.mark.parametrize("small_rows", [10**6, 50])
+def test_quantiles_compute_their_input_once(spark, small_rows):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(3000).selectExpr("cast(id * 7 % 1000 as double) as x", "cast(id as double) as y").mapInArrow(counted, "x double, y double")
+    shares = [0.0, 0.1, 0.333, 0.5, 1.0]
+    found = quantiles.column_quantiles(df, {"x": shares, "y": shares}, small_rows=small_rows, accuracy=20)
+    assert np.allclose(found["x"], np.quantile(np.arange(3000) * 7 % 1000, shares)) and np.allclose(found["y"], np.quantile(np.arange(3000), shares))
+    assert read.value == 3000
+
+
+def test_quantiles_of_an_empty_column_beside_a_large_one(spark):
+    df = spark.range(500).selectExpr("cast(id as double) as x", "cast(null as double) as y", "cast('nan' as double) as z")
+    assert quantiles.column_quantiles(df, {"x": [0.5], "y": [0.5], "z": [0.5]}, small_rows=10, accuracy=10) == {"x": [249.5], "y": None, "z": None}
+
+
 def test_quantiles_of_an_empty_column(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert quantiles.column_quantiles(df, {"x": [0.5]}) == {"x": None}
