@@ -78,7 +78,8 @@ def preprocess(
         return out
     flags = {c: positive_flag(c) for c in roles.positive_flags}
     flags |= {c: differs_flag(c, v) for c, v in roles.sentinel_flags.items()}
-    out = num.replace_columns(out, flags)
+    # limits, exponents and scales are each learnt from passes over the rows, which are read from one written table
+    out = settle(num.replace_columns(out, flags), "prepared")
     power = list(roles.power)
     if tail is not None:
         out = num.Winsorizer.fit(out, power, tail, scope, layout).transform(out)
@@ -97,6 +98,11 @@ class _Builder:
             if c in df.columns
         ]
 
+    def stored(self) -> _Builder:
+        """Self with its table written: every encoder is fitted and applied by passes of its own."""
+        self.df = settle(self.df, "table")
+        return self
+
     def with_folds(self) -> DataFrame:
         if self.layout.fold not in self.df.columns:
             # written once: fitting and applying the encoders both read the fold
@@ -203,7 +209,7 @@ def features(
     Encoders learn from train and test rows together, or with ``scope="train"``
     from train rows only. Label means always come from train rows.
     """
-    return FEATURES[recipe](_Builder(df, roles, layout, scope, k, seed))
+    return FEATURES[recipe](_Builder(df, roles, layout, scope, k, seed).stored())
 
 
 # feature-set version -> (preprocessing version, feature recipe)
