@@ -148,7 +148,8 @@ def cross_categorical(spark, sf):
 
 def cross_target_encode(spark, sf):
     """All pairs of all nine columns."""
-    out = CrossMeans.fit(settle(folds.stratified_folds(fx.campaign(spark, sf)), "folds"), fx.CAMPAIGN_FEATURES).transform()
+    df = settle(fx.campaign(spark, sf), "campaign")
+    out = CrossMeans.fit(settle(folds.stratified_folds(df), "folds"), fx.CAMPAIGN_FEATURES).transform()
     return rounded(out, [c for c in out.columns if c != "id"])
 
 

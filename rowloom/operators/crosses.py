@@ -195,9 +195,10 @@ class CrossMeans:
         means = means.select("pair", "a", "b", "rows", F.concat("te", F.array(tested)).alias("te"))
         found = lookup(long, means, ["pair", "a", "b"], ["te"], "rows", F.struct(col(layout.id), F.col("pair")), small=False)
         slot = F.when(col(layout.split) == TRAIN, col(layout.fold)).otherwise(self.k)
-        value = F.get("te", slot.cast("int"))
-        picks = [F.max(F.when(F.col("pair") == p, value)).alias(f"_v{p}") for p in pairs]
-        values = found.groupBy(col(layout.id)).agg(*picks)
+        # a mean that is missing is one that is not found, so only found ones move: one narrow row each, pivoted where they arrive
+        means = found.select(col(layout.id), "pair", F.get("te", slot.cast("int")).alias("_v")).where("_v is not null").repartition(col(layout.id))
+        picks = [F.max(F.when(F.col("pair") == p, F.col("_v"))).alias(f"_v{p}") for p in pairs]
+        values = means.groupBy(col(layout.id)).agg(*picks)
         base = self.coded.select(col(layout.id), (col(layout.split) == TRAIN).alias("_train"))
         out = base.join(values, layout.id, "left")
         return out.select(

@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from rowloom.operators import folds
+from rowloom.operators.crosses import CrossMeans
 from rowloom.plans import recipes
 
 ROWS = 400
@@ -45,3 +47,18 @@ def test_recipes_compute_their_table_once(spark, raw, recipe):
     out = recipes.features(df, recipe)
     out.write.format("noop").mode("overwrite").save()
     assert read.value == ROWS
+
+
+def test_looked_up_crosses_move_found_means_only(spark, raw):
+    """The means go to their rows one by one, not as one column per pair before the shuffle."""
+    tagged = raw.withColumnRenamed("y", "target").selectExpr("*", "case when id % 4 > 0 then 'train' else 'test' end as split")
+    cols = ["balance", "campaign", "job"]
+    fit = CrossMeans.fit(folds.stratified_folds(tagged), cols)
+    out = fit.transform(bytes_=0)
+    assert "REPARTITION_BY_COL" in out._jdf.queryExecution().executedPlan().toString()
+    wide = {r["id"]: r for r in out.collect()}
+    held = {r["id"]: r for r in fit.transform().collect()}
+    assert set(wide) == set(held)
+    for i, r in held.items():
+        for x, y in zip(r, wide[i]):
+            assert x is None and y is None or x == pytest.approx(y, rel=1e-12)
