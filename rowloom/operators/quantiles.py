@@ -64,7 +64,7 @@ def column_quantiles(
         found = {r["g"]: r["q"] for r in rows}
     else:
         at = {i: [q * (n - 1) for q in every] for i, n in sizes.items()}
-        values = _at_ranks(wide, {i: sorted({r for x in xs for r in (math.floor(x), math.ceil(x))}) for i, xs in at.items()}, every, small_rows, accuracy)
+        values = _at_ranks(wide, {i: sorted({r for x in xs for r in (math.floor(x), math.ceil(x))}) for i, xs in at.items()}, sizes, every, small_rows, accuracy)
 
         def quantile(i: int, x: float) -> float:
             low, high = values[i, math.floor(x)], values[i, math.ceil(x)]
@@ -89,13 +89,12 @@ class _Bracket:
 
 
 def _at_ranks(
-    wide: DataFrame, ranks: dict[int, list[int]], probs: Sequence[float], small_rows: int, accuracy: int
+    wide: DataFrame, ranks: dict[int, list[int]], sizes: dict[int, int], probs: Sequence[float], small_rows: int, accuracy: int
 ) -> dict[tuple[int, int], float]:
-    """The value at each 0-based rank of each column: (column, rank) -> value."""
+    """The value at each 0-based rank of each column, of so many values: (column, rank) -> value."""
     brackets = [_Bracket(i, None, None, 0, rs) for i, rs in ranks.items()]
-    shares = _around(probs, accuracy, small_rows)
     # the sketches are merged pairwise by Spark and give a few cuts a column
-    row = wide.agg(*[F.percentile_approx(f"v{i}", shares, accuracy).alias(f"e{i}") for i in ranks]).first()
+    row = wide.agg(*[F.percentile_approx(f"v{i}", _around(probs, accuracy, sizes[i]), accuracy).alias(f"e{i}") for i in ranks]).first()
     cuts, rows, found = {i: row[f"e{i}"] for i in ranks}, wide, {}
     while brackets:
         edges = {i: np.unique(np.array(c, dtype="float64")) for i, c in cuts.items()}
@@ -248,7 +247,8 @@ def _quantiles(rows: DataFrame, probs: Sequence[float], small_rows: int, accurac
     ranks = F.array_distinct(F.flatten(F.transform(at, lambda x: F.array(F.floor(x), F.ceil(x)))))
     none = F.lit(None).cast("double")
     state = counts.select("g", F.explode(ranks).alias("rank"), none.alias("low"), none.alias("high"), F.lit(0).cast("long").alias("before"))
-    found, shares = None, _around(probs, accuracy, small_rows)
+    # groups are cut at the same shares: close ones for the largest, and some for those that are just over the bound
+    found, shares = None, sorted({*_around(probs, accuracy, most), *_around(probs, accuracy, small_rows)})
     while True:
         values, state, rows = _round(rows, state, shares, small_rows, accuracy)
         found = values if found is None else found.unionByName(values)
@@ -266,9 +266,9 @@ def _quantiles(rows: DataFrame, probs: Sequence[float], small_rows: int, accurac
     return picked.select("g", "n", F.transform(at, quantile).alias("q"))
 
 
-def _around(probs: Sequence[float], accuracy: int, small_rows: int) -> list[float]:
-    """Shares a little to both sides of the wanted ones: the sketch's error, plus ranks that rounding can move."""
-    slack = 3.0 / accuracy + 2.0 / max(small_rows, 1)
+def _around(probs: Sequence[float], accuracy: int, rows: int) -> list[float]:
+    """Shares a little to both sides of the wanted ones: the sketch's error, plus ranks of ``rows`` that rounding can move."""
+    slack = 3.0 / accuracy + 2.0 / max(rows, 1)
     return sorted({min(max(q + d, 0.0), 1.0) for q in probs for d in (-slack, slack)})
 
 

@@ -136,6 +136,29 @@ def test_quantiles_compute_their_input_once(spark, small_rows):
     assert read.value == 3000
 
 
+@pytest.mark.parametrize("by_group", [False, True])
+def test_brackets_of_one_row_are_small_after_the_first_round(spark, monkeypatch, by_group):
+    written, settle = [], quantiles.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        if name == "inside":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(quantiles, "settle", counted)
+    df = spark.range(20000).selectExpr("cast(id * 7 % 20000 as double) as x", "cast(id % 3 as double) as y", "'a' as g")
+    shares = [0.25, 0.5, 0.9]
+    if by_group:
+        found = {"x": quantiles.group_quantiles(df, "g", "x", shares, small_rows=1).first()["q"]}
+    else:
+        found = quantiles.column_quantiles(df, {"x": shares, "y": shares}, small_rows=1)
+        assert np.allclose(found["y"], np.quantile(np.arange(20000) % 3, shares))
+    assert np.allclose(found["x"], np.quantile(np.arange(20000), shares))
+    # every cut is a few ranks from a wanted one
+    assert written and written[0] < 200
+
+
 def test_quantiles_of_an_empty_column_beside_a_large_one(spark):
     df = spark.range(500).selectExpr("cast(id as double) as x", "cast(null as double) as y", "cast('nan' as double) as z")
     assert quantiles.column_quantiles(df, {"x": [0.5], "y": [0.5], "z": [0.5]}, small_rows=10, accuracy=10) == {"x": [249.5], "y": None, "z": None}
