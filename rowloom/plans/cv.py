@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import metrics
 from rowloom.layout import DEFAULT, TEST, TRAIN, Layout
 from rowloom.operators.columns import col, q
-from rowloom.plans import epochs, staged
+from rowloom.plans import descent, epochs, staged
 from rowloom.plans.models import LEARNERS, Learner, Prepared, TrainStats, prepare
 from rowloom.session import shared_dir
 
@@ -37,7 +37,13 @@ def _train_rows(p: Prepared, layout: Layout) -> DataFrame:
 
 
 def fold_stats(p: Prepared, layout: Layout) -> dict[int | None, TrainStats]:
-    """Train facts per left-out fold, and for no fold left out, from one aggregation."""
+    """Train facts per left-out fold, and for no fold left out, from one aggregation; further calls reuse them."""
+    if p.facts is None:
+        p.facts = _fold_stats(p, layout)
+    return p.facts
+
+
+def _fold_stats(p: Prepared, layout: Layout) -> dict[int | None, TrainStats]:
     rows = (
         _train_rows(p, layout).groupBy(layout.fold)
         .agg(
@@ -84,6 +90,8 @@ def _fit(learner, params, stats, rows, layout, seed):
     estimator = learner.estimator(params, stats, seed).setLabelCol(layout.label)
     if learner.weighted and layout.weight in rows.columns:
         estimator = estimator.setWeightCol(layout.weight)
+    if learner.name == "mlp" and estimator.getSolver() == "gd":
+        return descent.fit(estimator, rows)
     return estimator.fit(rows)
 
 
@@ -218,7 +226,12 @@ def fit_one_fold(
     if learner.boosted and patience is not None:
         best = staged.best_rounds({fold: fit}, valid, learner.metric, patience, layout)[0][fold]
         fit = staged.truncated(fit, best)
-    scored = fit.transform(valid).select(layout.label, learner.score_column(fit, classes).alias("pred"))
+    if learner.name == "mlp":
+        # Spark scores a row at a time, by matrix and vector
+        pred = descent.probabilities(fit)
+        scored = valid.select(layout.label, (F.get(pred, F.lit(1)) if classes == 2 else pred).alias("pred"))
+    else:
+        scored = fit.transform(valid).select(layout.label, learner.score_column(fit, classes).alias("pred"))
     value = scores_by(scored, learner, classes, layout.label).first()
     if prepared is None:
         p.release()

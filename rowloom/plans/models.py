@@ -215,6 +215,7 @@ class Prepared:
     names: list[str]
     most_levels: int
     assembler: VectorAssembler
+    facts: dict[int | None, TrainStats] | None = None  # per left-out fold, once asked for
 
     def release(self) -> None:
         self.data.unpersist()

@@ -220,6 +220,8 @@ def search_model(
     clash = searched & {learner.aliases.get(n, n) for n in fixed or {}}
     if clash:
         raise ValueError(f"fixed parameters are searched: {sorted(clash)}")
+    # the table is computed once; column means and the cached rows of all trials read it
+    df = settle(df, "searched")
     prepared = prepare(df, learner, layout)
 
     def objective(params):
