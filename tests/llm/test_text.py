@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from rowloom.llm import decontaminate, minhash, mixing, repeats, words
+from rowloom.llm import decontaminate, minhash, mixing, q_repeats, repeats, words
 from rowloom.llm.graph import components
 from tests.llm import brute
 
@@ -40,6 +40,35 @@ def test_repeats(spark, length, gram, hot):
     assert got == brute.removed(rows, length)
 
 
+@pytest.mark.parametrize("length,short,gram,hot", [(40, 24, 8, 20_000), (40, 24, 8, 1), (90, 30, 10, 20_000)])
+def test_repeats_with_shorter_passages(spark, length, short, gram, hot):
+    # texts that end inside and right behind a repeated string, rows without an id, a repeated row
+    rows = prose(6) + [(None, prose(6)[3][1]), (None, "é" * 50), prose(6)[9]]
+    rows += [(3000 + i, f"{i} {i} " + prose(6)[65][1][: 20 + 7 * i]) for i in range(14)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = repeats.removed(df, length=length, gram=gram, hot=hot, short=short, least_words=9).collect()
+    assert Counter(tuple(r)[:5] for r in found) == brute.removed(rows, length)
+    want = Counter()
+    for (key, text), flags in zip(rows, brute.long_runs(rows, short, 9)):
+        runs = bytes(flags).split(b"\0")
+        want[key, len((text or "").encode()), sum(map(bool, runs)), sum(flags)] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.n_passages, r.passage_bytes) for r in found) == want
+
+
+def test_op1_counts_passages_below_its_length(spark, tmp_path):
+    # 55 words in 330 bytes stay by the contract's 400 bytes, as do 50 words; both texts that hold the passage say so
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    tail = [" ".join(word() for _ in range(80)) for _ in range(5)]
+    passage, fifty = (" ".join(word() for _ in range(n)) for n in (55, 50))
+    rows = [(1, f"A {passage} {tail[0]}"), (2, f"B {passage} {tail[1]}"), (3, f"C {fifty[2:]} {tail[2]}"), (4, f"D {fifty[2:]} {tail[3]}"), (5, tail[4]), (6, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in q_repeats.op1_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i].n_removed for i in range(1, 7)] == [0] * 6
+    assert [got[i].n_passages for i in range(1, 7)] == [1, 1, 0, 0, 0, 0]
+    assert got[1].passage_bytes == len(passage) + 2
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.removed(spark.createDataFrame([], SCHEMA)).collect() == []
 
