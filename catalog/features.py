@@ -11,7 +11,7 @@ from rowloom.operators import folds
 from rowloom.operators import numeric as num
 from rowloom.operators.columns import q
 from rowloom.operators.crosses import CrossMeans
-from rowloom.session import settle
+from rowloom.session import release, settle
 
 TEXT = ["status", "segment", "nation", "returned"]
 SENTINELS = {"balance": 0, "n_items": 0, "qty": 0, "ship_gap": -1}
@@ -148,8 +148,12 @@ def cross_categorical(spark, sf):
 
 def cross_target_encode(spark, sf):
     """All pairs of all nine columns."""
-    df = settle(fx.campaign(spark, sf), "campaign")
-    out = CrossMeans.fit(settle(folds.stratified_folds(df), "folds"), fx.CAMPAIGN_FEATURES).transform()
+    df = settle(fx.campaign(spark, sf), "campaign", passing=True)
+    tagged = settle(folds.stratified_folds(df), "folds", passing=True)
+    release(df)
+    fitted = CrossMeans.fit(tagged, fx.CAMPAIGN_FEATURES)
+    release(tagged)
+    out = fitted.transform()
     return rounded(out, [c for c in out.columns if c != "id"])
 
 

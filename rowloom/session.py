@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,12 +68,42 @@ def discard(spark: SparkSession) -> None:
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run inside it delete their shuffle files as they end.
+
+    Otherwise the files stay until the driver collects garbage.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def settle(df: DataFrame, name: str, passing: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts the lineage, and later readers survive the loss of any executor.
+    Cuts the lineage, and later readers survive the loss of any executor. With ``passing``, the shuffle files
+    of the write go as it ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with passing_shuffles(spark) if passing else nullcontext():
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``settle`` wrote for ``df``; call it when nothing will read that any more."""
+    context = df.sparkSession.sparkContext
+    _written[context.applicationId].remove(df._settled)
+    place = context._jvm.org.apache.hadoop.fs.Path(df._settled)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
