@@ -48,6 +48,24 @@ def side_by_side(first: DataFrame, *blocks: DataFrame, on: str = "id") -> DataFr
     return out
 
 
+def joined_to_itself(df: DataFrame, keys: DataFrame, right: Sequence[str], on: str) -> DataFrame:
+    """What joining the other columns of ``df`` with its columns ``right`` by ``on`` gives.
+
+    ``keys`` has the keys of ``df``'s rows. A key of one row has that row for a result, so only rows with a
+    repeated key are moved; a row without a key has no result.
+    """
+    left = [c for c in df.columns if c != on and c not in right]
+    many = keys.where(col(on).isNotNull()).groupBy(col(on)).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    many = settle(many.select(col(on)), "repeated", passing=True)
+    out = df.where(col(on).isNotNull())
+    if not many.isEmpty():
+        # rows are computed once more for it
+        again = settle(out.join(many, on, "left_semi"), "repeated", passing=True)
+        pairs = again.select(col(on), *[col(c) for c in left]).join(again.select(col(on), *[col(c) for c in right]), on)
+        out = out.join(many, on, "left_anti").unionByName(pairs)
+    return out.select(col(on), *[col(c) for c in left], *[col(c) for c in right])
+
+
 def attach_label(features: DataFrame, source: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
     """Bring the label of ``source`` to the feature rows with the same id."""
     return features.drop(layout.label).join(

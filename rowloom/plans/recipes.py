@@ -23,8 +23,9 @@ from rowloom.operators.columns import (
 )
 from rowloom.operators.crosses import CrossMeans
 from rowloom.operators.folds import stratified_folds
+from rowloom.operators.joins import joined_to_itself
 from rowloom.operators.sets import tag_union, union_lenient
-from rowloom.session import settle
+from rowloom.session import release, settle
 from rowloom.sources.tables import write_features
 
 
@@ -100,14 +101,15 @@ class _Builder:
 
     def stored(self) -> _Builder:
         """Self with its table written: every encoder is fitted and applied by passes of its own."""
-        self.df = settle(self.df, "table")
+        self.df = settle(self.df, "table", passing=True)
         return self
 
     def with_folds(self) -> DataFrame:
         if self.layout.fold not in self.df.columns:
             # written once: fitting and applying the encoders both read the fold
-            folded = stratified_folds(self.df, self.k, self.seed, self.layout)
-            self.df = settle(folded, "folds")
+            folded = settle(stratified_folds(self.df, self.k, self.seed, self.layout), "folds", passing=True)
+            release(self.df)
+            self.df = folded
             self.carried.append(self.layout.fold)
         return self.df
 
@@ -181,9 +183,18 @@ def _cross_means(b: _Builder) -> DataFrame:
     df = b.with_folds()
     order = [c for c in df.columns if c in b.text or c in b.numbers]
     names = [n for *_, n in cat.cross_columns(order)]
-    crossed = CrossMeans.fit(df, order, b.k, b.layout).transform(b.layout)
-    out = b.encode(df, b.text).join(crossed, b.layout.id)
-    out = b.take(out, b.numbers + [f"{c}_te" for c in b.text + names])
+    means = [f"{n}_te" for n in names]
+    encoder = cat.TargetEncoder.fit(df, b.text, b.k, b.layout) if b.text else None
+    if encoder is None or encoder.small:
+        # columns of a row stay beside its crosses, so the widest table is not joined
+        encoded = encoder.transform(df, b.layout) if encoder else df
+        fitted = CrossMeans.fit(encoded, order, b.k, b.layout, b.carried + b.numbers + [f"{c}_te" for c in b.text])
+        release(df)
+        out = joined_to_itself(fitted.transform(b.layout), fitted.coded.select(b.layout.id), means, b.layout.id)
+    else:
+        crossed = CrossMeans.fit(df, order, b.k, b.layout).transform(b.layout)
+        out = encoder.transform(df, b.layout).join(crossed, b.layout.id)
+    out = b.take(out, b.numbers + [f"{c}_te" for c in b.text] + means)
     # columns made from the label are never built; ones the caller brought are dropped
     return drop_matching(out, f"_{b.layout.label}", keep=b.carried)
 

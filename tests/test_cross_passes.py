@@ -7,8 +7,11 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from rowloom.operators import categories as cat
 from rowloom.operators import crosses
 from rowloom.operators.crosses import CrossMeans
+from rowloom.operators.folds import stratified_folds
+from rowloom.plans import recipes
 from rowloom.session import release, settle
 from tests.test_crosses import COLS, expected
 
@@ -71,6 +74,27 @@ def test_large_pairs_are_not_exploded(spark, rows, monkeypatch):
     assert 1 <= plan.count("RepartitionByExpression") < len(COLS)
 
 
+def test_cross_recipe_joins_repeated_ids_only(spark, rows):
+    """With ids of one row nothing is joined; a repeated id joins its rows, a missing one has none, as by a plain join."""
+    names = [f"{n}_te" for *_, n in cat.cross_columns(COLS)]
+
+    def old(df):
+        df = stratified_folds(df)
+        encoded = cat.TargetEncoder.fit(df, ["a", "b"]).transform(df)
+        return encoded.join(CrossMeans.fit(df, COLS).transform(), "id").select("id", "split", "fold", "target", "x", "n", "a_te", "b_te", *names)
+
+    def found(df):
+        return Counter(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+    df = spark.createDataFrame([(r[0], r[1], *r[3:]) for r in rows], "id long, split string, target int, a string, b string, x double, n int")
+    new = recipes.features(df, 8)
+    assert "Join " not in new._jdf.queryExecution().optimizedPlan().toString()
+    assert set(new.columns) == set(old(df).columns)
+    assert found(new.select(*old(df).columns)) == found(old(df))
+    odd = settle(df.withColumn("id", F.when(F.col("id") < 40, F.col("id") % 7).when(F.col("id") != 50, F.col("id"))), "odd")
+    assert found(recipes.features(odd, 8).select(*old(odd).columns)) == found(old(odd))
+
+
 def test_shuffle_files_go_with_the_write(spark):
     blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
